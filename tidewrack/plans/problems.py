@@ -77,7 +77,92 @@ _ORPHANS = f"""
         WHERE f.to_id IS NOT NULL GROUP BY f.ref_table, f.ref_field, f.row_key, f.to_id, f.loaded_at)
 """
 
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
+
+
+def _json_value(depth: int) -> str:
+    """Strict JSON up to a depth, as a regular expression."""
+    ws, text = r"[ \t\n\r]*", r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"'
+    plain = rf"(?:{text}|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null"
+    if not depth:
+        return plain + ")"
+    v = _json_value(depth - 1)
+    return rf"{plain}|\[{ws}(?:{v}{ws}(?:,{ws}{v}{ws})*)?\]|\{{{ws}(?:{text}{ws}:{ws}{v}{ws}(?:,{ws}{text}{ws}:{ws}{v}{ws})*)?\}})"
+
+
+_STRICT = rf"[ \t\n\r]*{_json_value(3)}[ \t\n\r]*"
+_FIELDS = " UNION ALL ".join(
+    f"SELECT file_name, {_KEY.format('artifact_id')} AS a, '{c}.' || e.key AS field, CASE e.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS type, CAST(e.value AS VARCHAR) AS value "
+    f"FROM (SELECT file_name, artifact_id, try_cast({c} AS JSON) AS j FROM slack_01_clean) t, json_each(CASE WHEN json_type(j) = 'OBJECT' THEN j ELSE JSON '{{}}' END) e WHERE e.type <> 'NULL'"
+    for c in ("meta", "raw")
+)
+
+_BODY = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, ' ?\([a-z]+\)$|\[[A-Za-z/_]+\]$', ''), '(:\d\d)[.,]\d+', '\1'), '([:T]\d\d(?::?\d\d){0,2})(?: ?[+-]\d\d:?(?:\d\d)?| ?(?:[A-Za-z]+/[A-Za-z_]+|UTC|GMT|[ECMP][SD]T|[Zz]))$', '\1'), '^[A-Z][a-z][a-z], ', '')"
+_FORMATS = ", ".join(f"'{f}'" for f in ("%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M", "%Y%m%dT%H%M%S", "%d %b %Y %H:%M:%S", "%d %B %Y %H:%M:%S", "%d. %B %Y %H:%M", "%b %d, %Y, %I:%M:%S %p"))
+_OFFSETS = "MAP {'Z': 0, 'UTC': 0, 'GMT': 0, 'EST': -300, 'EDT': -240, 'CST': -360, 'CDT': -300, 'MST': -420, 'MDT': -360, 'PST': -480, 'PDT': -420}"
+
+
+def _instants(rows: str) -> str:
+    """epoch_ms of (src, rec_id, s, z, o) where s denotes an instant."""
+    return rf"""
+        SELECT src, rec_id, CASE
+            WHEN regexp_full_match(s, '\d+(\.\d+)?') THEN CASE WHEN i BETWEEN 978307200 AND 4102444799 THEN i * 1000 + CAST(rpad(substr(split_part(s, '.', 2), 1, 3), 3, '0') AS BIGINT) WHEN i // 1000 BETWEEN 978307200 AND 4102444799 THEN i WHEN i // 1000000 BETWEEN 978307200 AND 4102444799 THEN i // 1000 END
+            WHEN off <> '' THEN epoch_ms(b) + f - CASE WHEN off LIKE '-%' THEN -1 ELSE 1 END * (CAST(substr(off, 2, 2) AS BIGINT) * 60 + CAST('0' || substr(replace(off, ':', ''), 4, 2) AS BIGINT)) * 60000
+            WHEN abbr <> '' THEN epoch_ms(b) + f - {_OFFSETS}[upper(abbr)] * 60000
+            ELSE epoch_ms(CASE WHEN timezone(zone, u) = b THEN u WHEN timezone(zone, timezone(zone, b)) = b THEN timezone(zone, b) ELSE u END) + f END AS epoch_ms
+        FROM (SELECT *, timezone(zone, b - INTERVAL 3 HOUR) + INTERVAL 3 HOUR AS u FROM (
+            SELECT src, rec_id, s, try_cast(split_part(s, '.', 1) AS BIGINT) AS i, CAST('0' || rpad(substr(regexp_extract(s, ':\d\d[.,](\d+)', 1), 1, 3), 3, '0') AS BIGINT) AS f,
+                   regexp_extract(s, '[:T]\d\d(?::?\d\d)?(?:[.,]\d+)? ?([+-]\d\d:?(?:\d\d)?)', 1) AS off, regexp_extract(s, '[0-9] ?([Zz]|UTC|GMT|[ECMP][SD]T)$', 1) AS abbr,
+                   coalesce(nullif(regexp_extract(s, ' ([A-Za-z]+/[A-Za-z_]+)$', 1), ''), z, 'UTC') AS zone,
+                   coalesce(try_strptime({_BODY}, [{_FORMATS}]), CASE WHEN o = 'mdy' THEN try_strptime(s, ['%m/%d/%Y %I:%M:%S %p', '%m/%d/%Y %I:%M %p']) WHEN o = 'dmy' THEN try_strptime(s, ['%d/%m/%Y %H:%M:%S', '%d/%m/%Y %H:%M']) END) AS b
+            FROM ({rows})))
+    """
+
+
 ORACLE = {
+    "p1_found": f"""
+        WITH a AS ({_instants("SELECT 'messages' AS src, id AS rec_id, trim(timestamp) AS s, zone AS z, date_order AS o FROM messages LEFT JOIN (SELECT * FROM export_files WHERE feed = 'messages') USING (file_name) UNION ALL SELECT 'slack_01_clean', file_name || ':' || line_no, trim(ts), zone, date_order FROM slack_01_clean LEFT JOIN (SELECT * FROM export_files WHERE feed = 'slack_01_clean') USING (file_name)")}),
+        g AS ({_instants("SELECT row_number() OVER () AS src, id AS rec_id, trim(internalDate) AS s, NULL AS z, NULL AS o FROM gmail_raw")}),
+        h AS ({_instants("SELECT row_number() OVER () AS src, id AS rec_id, trim(list_filter(payload.headers, lambda h: lower(h.name) = 'date')[1].value) AS s, NULL AS z, NULL AS o FROM gmail_raw")})
+        SELECT DISTINCT * FROM (SELECT * FROM a UNION ALL SELECT 'gmail_raw', rec_id, coalesce(g.epoch_ms, h.epoch_ms) FROM g JOIN h USING (src, rec_id)) WHERE epoch_ms IS NOT NULL
+    """,
+    "p2_found": f"""
+        WITH f AS (SELECT DISTINCT file_name, a, field, type, value FROM ({_FIELDS})),
+        pairs AS (SELECT file_name, lag(file_name) OVER (PARTITION BY stream ORDER BY file_no, file_name) AS prev FROM export_files WHERE feed = 'slack_01_clean' QUALIFY prev IS NOT NULL),
+        types AS (SELECT file_name, field, list_sort(list(DISTINCT type)) AS types FROM f GROUP BY 1, 2),
+        pair AS (
+            SELECT coalesce(n.file_name, o.file_name) AS file_name, coalesce(n.prev, o.prev) AS prev, coalesce(n.field, o.field) AS field, n.types AS new, o.types AS old
+            FROM (SELECT p.*, t.field, t.types FROM pairs p JOIN types t ON t.file_name = p.file_name) n
+            FULL JOIN (SELECT p.*, t.field, t.types FROM pairs p JOIN types t ON t.file_name = p.prev) o ON o.file_name = n.file_name AND o.field = n.field),
+        agree AS (
+            SELECT g.file_name, g.field AS old, b.field AS new FROM (SELECT * FROM pair WHERE new IS NULL) g JOIN (SELECT * FROM pair WHERE old IS NULL) b ON b.file_name = g.file_name
+            JOIN f o ON o.file_name = g.prev AND o.field = g.field JOIN f n ON n.file_name = g.file_name AND n.field = b.field AND n.a = o.a
+            GROUP BY 1, 2, 3 HAVING bool_and(n.type = o.type AND n.value = o.value)),
+        renamed AS (SELECT * FROM agree QUALIFY count(*) OVER (PARTITION BY file_name, old) = 1 AND count(*) OVER (PARTITION BY file_name, new) = 1)
+        SELECT file_name, old AS field, 'renamed' AS change, new AS new_field FROM renamed
+        UNION ALL SELECT file_name, field, 'removed', '' FROM pair b WHERE new IS NULL AND NOT EXISTS (SELECT 1 FROM renamed r WHERE r.file_name = b.file_name AND r.old = b.field)
+        UNION ALL SELECT file_name, field, 'added', '' FROM pair b WHERE old IS NULL AND NOT EXISTS (SELECT 1 FROM renamed r WHERE r.file_name = b.file_name AND r.new = b.field)
+        UNION ALL SELECT file_name, field, 'retyped', '' FROM pair WHERE old <> new
+    """,
+    "p4_found": f"""
+        WITH l AS (
+            SELECT file_name, line_no, ends_with(lower(file_name), '.csv') AS is_csv, CASE WHEN line_no = 1 THEN ltrim(line, chr(65279)) ELSE line END AS line FROM slack_02_broken WHERE line IS NOT NULL AND file_name IS NOT NULL),
+        c AS (SELECT *, rtrim(line, chr(13) || chr(10)) AS r, len(regexp_replace(rtrim(line, chr(13) || chr(10)), '"(?:[^"]|"")*"|[^,]', '', 'g')) AS commas FROM l),
+        h AS (SELECT file_name, commas FROM c WHERE is_csv AND line_no = 1),
+        j AS (
+            SELECT file_name, line_no, is_csv, r, c.commas, h.commas AS want, regexp_full_match(line, '{_STRICT.replace("'", "''")}') AS strict, try_cast(line AS JSON) AS v
+            FROM c LEFT JOIN h USING (file_name) WHERE trim(line, {_BLANKS}) <> '' AND NOT (is_csv AND line_no = 1)),
+        k AS (
+            SELECT *, CASE WHEN is_csv THEN trim(CASE WHEN r LIKE '"%' THEN replace(regexp_extract(r, '^"((?:[^"]|"")*)"', 1), '""', '"') ELSE split_part(r, ',', 1) END, {_BLANKS})
+                           ELSE trim(CASE WHEN json_type(v, '$.artifact_id') = 'VARCHAR' THEN v ->> '$.artifact_id' ELSE CAST(v -> '$.artifact_id' AS VARCHAR) END, {_BLANKS}) END AS id,
+                   json_type(v, '$.artifact_id') AS id_type, json_type(v, '$.text') AS text_type FROM j),
+        m AS (
+            SELECT *, CASE WHEN is_csv THEN CASE WHEN NOT regexp_full_match(r, '(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*') THEN 'bad_quoting' WHEN commas <> want THEN 'column_count' WHEN id = '' THEN 'no_id' END
+                ELSE CASE WHEN NOT strict THEN 'bad_json' WHEN json_type(v) <> 'OBJECT' THEN 'not_object' WHEN coalesce(id_type, 'NULL') = 'NULL' OR (id_type = 'VARCHAR' AND id = '') THEN 'no_id'
+                          WHEN id_type NOT IN ('VARCHAR', 'BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE') OR coalesce(text_type, 'NULL') NOT IN ('NULL', 'VARCHAR') THEN 'bad_value' END END AS reason FROM k)
+        SELECT DISTINCT file_name, line_no, CASE WHEN reason IS NULL THEN 'duplicate_id' ELSE reason END AS reason
+        FROM (SELECT *, CASE WHEN reason IS NULL THEN row_number() OVER (PARTITION BY reason IS NULL, id ORDER BY file_name, line_no) ELSE 0 END AS nth FROM m) WHERE reason IS NOT NULL OR nth > 1
+    """,
     "p1_shapes": """
         SELECT coalesce(regexp_replace(regexp_replace(trim(timestamp, ' ' || chr(9) || chr(10) || chr(13)), '[0-9]', '9', 'g'), '[A-Za-z]', 'A', 'g'), 'null') AS shape, count(*) AS n
         FROM messages GROUP BY 1
