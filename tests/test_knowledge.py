@@ -161,6 +161,15 @@ def test_corpus_fixtures_world_and_connectors(spark, tmp_path):
     assert [r[1:] for r in rows(failed)] == [(3, "duplicate of slack_02.jsonl:1"), (4, "bad_json"), (5, "not_object"), (6, "no_id")]
     warned = {r.artifact_id: r.warnings for r in good.collect()}
     assert warned["5"] == ["unknown source", "no text", "ts unreadable"] and warned["a"] == ["source from file name", "recipients no list"]
+    assert {r.artifact_id: r.raw for r in good.collect()}["5"].startswith('{"artifact_id": 5') and {r.meta for r in good.collect()} == {None}
+    assert rows(corpus.corpus_messages(good), "artifact_id", "text") == [("a", "x")]
+    with pytest.raises(ValueError, match="slack_02.jsonl"):
+        corpus.load_strictly(spark, str(tmp_path / "c"))
+    wrapped = spark.createDataFrame([("slack_1.jsonl", 1, '{"artifact_id": "a", "meta": "m", "raw": {"k": 1}}')], "file_name string, line_no int, line string")
+    assert rows(corpus.artifacts_of(wrapped), "meta", "raw") == [('{"value":"m"}', '{"k":1}')]
+    (tmp_path / "k.json").write_text('{"questions": [{"question_id": "Q1", "question": "q?", "gold_artifacts": ["a", "b"]}]}')
+    assert rows(corpus.read_answer_key(spark, str(tmp_path / "k.json"))) == [("Q1", "q?", ["a", "b"])]
+    assert [r.m for r in spark.createDataFrame([('{"payload": {}}',), ("{}",), ("x",)], "j string").select(corpus.is_mail(F.col("j")).alias("m")).collect()] == [True, False, False]
     (tmp_path / "m.json").write_text('{"messages": [{"user": "u", "body": " hi ", "date": "d"}, {"from": "", "text": " "}, {"content": "y", "source": "email"}]}')
     assert rows(corpus.ingest(spark, "fixtures", str(tmp_path / "m.json"))) == [("email", "unknown", "", "y"), ("slack", "u", "d", "hi")]
     with pytest.raises(ValueError):
@@ -186,3 +195,52 @@ def test_streams(spark, tmp_path):
     assert rows(folded) == [("t", "m2", 4), ("u", "m5", 1)]
     timed = stream().withColumn("at", F.timestamp_seconds(F.col("seq") * 60))
     assert incremental.deduplicated(timed, "id", "at", "1 hour").isStreaming and incremental.windowed_counts(timed, "at", "topic", "5 minutes", "1 hour").isStreaming
+
+
+def test_answers(spark):
+    from tidewrack.operators.answers import answer, check_question, last_turns
+
+    items = spark.createDataFrame([("Retry logic", "blocked", "high", "Ann", "no keys", "a1"), ("Billing", "on_track", "low", None, None, "a2")], "topic string, status string, confidence string, owner string, blocker string, artifact_id string")
+    found = spark.createDataFrame([("a1", ["a0", "a1"], "slack", "c1", "x"), ("a3", ["a3"], "email", None, "y")], "artifact_id string, path array<string>, source string, container_id string, text string")
+    owners = spark.createDataFrame([("S1", "Billing service", "E1", "Bo", 4), ("C1", "Billing client", "E2", "Cy", 2)], "entity string, name string, owner string, owner_name string, weight int")
+    a = answer("what blocks the retry?", items, found, owners)
+    assert a.text == "Retry logic is blocked because no keys; Ann is responsible [a1]." and a.cited == ["a1"] and not a.abstained
+    b = answer("who runs billing?", items, found, owners)
+    assert b.abstained and b.who_would_know == ["E1"] and "Bo would know" in b.text
+    c = answer("retry?", items, found, owners, lambda q, xs: f"It waits [{xs[1]['artifact_id']}].")
+    assert c.cited == ["a1"] and "a0 → a1   (slack · c1 · 1 hop)" in c.text
+    assert answer("retry?", items, found, owners, lambda q, xs: "made up [zz]").cited == ["a1"]
+    assert answer("retry?", items, found, owners, lambda q, xs: None).abstained
+    assert answer("xyzzy", items, found, owners.limit(0)).text.endswith("No owner is known.")
+    for bad in ("", "x" * 501):
+        with pytest.raises(ValueError):
+            check_question(bad)
+    turns = spark.createDataFrame([(i, "user", f"t{i}") for i in range(12)], "seq int, role string, text string")
+    assert [t["seq"] for t in last_turns(turns)] == list(range(4, 12))
+
+
+def test_provider_chain_limit_and_json():
+    waits, calls = [], []
+
+    def down(request):
+        calls.append("down")
+        raise provider.Unavailable("quota")
+
+    def slow(request, state=[0]):
+        calls.append("slow")
+        state[0] += 1
+        if state[0] < 3:
+            raise provider.Unavailable("rate", 7.0)
+        return request
+
+    assert provider.chained([down, slow], pause=waits.append)("x") == "x" and calls == ["down", "slow", "slow", "slow"] and waits == [7.0, 7.0]
+    with pytest.raises(provider.Unavailable):
+        provider.chained([down], pause=waits.append)("x")
+    now = [0.0]
+    limit = provider.RateLimit(2, 60, lambda: now[0], lambda s: now.__setitem__(0, now[0] + s))
+    for _ in range(5):
+        limit.wait()
+    assert now[0] == 120.0
+    assert provider.json_of('```json\n{"a": 1}\n```') == {"a": 1} and provider.json_of('Sure: {"a": "}"} done') == {"a": "}"} and provider.json_of("[1]") == [1]
+    with pytest.raises(ValueError):
+        provider.json_of("none { here")

@@ -68,7 +68,7 @@ def fact_partition(facts: DataFrame) -> DataFrame:
 
 def unanswered(artifacts: DataFrame, hours: int = 48) -> DataFrame:
     """(artifact_id, container_id): first artifacts of a container that no one but their sender follows up within ``hours``."""
-    first = artifacts.where("parent_id IS NULL AND ts IS NOT NULL AND container_id IS NOT NULL AND sender_id IS NOT NULL")
+    first = artifacts.where("parent_id IS NULL AND ts IS NOT NULL AND container_id IS NOT NULL AND sender_id IS NOT NULL").select("artifact_id", "container_id", "ts", "sender_id")
     reply = artifacts.select("container_id", F.col("ts").alias("t"), F.col("sender_id").alias("s"))
     gap = F.unix_timestamp("t") - F.unix_timestamp("ts")
     answered = first.join(reply, "container_id").where((F.col("s") != F.col("sender_id")) & (gap >= 0) & (gap <= hours * 3600)).select("artifact_id").distinct()

@@ -52,7 +52,8 @@ def neighbours(frontier: DataFrame, artifacts: DataFrame, entities: DataFrame, h
 
 def time_neighbours(frontier: DataFrame, artifacts: DataFrame, entities: DataFrame, hours: int = 6) -> DataFrame:
     """(from_id, artifact_id): artifacts of the frontier's source within ``hours`` that share an entity with it."""
-    a = frontier.join(artifacts, "artifact_id").join(entities, "artifact_id").select(F.col("artifact_id").alias("from_id"), F.col("source").alias("s"), F.col("ts").alias("t"), "entity")
+    artifacts = artifacts.select("artifact_id", "source", "ts")
+    a = frontier.select("artifact_id").join(artifacts, "artifact_id").join(entities, "artifact_id").select(F.col("artifact_id").alias("from_id"), F.col("source").alias("s"), F.col("ts").alias("t"), "entity")
     b = artifacts.join(entities, "artifact_id").select("artifact_id", "source", "ts", "entity")
     gap = F.abs(F.unix_timestamp("ts") - F.unix_timestamp("t"))
     x = a.join(b, "entity").where((F.col("s") == F.col("source")) & (F.col("artifact_id") != F.col("from_id")) & (gap <= hours * 3600))

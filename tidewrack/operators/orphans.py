@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -107,8 +108,8 @@ def orphan_cascade(tables: dict[str, DataFrame], refs: Sequence[Reference] = MES
             level += 1
             front = front.where(F.col("to_id").isNotNull()).groupBy("to_id").agg(F.min("kind").alias("kind"))
             new = own.join(front, "to_id").withColumn("level", F.lit(level))
-            for f in found:
-                new = new.join(f.select("row_id"), "row_id", "left_anti")
+            if found:  # reached before: on a cycle
+                new = new.join(reduce(DataFrame.unionByName, found).select("row_id"), "row_id", "left_anti")
             new = materialize(new)
             if new.isEmpty():
                 break

@@ -5,8 +5,11 @@ The provider that is built in is deterministic and works offline: it reads statu
 
 from __future__ import annotations
 
+import json
 import re
+import time
 import zlib
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -67,3 +70,64 @@ def hashed_embedding(text: Column, size: int = 64) -> Column:
             yield pd.Series(out)
 
     return embed(text)
+
+
+class Unavailable(Exception):
+    """A provider's refusal; ``kind`` is ``rate`` (wait), ``quota`` (take the next provider) or ``server`` (try again)."""
+
+    def __init__(self, kind: str, wait: float = 0.0):
+        super().__init__(kind)
+        self.kind, self.wait = kind, wait
+
+
+def chained(providers: list[Callable[[object], object]], tries: int = 3, pause: Callable[[float], None] = time.sleep) -> Callable[[object], object]:
+    """The first provider that answers: waits and tries again on rate limits and server faults, goes on at once on a used-up quota."""
+
+    def call(request: object) -> object:
+        last: Exception = Unavailable("server")
+        for provider in providers:
+            for i in range(tries):
+                try:
+                    return provider(request)
+                except Unavailable as e:
+                    last = e
+                    if e.kind == "quota":
+                        break
+                    pause(e.wait or 2.0**i)
+        raise last
+
+    return call
+
+
+class RateLimit:
+    """At most ``n`` calls in any ``seconds`` of one Python worker; a cluster's total is that times its workers (coalesce to bound it)."""
+
+    def __init__(self, n: int, seconds: float = 60.0, clock: Callable[[], float] = time.monotonic, pause: Callable[[float], None] = time.sleep):
+        self.n, self.seconds, self.clock, self.pause = n, seconds, clock, pause
+        self.calls: deque[float] = deque()
+
+    def wait(self) -> None:
+        while True:
+            now = self.clock()
+            while self.calls and now - self.calls[0] >= self.seconds:
+                self.calls.popleft()
+            if len(self.calls) < self.n:
+                self.calls.append(now)
+                return
+            self.pause(self.seconds - (now - self.calls[0]))
+
+
+def json_of(text: str | None) -> object:
+    """The JSON value in a model's output: all of it, a fenced block, or the first object or list in it; raises ValueError."""
+    t = (text or "").strip()
+    if m := re.fullmatch(r"```(?:json)?\s*(.*?)\s*```", t, re.S):
+        t = m[1]
+    decoder = json.JSONDecoder()
+    for at in [0, *(m.start() for m in re.finditer(r"[{\[]", t))]:
+        try:
+            value, end = decoder.raw_decode(t, at)
+        except ValueError:
+            continue
+        if at or not t[end:].strip():
+            return value
+    raise ValueError("no JSON value in the text")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewrack.functions import render
 from tidewrack.functions import text as X
 from tidewrack.functions.keys import norm_key
 from tidewrack.operators import checks, conflicts, evidence, folds, graph, provider, retrieval, store
@@ -332,6 +333,43 @@ def hashed_vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", provider.hashed_embedding(F.col("text")).alias("embedding"))
 
 
+def item_sentences(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    x = topic_state(spark, d)
+    return x.select("topic", render.item_sentence(c("topic"), c("status"), c("owner"), c("blocker"), F.lit("ev")).alias("sentence"), render.briefing_line(c("topic"), c("owner"), c("blocker"), c("confidence")).alias("line"), render.embedding_text(c("topic"), c("status"), c("owner"), c("blocker")).alias("embedded"))
+
+
+def conflict_sentences(spark: SparkSession, d: str) -> DataFrame:
+    x = conflicts.conflicts(readings(spark, d))
+    text = render.conflict_sentence(F.col("subject"), F.col("claim_a"), F.col("seq_a").cast("string"), F.col("claim_b"), F.col("seq_b").cast("string"), F.col("resolution"), F.lit("The later claim counts."))
+    return x.select("seq_a", "seq_b", text.alias("sentence"))
+
+
+def prompt_blocks(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    x = table(spark, d, "messages", "id", "source", "sender", "timestamp", "text").where("id IS NOT NULL")
+    return x.select("id", F.md5(render.message_block(c("id"), c("source"), c("sender"), c("timestamp"), c("text"))).alias("block")).distinct()
+
+
+def topic_lookup(spark: SparkSession, d: str) -> DataFrame:
+    state = topic_state(spark, d)
+    exact = state.where(F.lower("topic") == "user 7")
+    like = state.where(F.contains(F.lower("topic"), F.lit("user 7"))).join(exact.select(F.lit(1).alias("hit")).limit(1), F.lit(True), "left_anti")
+    return exact.unionByName(like).orderBy("topic").limit(3).select("topic", "status")
+
+
+def container_winner(spark: SparkSession, d: str) -> DataFrame:
+    x = artifacts(spark, d).where("container_id IS NOT NULL AND ts IS NOT NULL")
+    last = F.max_by("artifact_id", F.struct("ts", F.when(F.col("source") == "ticket", 1).otherwise(0), "artifact_id"))
+    return x.groupBy("container_id").agg(last.alias("winner"), F.unix_timestamp(F.max("ts")).alias("at"))
+
+
+def question_overlap(spark: SparkSession, d: str) -> DataFrame:
+    asked = X.tokens(F.lit(QUESTION))
+    x = table(spark, d, "documents", "doc_id", "text").select("doc_id", F.size(F.array_intersect(X.tokens(F.col("text")), asked)).alias("shared"))
+    return x.where("shared > 0")
+
+
 def stream_new_messages(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "messages").schema
     stream = incremental.table_stream(spark, f"{d}/messages.parquet", schema).select("id", "source", F.col("ingested_at").cast("timestamp").alias("at"))
@@ -352,6 +390,7 @@ QUERIES = {
         message_ids, new_messages, evidence_verified, topics_without_evidence, evidence_top6, evidence_union, topic_keys, doc_stats, doc_freq, bm25_topk, keyword_search,
         cosine_topk, context_union, stale_embeddings, alias_keys, question_alias_matches, retrieval_hops, source_ablation, thread_neighbours, time_neighbours,
         conflicting_claims, owner_referral, recall_at_k, fabricated_citations, mail_bodies, html_bodies, artifact_validation, json_props, chunks, last_turns, request_rate,
+        item_sentences, conflict_sentences, prompt_blocks, topic_lookup, container_winner, question_overlap,
         dangling_parents, unknown_senders, fact_partition, silence_pairs, channel_outsiders, answer_terms, ingest_stats, working_days, provider_items, hashed_vectors,
         stream_new_messages, stream_topic_fold,
     )

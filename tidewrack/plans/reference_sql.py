@@ -227,6 +227,25 @@ ORACLE = {
     "working_days": f"""
         WITH {_READINGS}, {_state()} SELECT topic, CAST(len(list_filter(generate_series(least(first_seen, last_seen), greatest(first_seen, last_seen), INTERVAL 1 DAY), lambda t: isodow(t) < 6)) AS INTEGER) AS days FROM state
     """,
+    "item_sentences": f"""
+        WITH {_READINGS}, {_state()} SELECT topic,
+            concat_ws(' ', topic, CASE status WHEN 'blocked' THEN 'is blocked' WHEN 'at_risk' THEN 'is at risk' WHEN 'on_track' THEN 'is on track' ELSE 'is unclear' END, 'because ' || nullif(concat_ws('; ', blocker, owner || ' is responsible'), ''), '[ev]') AS sentence,
+            '• *' || topic || '*' || coalesce(' — ' || blocker, '') || coalesce(' (' || owner || ')', ' (no owner named)') || CASE WHEN confidence = 'low' THEN ' _[low confidence, needs confirmation]_' ELSE '' END AS line,
+            concat_ws('. ', topic, 'status: ' || status, 'owner: ' || owner, 'blocker: ' || blocker) AS embedded FROM state
+    """,
+    "conflict_sentences": f"""
+        WITH {_READINGS}, c AS (SELECT topic AS subject, {_squeezed('lower(blocker)')} AS claim, seq FROM readings WHERE blocker IS NOT NULL QUALIFY row_number() OVER (PARTITION BY topic, lower(blocker) ORDER BY seq) = 1)
+        SELECT a.seq AS seq_a, b.seq AS seq_b, 'There is a disagreement about ' || a.subject || ': one report says ' || a.claim || ' [' || a.seq || '], another says ' || b.claim || ' [' || b.seq || ']. The resolution is newer wins: The later claim counts.' AS sentence
+        FROM c a JOIN c b ON a.subject = b.subject AND a.seq < b.seq AND a.claim <> b.claim
+        WHERE len(list_intersect(string_split(a.claim, ' '), string_split(b.claim, ' '))) / greatest(len(list_distinct(string_split(a.claim, ' '))), len(list_distinct(string_split(b.claim, ' ')))) <= 0.7
+    """,
+    "prompt_blocks": "SELECT DISTINCT id, md5('[' || id || '] source=' || coalesce(source, '') || ' | sender=' || coalesce(sender, '') || ' | timestamp=' || coalesce(timestamp, '') || chr(10) || coalesce(text, '')) AS block FROM messages WHERE id IS NOT NULL",
+    "topic_lookup": f"WITH {_READINGS}, {_state()} SELECT topic, status FROM state WHERE CASE WHEN EXISTS (SELECT 1 FROM state WHERE topic = 'user 7') THEN topic = 'user 7' ELSE contains(topic, 'user 7') END ORDER BY topic LIMIT 3",
+    "container_winner": f"""
+        WITH {_ARTIFACTS} SELECT container_id, artifact_id AS winner, CAST(floor(epoch(ts)) AS BIGINT) AS at FROM artifacts WHERE container_id IS NOT NULL AND ts IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY container_id ORDER BY ts DESC, CASE WHEN source = 'ticket' THEN 1 ELSE 0 END DESC, artifact_id DESC) = 1
+    """,
+    "question_overlap": f"SELECT doc_id, len(list_distinct(list_filter({_tokens('text')}, lambda w: list_contains({_TERMS}, w)))) AS shared FROM documents WHERE len(list_filter({_tokens('text')}, lambda w: list_contains({_TERMS}, w))) > 0",
     "stream_new_messages": "SELECT DISTINCT id FROM messages",
     "stream_topic_fold": "SELECT user_id AS topic, arg_max(event_type, epoch(date_trunc('day', ts)) * 10000000 - event_id) AS event_type, count(*) AS mentions FROM events GROUP BY 1",
 }

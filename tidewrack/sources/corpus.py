@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewrack.functions.keys import blank, trimmed
@@ -19,16 +20,29 @@ SOURCES = ("slack", "email", "ticket", "export", "doc")
 
 
 def read_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
-    """file_name, line_no, line of the files of a folder; one file is one row until it is split, so files are bounded by an executor's memory."""
-    x = spark.read.text(path, wholetext=True, pathGlobFilter=pattern).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file_name"), "value")
-    x = x.select("file_name", F.posexplode(F.split(F.regexp_replace("value", "^﻿", ""), "\r?\n")).alias("i", "line"))
-    return x.select("file_name", (F.col("i") + 1).alias("line_no"), "line")
+    """file_name, line_no, line of the files of a folder; files of any size are read in splits.
+
+    A line's number is its place in its split plus the lines of the file's earlier splits. A byte-order mark is dropped.
+    """
+    x = spark.read.option("pathGlobFilter", pattern).text(path).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file_name"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("m"), F.col("value").alias("line"))
+    before = W.partitionBy("file_name").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    splits = x.groupBy("file_name", "at").agg(F.count("*").alias("n")).select("file_name", "at", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    x = x.withColumn("i", F.row_number().over(W.partitionBy("file_name", "at").orderBy("m"))).join(splits, ["file_name", "at"])
+    line_no = (F.col("before") + F.col("i")).cast("int")
+    return x.select("file_name", line_no.alias("line_no"), F.when(line_no == 1, F.regexp_replace("line", "^\ufeff", "")).otherwise(F.col("line")).alias("line"))
 
 
 def _field(name: str) -> Column:
     return F.try_variant_get(F.col("v"), f"$.{name}", "string")
 
 
+def _object(name: str) -> Column:
+    """The JSON text of an object; another value stands in one under ``value``; null where it is missing."""
+    v = F.try_variant_get(F.col("v"), f"$.{name}", "variant")
+    text = F.to_json(v)
+    return F.when(F.schema_of_variant(v).startswith("OBJECT"), text).when(v.isNotNull() & (text != "null"), F.concat(F.lit('{"value":'), text, F.lit("}")))
+
+
 def artifacts_of(lines: DataFrame) -> DataFrame:
     """Artifacts from lines (file_name, line_no, line) with ``warnings`` on what was coerced, and ``reason`` where a line gives none.
 
@@ -52,7 +66,8 @@ def artifacts_of(lines: DataFrame) -> DataFrame:
     reason = F.when(F.col("v").isNull(), "bad_json").when(~kind.startswith("OBJECT"), "not_object").when(blank(_field("artifact_id")), "no_id")
     return x.select(
         "file_name", "line_no", reason.alias("reason"), trimmed(_field("artifact_id")).alias("artifact_id"), source.alias("source"), _field("container_id").alias("container_id"), _field("parent_id").alias("parent_id"),
-        _field("sender_id").alias("sender_id"), recipients.alias("recipients"), ms.alias("epoch_ms"), F.coalesce(_field("text"), F.lit("")).alias("text"), F.when(reason.isNull(), warn).otherwise(F.array().cast("array<string>")).alias("warnings"),
+        _field("sender_id").alias("sender_id"), recipients.alias("recipients"), ms.alias("epoch_ms"), F.coalesce(_field("text"), F.lit("")).alias("text"),
+        _object("meta").alias("meta"), F.coalesce(_object("raw"), F.col("line")).alias("raw"), F.when(reason.isNull(), warn).otherwise(F.array().cast("array<string>")).alias("warnings"),
     )
 
 
@@ -67,6 +82,32 @@ def load_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return marked.where("NOT again").drop("again", "f", "reason"), failures.unionByName(again)
 
 
+def load_strictly(spark: SparkSession, path: str) -> DataFrame:
+    """The artifacts of a folder; raises ValueError if any line fails or lacks a required field."""
+    good, failures = load_corpus(spark, path)
+    poor = good.where(blank(F.col("source")) | blank(F.col("container_id")) | blank(F.col("sender_id")) | F.col("epoch_ms").isNull())
+    bad = failures.select("file_name", "line_no", "reason").unionByName(poor.select("file_name", "line_no", F.lit("required field").alias("reason"))).limit(1).collect()
+    if bad:
+        raise ValueError(f"{bad[0]['file_name']}:{bad[0]['line_no']}: {bad[0]['reason']}")
+    return good
+
+
+def corpus_messages(artifacts: DataFrame) -> DataFrame:
+    """artifact_id, source, sender, epoch_ms, text of the artifacts with a text."""
+    return artifacts.where(~blank(F.col("text"))).select("artifact_id", "source", F.coalesce("sender_id", F.lit("unknown")).alias("sender"), "epoch_ms", "text")
+
+
+def read_answer_key(spark: SparkSession, path: str) -> DataFrame:
+    """question_id, question, gold_artifacts (array) of an answer key's questions."""
+    x = spark.read.text(path, wholetext=True).select(F.explode(F.try_variant_get(F.try_parse_json("value"), "$.questions", "array<variant>")).alias("v"))
+    return x.select(_field("question_id").alias("question_id"), _field("question").alias("question"), F.try_variant_get("v", "$.gold_artifacts", "array<string>").alias("gold_artifacts"))
+
+
+def is_mail(record: Column) -> Column:
+    """Whether a JSON record is one of a mail API, by its payload."""
+    return F.try_variant_get(F.try_parse_json(record), "$.payload", "variant").isNotNull()
+
+
 def read_messages(spark: SparkSession, path: str, default_source: str = "slack") -> DataFrame:
     """source, sender, timestamp, text of a fixture file: a JSON list, or an object with ``messages``; blank texts are dropped."""
     x = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
