@@ -165,9 +165,11 @@ def _numbers(text: str) -> list[Candidate]:
             continue
         ibans.append((m.start(), m.end()))
         out.append(Candidate(m.start(), m.start() + n, "id_number", ("id:iban", "id:check-right" if ok else "id:check-wrong", *context(m.start(), m.start() + n, "id:"))))
-    free = lambda m: not any(s < m.end() and m.start() < e for s, e in ibans)
-    for m in _CARD.finditer(text):
-        if _CARD_SHAPE.fullmatch(m[0]) and free(m):
+    cards = [m for m in _CARD.finditer(text) if _CARD_SHAPE.fullmatch(m[0])]
+    whole = ibans + [m.span() for m in cards]  # a part of such a number, right or wrong, is no number of its own
+    free = lambda m, spans=whole: not any(s < m.end() and m.start() < e for s, e in spans)
+    for m in cards:
+        if free(m, ibans):
             digits = re.sub(r"\D", "", m[0])
             out.append(Candidate(m.start(), m.end(), "id_number", ("id:card", "id:check-right" if luhn(digits) else "id:check-wrong", *context(m.start(), m.end(), "id:"))))
     for name, p in _IDS:
