@@ -12,17 +12,20 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.session import materialize
 
 NONE = "none"
+#: Features that a task handles at once; what bounds its memory beside the longest document.
+BLOCK = 200_000
 
 
 @dataclass(frozen=True)
@@ -124,45 +127,65 @@ def _posteriors(model: np.ndarray, sizes: np.ndarray, features: np.ndarray, doc_
     return p
 
 
-def _arrays(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sizes = np.concatenate(b["sizes"].to_numpy())
-    return sizes, np.concatenate(b["features"].to_numpy()), np.repeat(np.arange(len(b)), [len(x) for x in b["sizes"]])
+@dataclass
+class Block:
+    """Documents of a task whose statements together have about ``BLOCK`` features, as flat arrays."""
+
+    doc_ids: np.ndarray
+    sizes: np.ndarray  # features of each statement
+    features: np.ndarray
+    doc_of: np.ndarray  # document of each statement
+    weights: list | None
+
+    def __len__(self) -> int:
+        return len(self.doc_ids)
 
 
-def _priors(b: pd.DataFrame, k: int, s: Settings) -> np.ndarray:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    """Blocks of the rows (doc_id, sizes, features and perhaps weights); a document is never cut."""
+    for b in batches:
+        sizes, features = b.column("sizes"), b.column("features")
+        weights = b.column("weights").to_pylist() if "weights" in b.schema.names else None
+        per_doc, per_features = sizes.value_lengths().to_numpy(), features.value_lengths().to_numpy()
+        at = 0
+        while at < len(b):
+            n = max(1, int(np.searchsorted(np.cumsum(per_features[at:]), BLOCK, side="right")))
+            cut = slice(at, at + n)
+            yield Block(
+                b.column("doc_id").slice(at, n).to_numpy(zero_copy_only=False), sizes.slice(at, n).flatten().to_numpy(), features.slice(at, n).flatten().to_numpy(),
+                np.repeat(np.arange(n), per_doc[cut]), weights[cut] if weights else None,
+            )
+            at += n
+
+
+def _priors(b: Block, k: int, s: Settings) -> np.ndarray:
     flat = np.full(k, 1.0 / k)
     out = np.tile(flat, (len(b), 1))
-    if "weights" in b:
-        for i, w in enumerate(b["weights"]):
-            if w is not None and sum(w) > 0:
-                w = np.array(w, "float64")
-                w[-1] = max(w[-1], 0.25)
-                out[i] = s.label_mass * w / w.sum() + (1 - s.label_mass) * flat
+    for i, w in enumerate(b.weights or ()):
+        if w is not None and sum(w) > 0:
+            w = np.array(w, "float64")
+            w[-1] = max(w[-1], 0.25)
+            out[i] = s.label_mass * w / w.sum() + (1 - s.label_mass) * flat
     return out
 
 
-def _sum_counts(rows: DataFrame, k: int, run) -> np.ndarray:
-    """Expected counts summed by Spark, each task's own first; (buckets, k)."""
+def _sum_counts(rows: DataFrame, buckets: int, k: int, expect: Callable[[Block], np.ndarray]) -> np.ndarray:
+    """Expected counts (buckets, k) from the posteriors that ``expect`` gives of a block's statements: each task's own are summed first, then Spark's."""
     names = [f"c{i}" for i in range(k)]
-    summed = rows.mapInPandas(run, "bucket int, " + ", ".join(f"{c} double" for c in names)).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names])
-    return summed.toPandas()
-
 
-def _partial(buckets: int, k: int, batches: Iterator[pd.DataFrame], expect) -> Iterator[pd.DataFrame]:
-    total = np.zeros((buckets, k))
-    for b in batches:
-        if len(b):
-            _, features, _ = arrays = _arrays(b)
-            p = np.repeat(expect(b, *arrays), arrays[0], axis=0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, buckets))
+        for b in _blocks(batches):
+            p = np.repeat(expect(b).T, b.sizes, axis=1)
             for c in range(k):
-                total[:, c] += np.bincount(features, weights=p[:, c], minlength=buckets)
-    at = np.flatnonzero(total.sum(1) > 1e-9)
-    yield pd.DataFrame({"bucket": at.astype("int32")} | {f"c{i}": total[at, i] for i in range(k)})
+                total[c] += np.bincount(b.features, weights=p[c], minlength=buckets)
+        at = np.flatnonzero(total.sum(0) > 1e-9)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype("int32")), *(pa.array(total[i, at]) for i in range(k))], names=["bucket", *names])
 
-
-def _dense(found: pd.DataFrame, buckets: int, k: int) -> np.ndarray:
+    summed = rows.mapInArrow(run, "bucket int, " + ", ".join(f"{c} double" for c in names)).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names])
+    found = summed.toPandas()  # at most ``buckets`` rows
     out = np.zeros((buckets, k))
-    out[found["bucket"].to_numpy()] = found[[f"c{i}" for i in range(k)]].to_numpy()
+    out[found["bucket"].to_numpy()] = found[names].to_numpy()
     return out
 
 
@@ -174,15 +197,13 @@ class SubjectModel:
     offsets: np.ndarray  # of each subject but none
     settings: Settings
 
-    def shares(self, b: pd.DataFrame) -> np.ndarray:
-        """The part of each document's statements that is about each subject."""
-        sizes, features, doc_of = _arrays(b)
+    def shares(self, b: Block) -> np.ndarray:
+        """The part of each document's statements that is about each subject; labels of the document are not used."""
         k = len(self.subjects)
-        plain = b[["sizes", "features"]]
-        p = _posteriors(self.weights, sizes, features, doc_of, _priors(plain, k, self.settings), len(b), self.settings)
+        p = _posteriors(self.weights, b.sizes, b.features, b.doc_of, np.full((len(b), k), 1.0 / k), len(b), self.settings)
         sure = np.where(p >= 0.5, p, 0)
-        n = np.maximum(np.bincount(doc_of, minlength=len(b)), 1)
-        return np.stack([np.bincount(doc_of, weights=sure[:, c], minlength=len(b)) / n for c in range(k)], 1)
+        n = np.maximum(np.bincount(b.doc_of, minlength=len(b)), 1)
+        return np.stack([np.bincount(b.doc_of, weights=sure[:, c], minlength=len(b)) / n for c in range(k)], 1)
 
     def posteriors(self, shares: np.ndarray) -> np.ndarray:
         """Calibrated, independent posteriors of the subjects but none."""
@@ -219,34 +240,27 @@ def train(documents: DataFrame, areas: DataFrame, labels: DataFrame, settings: S
     given = materialize(given.join(rows.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.labelled))
     known = materialize(rows.join(given, "doc_id"))
 
-    def from_labels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def expect(b: pd.DataFrame, sizes: np.ndarray, f: np.ndarray, doc_of: np.ndarray) -> np.ndarray:
-            w = np.stack(b["weights"].to_numpy())
-            return (w / np.maximum(w.sum(1, keepdims=True), 1e-9))[doc_of]
-
-        return _partial(buckets, k, batches, expect)
+    def from_labels(b: Block) -> np.ndarray:
+        w = np.array(b.weights)
+        return (w / np.maximum(w.sum(1, keepdims=True), 1e-9))[b.doc_of]
 
-    model = complement_weights(_dense(_sum_counts(known, k, from_labels), buckets, k), s.alpha)
+    model = complement_weights(_sum_counts(known, buckets, k, from_labels), s.alpha)
     every = rows.join(given, "doc_id", "left")
     for _ in range(s.rounds):
         shared = rows.sparkSession.sparkContext.broadcast(model)
 
-        def refine(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            def expect(b: pd.DataFrame, sizes: np.ndarray, f: np.ndarray, doc_of: np.ndarray) -> np.ndarray:
-                return _posteriors(shared.value, sizes, f, doc_of, _priors(b, k, s), len(b), s)
-
-            return _partial(buckets, k, batches, expect)
+        def refined(b: Block, shared=shared) -> np.ndarray:
+            return _posteriors(shared.value, b.sizes, b.features, b.doc_of, _priors(b, k, s), len(b), s)
 
-        model = complement_weights(_dense(_sum_counts(every, k, refine), buckets, k), s.alpha)
+        model = complement_weights(_sum_counts(every, buckets, k, refined), s.alpha)
     out = SubjectModel(subjects, model, 2.0, np.full(k - 1, 2.0), s)
     shared = rows.sparkSession.sparkContext.broadcast(out)
 
-    def shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                yield pd.DataFrame({"s": list(shared.value.shares(b)), "w": list(b["weights"])})
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(list(shared.value.shares(b)), pa.list_(pa.float64())), pa.array(b.weights, pa.list_(pa.float64()))], names=["s", "w"])
 
-    seen = known.mapInPandas(shares, "s array<double>, w array<double>").toPandas()  # at most ``labelled`` rows
+    seen = known.mapInArrow(shares, "s array<double>, w array<double>").toPandas()  # at most ``labelled`` rows
     if len(seen):
         sh, w = np.stack(seen["s"].to_numpy()), np.stack(seen["w"].to_numpy())
         out.slope, out.offsets = calibrate(sh[:, :-1], w[:, :-1])
@@ -257,16 +271,15 @@ def subject_posteriors(model: SubjectModel, features: DataFrame) -> DataFrame:
     """doc_id, subject, share, posterior: of each document with statements, every area."""
     shared = features.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = m.subjects[:-1]
-        for b in batches:
-            if len(b):
-                sh = m.shares(b)
-                p = m.posteriors(sh)
-                yield pd.DataFrame({"doc_id": np.repeat(b["doc_id"].to_numpy(), len(names)), "subject": names * len(b), "share": sh[:, :-1].ravel(), "posterior": p.ravel()})
+        for b in _blocks(batches):
+            sh = m.shares(b)
+            columns = [np.repeat(b.doc_ids, len(names)), names * len(b), sh[:, :-1].ravel(), m.posteriors(sh).ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "subject", "share", "posterior"])
 
-    return features.mapInPandas(run, "doc_id bigint, subject string, share double, posterior double")
+    return features.mapInArrow(run, "doc_id bigint, subject string, share double, posterior double")
 
 
 def subject_areas(documents: DataFrame, areas: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
