@@ -52,8 +52,8 @@ def lexicon(people: DataFrame, texts: DataFrame) -> Lexicon:
     local = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z][a-z'-]+[._][a-z][a-z'-]+)(?:\+\w+)?(?:@| ?\[at\]| ?\(at\)| at )"), 1))
     found = texts.where(F.lower("text").rlike(r"@|\[at\]|\(at\)| at ")).select(local.alias("local")).groupBy("local").agg(F.count("*").alias("n"))
     half = lambda i: F.regexp_replace(F.split("local", "[._]").getItem(i), "'", "")
-    pairs = found.select(half(0).alias("a"), half(1).alias("b"), "n")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    either = F.array(F.struct(half(0).alias("a"), half(1).alias("b")), F.struct(half(1).alias("a"), half(0).alias("b")))
+    both = found.select(F.explode(either).alias("p"), "n").select("p.*", "n")
     new = both.groupBy("a").agg(F.countDistinct("b").alias("partners"), F.sum("n").alias("n"))
     new = new.where((F.col("partners") >= PARTNERS) & (F.length("a") > 2)).orderBy(F.desc("n"), "a").limit(LEXICON).toPandas()
     unknown = set(new["a"]) - given - family  # which of the two parts they are is not known
