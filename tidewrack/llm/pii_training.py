@@ -29,6 +29,7 @@ PATTERNS = (
     "traffic on {s} this morning", "the {w} room has 6 seats", "{w} is blocked by the audit", "the notes are in the {w} folder", "asked about {w}", "Dear Team, the {w} plan", "{w}: status", "meet in room 14 Court side",
     "5 Street teams joined", "window 20260717 to 20260121", "node 192.0.2.117 dropped 5 packets", "svc-roster@5.18.8 is out", "ask @Hugo about it", "{g} said the run failed", "{g} can't start before Monday",
     "{g} at the desk dot matrix printer again", "amount 1,755.01 EUR booked on 2026-07-11", "we met at noon dot", "ratio 415:555", "job 50154 ran", "hash 2ca45764ccbfe9ad", "{g} and {g} wrote the notes", "The Plan and The Risk",
+    "We found 3 errors in the way it starts", "It took 4 days on the road to finish", "after 6 people of the street team left", "2 points on the square", "9 copies of the court order", "{g} {g} and I were there", "with {g} {g} said no",
 )
 _SLOT = re.compile(r"\{(\w)\}")
 
@@ -71,7 +72,8 @@ def _fill(slot: str, r: random.Random) -> str:
     if slot in "As":
         n = r.randint(1, 900)
         forms = (("{n} {s} Street", "{s} Street"), ("{n} {s} Lane", "{s} Lane"), ("{s}weg {n}", "{s}weg"), ("Alte {s}straße {n}a", "{s}straße"), ("Calle {s}, {n}", "Calle {s}"), ("{n}, rue des {s}", "rue des {s}"), ("Am {s} {n}", "Am {s}"))
-        return r.choice(forms)[slot == "s"].format(n=n, s=street)
+        filled = r.choice(forms)[slot == "s"].format(n=n, s=street)
+        return filled.lower() if r.random() < 0.15 else filled
     if slot in "Ii":
         return _digits(r, r.choice(("999-99-9999", "999 99 9999", "X9999999X", "99.999.999-9", "9999-XX-999", "XX 99 99 99 X")))
     if slot in "Cc":
