@@ -175,9 +175,10 @@ def alias_keys(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("alias").agg(F.count("*").alias("n"))
 
 
-def question_alias_matches(spark: SparkSession, d: str) -> DataFrame:
-    words = spark.range(1).select(F.explode(F.array_distinct(X.tokens(F.lit("did zelda or the mailer ask tomas about it")))).alias("token"))
-    return graph.alias_table(entities(spark, d)).join(words, "token").select("entity").distinct()
+def alias_matches(spark: SparkSession, d: str) -> DataFrame:
+    words = artifacts(spark, d).select("artifact_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("token"))
+    hits = words.join(graph.alias_table(entities(spark, d)), "token").select("artifact_id", "entity").distinct()
+    return hits.groupBy("entity").agg(F.count("*").alias("n"))
 
 
 def _seeds(spark: SparkSession, d: str, parts: DataFrame, source: str | None = None) -> DataFrame:
@@ -388,7 +389,7 @@ QUERIES = {
     for f in (
         topic_state, ranked_blocked_topics, briefing_top12, briefing_tail, topic_status_counts, store_stats, topic_history_last6, merged_items, deduped_items,
         message_ids, new_messages, evidence_verified, topics_without_evidence, evidence_top6, evidence_union, topic_keys, doc_stats, doc_freq, bm25_topk, keyword_search,
-        cosine_topk, context_union, stale_embeddings, alias_keys, question_alias_matches, retrieval_hops, source_ablation, thread_neighbours, time_neighbours,
+        cosine_topk, context_union, stale_embeddings, alias_keys, alias_matches, retrieval_hops, source_ablation, thread_neighbours, time_neighbours,
         conflicting_claims, owner_referral, recall_at_k, fabricated_citations, mail_bodies, html_bodies, artifact_validation, json_props, chunks, last_turns, request_rate,
         item_sentences, conflict_sentences, prompt_blocks, topic_lookup, container_winner, question_overlap,
         dangling_parents, unknown_senders, fact_partition, silence_pairs, channel_outsiders, answer_terms, ingest_stats, working_days, provider_items, hashed_vectors,

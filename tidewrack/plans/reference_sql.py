@@ -145,11 +145,13 @@ ORACLE = {
         WHERE concat_ws('. ', s.topic, s.status, s.owner, s.blocker) IS DISTINCT FROM CASE WHEN e.topic IS NOT NULL THEN concat_ws('. ', e.topic, e.status, e.owner, e.blocker) END
     """,
     "alias_keys": f"SELECT alias, count(*) AS n FROM (SELECT unnest({_aliases('text')}) AS alias FROM email) GROUP BY 1",
-    "question_alias_matches": f"""
-        WITH terms AS (
+    "alias_matches": f"""
+        WITH {_ARTIFACTS}, terms AS (
             SELECT upper({_key('employee_id')}) AS entity, unnest(list_concat(list_concat(coalesce(aliases, []), [name]), [email, slack_handle])) AS term FROM employees WHERE employee_id IS NOT NULL
-            UNION ALL SELECT upper({_key('entity_id')}), name FROM externals WHERE entity_id IS NOT NULL)
-        SELECT DISTINCT entity FROM (SELECT entity, unnest({_tokens('term')}) AS token FROM terms) WHERE token IN ('zelda', 'mailer', 'ask', 'tomas')
+            UNION ALL SELECT upper({_key('entity_id')}), name FROM externals WHERE entity_id IS NOT NULL),
+        known AS (SELECT entity, unnest({_tokens('term')}) AS token FROM terms UNION SELECT entity, lower(entity) FROM terms),
+        words AS (SELECT artifact_id, unnest(list_distinct({_tokens('text')})) AS token FROM artifacts)
+        SELECT entity, count(DISTINCT artifact_id) AS n FROM words JOIN known USING (token) GROUP BY 1
     """,
     "source_ablation": f"""
         WITH {_ARTIFACTS}, {_bm25('artifacts', 'artifact_id')}, top AS (SELECT id FROM ranked ORDER BY score DESC, id LIMIT 20)
