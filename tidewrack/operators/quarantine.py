@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from tidewrack.functions.grammar import SyntaxFault, csv_record, json_record
 from tidewrack.functions.keys import blank
+from tidewrack.session import materialize
 
 #: Columns of a CSV file whose first line is missing. The layout of the exports.
 CSV_COLUMNS = ("artifact_id", "source", "container_id", "parent_id", "sender_id", "ts", "text")
@@ -81,7 +82,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     x = x.withColumn("body", body).where(~blank(F.col("body")))
     csv = x.where(is_csv & (F.coalesce(F.col("line_no"), F.lit(0)) != 1)).join(header, "file_name", "left")
     x = x.where(~is_csv).withColumn("first", F.lit(None).cast("string")).unionByName(csv)
-    p = x.withColumn("p", _parse("file_name", "body", "first")).select("file_name", "line_no", "line", "p.*")
+    p = materialize(x.withColumn("p", _parse("file_name", "body", "first")).select("file_name", "line_no", "line", "p.*"))
     firsts = p.where(F.col("reason").isNull()).groupBy("artifact_id").agg(F.min(F.struct("file_name", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1")
     p = p.join(firsts, "artifact_id", "left")
     again = F.col("reason").isNull() & F.col("first").isNotNull() & (F.col("first") != F.struct("file_name", "line_no"))
