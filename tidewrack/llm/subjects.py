@@ -11,6 +11,7 @@ Spark holds the statements and sums the expected counts; a driver sees the model
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -26,6 +27,8 @@ from tidewrack.session import materialize
 NONE = "none"
 #: Features that a task handles at once; what bounds its memory beside the longest document.
 BLOCK = 200_000
+#: Letters of a long word, and of its beginning.
+LONG, BEGINNING = 6, 5
 
 
 @dataclass(frozen=True)
@@ -34,10 +37,10 @@ class Settings:
 
     labelled: int = 50_000
     buckets: int = 1 << 17
-    rounds: int = 4
+    rounds: int = 3
     alpha: float = 0.05
     label_mass: float = 0.9  # of a statement's prior, on the labels of its document and none
-    own_mass: float = 0.3  # of a statement's prior, on the areas of its document's other statements
+    own_mass: float = 0.7  # of a statement's prior, on the areas of its document's other statements
     none_bias: float = 2.0  # evidence, in nats, that a statement needs to be about an area
     statement_words: int = 12  # text without marks is read in runs of so many words
     longest: int = 24
@@ -63,7 +66,7 @@ def statements(text: str | None, settings: Settings = Settings()) -> list[list[s
 
 
 class Features:
-    """Hashed words and pairs of neighbours."""
+    """Hashed words, pairs of neighbours, and beginnings of long words without accents, which languages share and typing errors mostly spare."""
 
     def __init__(self, buckets: int):
         self.buckets, self.known = buckets, {}
@@ -77,6 +80,13 @@ class Features:
             if h is None:
                 h = known[f] = zlib.crc32(f.encode()) % self.buckets
             out.append(h)
+        for w in words:
+            if len(w) >= LONG:
+                h = known.get((w,))
+                if h is None:
+                    plain = "".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c))
+                    h = known[(w,)] = zlib.crc32(b"^" + plain[:BEGINNING].encode()) % self.buckets
+                out.append(h)
         return out
 
 
