@@ -17,10 +17,6 @@ MERGE_KEY_WORDS = ("the", "a", "an", "project", "team")
 STORE_KEY_WORDS = (*MERGE_KEY_WORDS, "workstream", "initiative")
 
 
-def _words(words: tuple[str, ...]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
-
-
 def squeezed(c: Column) -> Column:
     """White space of any kind as single blanks, none at the ends."""
     return F.btrim(F.regexp_replace(c, r"(?U)\s+", " "))
@@ -29,7 +25,7 @@ def squeezed(c: Column) -> Column:
 def tokens(c: Column) -> Column:
     """Lower-case tokens (letters and digits, with inner apostrophes and hyphens) that are no stop words; an empty array for null."""
     found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN), F.lit(0))
-    return F.filter(found, lambda t: ~F.array_contains(_words(STOP_WORDS), t))
+    return F.filter(found, lambda t: ~t.isin(*STOP_WORDS))
 
 
 def aliases(c: Column) -> Column:
@@ -41,7 +37,7 @@ def aliases(c: Column) -> Column:
 def topic_key(c: Column, leave_out: tuple[str, ...] = STORE_KEY_WORDS) -> Column:
     """Sorted words of a topic without those left out; the topic itself, trimmed and in lower case, where none is left."""
     words = F.split(F.regexp_replace(F.lower(c), "[^a-z0-9 ]+", " "), " +")
-    kept = F.array_join(F.array_sort(F.filter(words, lambda w: (w != "") & ~F.array_contains(_words(leave_out), w))), " ")
+    kept = F.array_join(F.array_sort(F.filter(words, lambda w: (w != "") & ~w.isin(*leave_out))), " ")
     return F.when(kept != "", kept).otherwise(F.btrim(F.lower(c)))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewrack.functions.text import tokens
 from tidewrack.operators.folds import top_per_key
+from tidewrack.session import materialize
 
 #: Constants of BM25.
 K1, B = 1.2, 0.75
@@ -28,31 +29,37 @@ def document_frequency(documents: DataFrame, id_column: str, text: str) -> DataF
     return x.groupBy("token").agg(F.count("*").alias("df"))
 
 
-def _occurrences(column: str, term: str) -> Column:
-    return F.size(F.filter(column, lambda w: w == F.lit(term)))
+def _counts(text: str, terms: list[str]) -> Column:
+    """(length, tf) of a text: its tokens, and how many of them are each term; the text is split once."""
+
+    def occurrences(words: Column, term: str) -> Column:
+        return F.size(F.filter(words, lambda w: w == F.lit(term)))
+
+    def counted(words: Column) -> Column:
+        return F.struct(F.size(words).alias("length"), F.array(*[occurrences(words, t) for t in terms]).cast("array<int>").alias("tf"))
+
+    return F.get(F.transform(F.array(tokens(F.col(text))), counted), F.lit(0))
 
 
 def bm25(documents: DataFrame, id_column: str, text: str, query: str) -> DataFrame:
     """(id, score) of the documents with a token of the query; a token that the query repeats counts as often.
 
-    One pass gives the counts of the few query tokens in every document, from which lengths, frequencies and scores
-    follow; the vocabulary is never shuffled.
+    One pass over the texts leaves the counts of the few query tokens in every document, from which lengths,
+    frequencies and scores follow; the vocabulary is never shuffled.
     """
     spark = documents.sparkSession
     asked = spark.range(1).select(tokens(F.lit(query)).alias("t")).head()["t"]
     terms = sorted(set(asked))
-    t = tokens(F.col(text))
-    x = documents.select(id_column, t.alias("t")).select(id_column, F.size("t").alias("length"), *[_occurrences("t", q).alias(f"tf{i}") for i, q in enumerate(terms)])
-    stats = x.agg(F.count("*").alias("n"), F.sum("length").alias("total"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).head()
+    x = materialize(documents.select(id_column, _counts(text, terms).alias("c")).select(id_column, "c.*"))
+    tf = [F.get("tf", F.lit(i)).cast("double") for i in range(len(terms))]
+    stats = x.agg(F.count("*").alias("n"), F.sum("length").alias("total"), *[F.count_if(t > 0).alias(f"df{i}") for i, t in enumerate(tf)]).head()
     average = (stats["total"] or 0) / max(1, stats["n"])
     score = F.lit(0.0)
     for i, q in enumerate(terms):
         df = F.lit(float(stats[f"df{i}"]))
         idf = F.greatest(F.lit(0.0), F.ln((F.lit(float(stats["n"])) - df + 0.5) / (df + 0.5) + 1))
-        tf = F.col(f"tf{i}").cast("double")
-        score = score + F.lit(float(asked.count(q))) * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(average or 1.0)))
-    found = F.greatest(F.lit(0), F.lit(0), *[F.col(f"tf{i}") for i in range(len(terms))]) > 0
-    return x.where(found).select(id_column, score.alias("score"))
+        score = score + F.lit(float(asked.count(q))) * idf * tf[i] * (K1 + 1) / (tf[i] + K1 * (1 - B + B * F.col("length") / F.lit(average or 1.0)))
+    return x.where(F.exists("tf", lambda n: n > 0)).select(id_column, score.alias("score"))
 
 
 def keyword_score(documents: DataFrame, id_column: str, text: str, terms: list[str]) -> DataFrame:
