@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.functions.keys import blank, norm_key
+from tidewrack.operators.folds import top_per_key
 
 # What statuses, confidences and sources there are.
 STATUSES = ("on_track", "at_risk", "blocked", "unclear")
@@ -67,9 +68,25 @@ def fact_partition(facts: DataFrame) -> DataFrame:
 
 
 def unanswered(artifacts: DataFrame, hours: int = 48) -> DataFrame:
-    """(artifact_id, container_id): first artifacts of a container that no one but their sender follows up within ``hours``."""
-    first = artifacts.where("parent_id IS NULL AND ts IS NOT NULL AND container_id IS NOT NULL AND sender_id IS NOT NULL").select("artifact_id", "container_id", "ts", "sender_id")
-    reply = artifacts.select("container_id", F.col("ts").alias("t"), F.col("sender_id").alias("s"))
-    gap = F.unix_timestamp("t") - F.unix_timestamp("ts")
-    answered = first.join(reply, "container_id").where((F.col("s") != F.col("sender_id")) & (gap >= 0) & (gap <= hours * 3600)).select("artifact_id").distinct()
-    return first.join(answered, "artifact_id", "left_anti").select("artifact_id", "container_id")
+    """(artifact_id, container_id): first artifacts of a container that no one but their sender follows up within ``hours``.
+
+    Time is cut into spans of that length. A span of a container is reduced to its two senders with the last, and its two
+    with the first artifacts; these tell of any first artifact whether another sender follows, so no pairs are made.
+    """
+    span = hours * 3600
+    x = artifacts.where("ts IS NOT NULL AND container_id IS NOT NULL AND sender_id IS NOT NULL").select("artifact_id", "container_id", "parent_id", "sender_id", F.unix_timestamp("ts").alias("at"))
+    x = x.withColumn("span", F.floor(F.col("at") / span))
+    said = x.groupBy("container_id", "span", "sender_id").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+
+    def two(order: Column, value: str) -> DataFrame:
+        top = top_per_key(said, ["container_id", "span"], [order, F.asc("sender_id")], 2)
+        return top.groupBy("container_id", "span").agg(F.collect_list(F.struct(F.col("sender_id").alias("s"), F.col(value).alias("t"))).alias(value))
+
+    roots = x.where("parent_id IS NULL")
+    same = roots.join(two(F.desc("last"), "last"), ["container_id", "span"], "left")
+    after = two(F.asc("first"), "first").withColumn("span", F.col("span") - 1)
+    both = same.join(after, ["container_id", "span"], "left")
+    in_span = F.exists("last", lambda o: (o["s"] != F.col("sender_id")) & (o["t"] >= F.col("at")))
+    next_span = F.exists("first", lambda o: (o["s"] != F.col("sender_id")) & (o["t"] <= F.col("at") + span))
+    answered = F.coalesce(in_span, F.lit(False)) | F.coalesce(next_span, F.lit(False))
+    return both.where(~answered).select("artifact_id", "container_id")

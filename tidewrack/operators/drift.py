@@ -144,26 +144,36 @@ def schema_changes(lines: DataFrame, files: DataFrame, columns: Sequence[str] =
     return edits.unionByName(retyped)
 
 
-def unified_names(files: DataFrame, changes: DataFrame) -> DataFrame:
-    """stream, file_no, old, name: the field ``old`` of files before ``file_no`` of the stream is called ``name`` at its end.
+def _next_end(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """``rows`` (stream, field, no, ...) with ``end`` (no, to): the first of ``ends`` (stream, field, no, to) after them; null where none follows.
 
-    The scripts' renames, chained: a rename leads on to the next rename of its new name unless that was removed in
-    between. Chains are shortened by pointer doubling, so their number of rounds is the logarithm of their length.
+    One sorted pass over both for each field of a stream; no pairs of rows and ends are made.
     """
-    place = file_pairs(files).select("file_name", "stream", "file_no")
-    ends = changes.where(F.col("change").isin("renamed", "removed")).join(place, "file_name").select("stream", "file_no", F.col("field").alias("old"), F.when(F.col("change") == "renamed", F.col("new_field")).alias("name"))
-    ends = materialize(ends.groupBy("stream", "old", "file_no").agg(F.max("name").alias("name")))
-    steps = ends.where(F.col("name").isNotNull())
-    then = ends.select("stream", F.col("old").alias("name"), F.struct(F.col("file_no").alias("no"), F.col("name").alias("to")).alias("n"))
-    nxt = steps.join(then, ["stream", "name"]).where(F.col("n.no") > F.col("file_no")).groupBy("stream", "old", "file_no", "name").agg(F.min("n").alias("n"))
-    links = steps.join(nxt, ["stream", "old", "file_no", "name"], "left").select("stream", "file_no", "old", "name", F.when(F.col("n.to").isNotNull(), F.col("n.no")).alias("next_no"))
+    payload = [c for c in rows.columns if c not in ("stream", "field", "no")]
+    a = rows.select("stream", "field", "no", F.lit(0).alias("k"), F.struct(F.lit(1).alias("_"), *payload).alias("row"), F.lit(None).cast("struct<no:int,to:string>").alias("e"))
+    b = ends.select("stream", "field", "no", F.lit(1).alias("k"), F.lit(None).cast(a.schema["row"].dataType).alias("row"), F.struct(F.col("no").cast("int").alias("no"), "to").alias("e"))
+    later = W.partitionBy("stream", "field").orderBy(F.desc("no"), "k").rowsBetween(W.unboundedPreceding, -1)
+    x = a.unionByName(b).withColumn("end", F.last("e", ignorenulls=True).over(later)).where("k = 0")
+    return x.select("stream", "field", "no", *[F.col(f"row.{c}").alias(c) for c in payload], "end")
+
+
+def field_ends(files: DataFrame, changes: DataFrame) -> DataFrame:
+    """stream, field, no, to: a field ends with file ``no`` of its stream and is called ``to`` at the stream's end; null: it was removed.
+
+    The scripts' renames, chained: a rename leads on to the next end of its new name, if that is a rename. Chains are
+    shortened by pointer doubling, so their number of rounds is the logarithm of their length.
+    """
+    place = file_pairs(files).select("file_name", "stream", F.col("file_no").cast("int").alias("no"))
+    x = changes.where(F.col("change").isin("renamed", "removed")).join(place, "file_name")
+    x = x.groupBy("stream", "field", "no").agg(F.max(F.when(F.col("change") == "renamed", F.col("new_field"))).alias("to"))
+    ends = materialize(x)
+    steps = ends.where(F.col("to").isNotNull()).select("stream", F.col("to").alias("field"), "no", F.col("field").alias("old"))
+    links = _next_end(steps, ends).select("stream", F.col("old").alias("field"), "no", F.col("field").alias("to"), F.when(F.col("end.to").isNotNull(), F.col("end.no")).alias("next_no"))
     links = materialize(links)
     while not links.where(F.col("next_no").isNotNull()).isEmpty():
-        on = links.select("stream", F.col("file_no").alias("next_no"), F.col("old").alias("name"), F.col("name").alias("name2"), F.col("next_no").alias("next2"))
-        links = materialize(
-            links.join(on, ["stream", "next_no", "name"], "left").select("stream", "file_no", "old", F.coalesce("name2", "name").alias("name"), F.when(F.col("name2").isNotNull(), F.col("next2")).alias("next_no"))
-        )
-    return links.drop("next_no")
+        on = links.select("stream", F.col("field").alias("to"), F.col("no").alias("next_no"), F.col("to").alias("to2"), F.col("next_no").alias("next2"))
+        links = materialize(links.join(on, ["stream", "to", "next_no"], "left").select("stream", "field", "no", F.coalesce("to2", "to").alias("to"), F.when(F.col("to2").isNotNull(), F.col("next2")).alias("next_no")))
+    return links.drop("next_no").unionByName(ends.where(F.col("to").isNull()))
 
 
 def _named_entries(column: str) -> Column:
@@ -184,15 +194,11 @@ def unified_table(lines: DataFrame, files: DataFrame, columns: Sequence[str] = (
     The scripts are compiled into one projection a file, a map of old to last name, applied to its lines. Of two
     fields that end under one name the one that bore it counts.
     """
-    changes = schema_changes(lines, files, columns)
-    names = unified_names(files, changes)
-    place = file_pairs(files).select("file_name", "stream", F.col("file_no").alias("no"))
-    first = F.min(F.struct(F.col("file_no"), F.col("name"))).alias("n")
-    renames = place.join(names, "stream").where(F.col("file_no") > F.col("no")).groupBy("file_name", "old").agg(first)
-    removed = changes.where(F.col("change") == "removed").join(place, "file_name").select("stream", F.col("field").alias("old"), F.col("no").alias("end"))
-    cut = place.join(removed, "stream").where(F.col("end") > F.col("no")).groupBy("file_name", "old").agg(F.min("end").alias("end"))
-    renames = renames.join(cut, ["file_name", "old"], "left").where(F.col("end").isNull() | (F.col("end") > F.col("n.file_no")))
-    projection = renames.groupBy("file_name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("old", F.col("n.name").alias("name"))))).alias("projection"))
+    place = file_pairs(files).select("file_name", "stream", F.col("file_no").cast("int").alias("no"))
+    ends = field_ends(files, schema_changes(lines, files, columns))
+    borne = field_rows(lines, columns).select("file_name", "field").distinct().join(place, "file_name").select("stream", "field", "no", "file_name")
+    renamed = _next_end(borne, ends).where(F.col("end.to").isNotNull()).select("file_name", F.struct(F.col("field").alias("old"), F.col("end.to").alias("name")).alias("r"))
+    projection = renamed.groupBy("file_name").agg(F.map_from_entries(F.array_sort(F.collect_list("r"))).alias("projection"))
     x = lines.select("file_name", "line_no", "artifact_id", *columns).join(projection, "file_name", "left")
     parts = [_named_entries(c) for c in columns]
     entries = F.array_sort(F.concat(*parts) if len(parts) > 1 else parts[0])  # by name at the end, own name first

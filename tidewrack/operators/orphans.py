@@ -36,12 +36,12 @@ MESSAGE_REFERENCES = (
 
 
 def first_deliveries(rows: DataFrame, ref: Reference) -> DataFrame:
-    """One row for each referring record: its first delivery (least loaded_at, then least reference).
+    """One row for each referring record: its first delivery (least loaded_at, null ones last, then least reference).
 
     Rows without key are no deliveries of one record; they count one for each distinct reference.
     """
     key = norm_key(F.col(ref.key))
-    pick = F.min(F.struct(F.col("loaded_at"), trimmed(F.col(ref.field)).alias("to"), trimmed(F.col(ref.key)).alias("row_key")))
+    pick = F.min(F.struct(F.col("loaded_at").isNull().alias("undated"), F.col("loaded_at"), trimmed(F.col(ref.field)).alias("to"), trimmed(F.col(ref.key)).alias("row_key")))
     x = rows.groupBy(key.alias("k"), F.when(key.isNull(), norm_key(F.col(ref.field))).alias("k2")).agg(pick.alias("x"))
     return x.select(F.lit(ref.table).alias("ref_table"), F.lit(ref.field).alias("ref_field"), F.col("x.row_key").alias("row_key"), F.col("k").alias("row_id"), norm_key(F.col("x.to")).alias("to_id"), F.col("x.loaded_at").alias("loaded_at"))
 

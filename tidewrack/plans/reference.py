@@ -201,9 +201,9 @@ def source_ablation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def thread_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    parts = artifacts(spark, d)
-    front = parts.where("parent_id IS NULL AND container_id IS NOT NULL").select("container_id", F.col("artifact_id").alias("from_id"))
-    return front.join(parts, "container_id").where("artifact_id <> from_id").groupBy("from_id").agg(F.count("*").alias("n"))
+    parts = artifacts(spark, d).where("container_id IS NOT NULL")
+    sizes = parts.groupBy("container_id").agg((F.count("*") - 1).alias("n")).where("n > 0")
+    return parts.where("parent_id IS NULL").select("container_id", F.col("artifact_id").alias("from_id")).join(sizes, "container_id").select("from_id", "n")
 
 
 def time_neighbours(spark: SparkSession, d: str) -> DataFrame:
