@@ -87,6 +87,21 @@ def test_cosine_is_exact_in_blocks(spark):
         assert sorted(got[q]) == want
 
 
+def test_cosine_never_groups_rows_and_ranks_by_the_rounded_score(spark):
+    near = [[1.0, 0.0], [1.0, 2e-4], [1.0, 1e-4], [1.0, 1.0]]
+    df = spark.createDataFrame([*enumerate(near)], "id bigint, e array<double>").coalesce(1)
+    found = retrieval.cosine_top(df.where("id = 0"), df, "id", "e", 1)
+    assert rows(found, "query_id", "id", "score") == [(0, 1, 1.0)]
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    r = np.random.default_rng(6).normal(size=(3000, 4))
+    many = spark.createDataFrame([(i, [float(x) for x in r[i]]) for i in range(3000)], "id bigint, e array<double>").repartition(3)
+    unit = r / np.linalg.norm(r, axis=1, keepdims=True)
+    got = rows(retrieval.cosine_top(many.where("id < 2"), many, "id", "e", 5), "query_id", "score", "id")
+    want = [sorted((-round(float(unit[q] @ unit[i]), 6), i) for i in range(3000) if i != q)[:5] for q in range(2)]
+    assert got == sorted((q, -s, i) for q in range(2) for s, i in want[q])
+    assert retrieval.cosine_top(many.where("id < 0"), many, "id", "e", 5).count() == 0
+
+
 def artifacts(spark):
     data = [("a1", "slack", "c1", None, "E1", ["E2"], "retry is blocked", 0), ("a2", "slack", "c1", "a1", "E2", [], "eng-44 waits", 3600), ("a3", "email", "c2", None, "E3", None, "see ENG-44", 7200), ("a4", "email", "c3", "zz", "E9", [], "", None), ("a5", "slack", None, None, "E1", [], None, 18000)]
     return spark.createDataFrame(data, "artifact_id string, source string, container_id string, parent_id string, sender_id string, recipients array<string>, text string, s int").withColumn("ts", F.timestamp_seconds("s"))

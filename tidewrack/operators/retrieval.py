@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tidewrack.functions.text import tokens
 from tidewrack.operators.folds import top_per_key
-from tidewrack.session import materialize
+from tidewrack.session import materialize, materialize_all
 
 #: Constants of BM25.
 K1, B = 1.2, 0.75
@@ -69,36 +69,49 @@ def keyword_score(documents: DataFrame, id_column: str, text: str, terms: list[s
     return documents.select(id_column, (hits / F.lit(float(len(terms)))).alias("score")).where("score > 0")
 
 
+def _best_of(block: list[Row], k: int, size: int = 1024) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A task's k best rows of each query of a block (query_id, q): products with ``size`` rows at a time, only the best are kept."""
+
+    def unit(vectors) -> np.ndarray:
+        m = np.array([np.asarray(x, "float64") for x in vectors])
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+
+    qi = np.array([x["query_id"] for x in block], "int64")
+    q = unit([x["q"] for x in block]) if block else np.zeros((0, 0))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, best = np.zeros((len(qi), 0), "int64"), np.zeros((len(qi), 0))
+        for b in batches:
+            for at in range(0, len(b), size):
+                vi = b["id"].to_numpy("int64")[at : at + size]
+                score = np.round(q @ unit(b["v"].iloc[at : at + size]).T, 6) + 0.0
+                score[qi[:, None] == vi[None, :]] = -np.inf
+                ids, best = np.hstack([ids, np.broadcast_to(vi, score.shape)]), np.hstack([best, score])
+                order = np.lexsort((ids, -best), axis=-1)[:, :k]
+                ids, best = np.take_along_axis(ids, order, 1), np.take_along_axis(best, order, 1)
+        found = np.isfinite(best)
+        yield pd.DataFrame({"query_id": np.repeat(qi, found.sum(axis=1)), "id": ids[found], "score": best[found]})
+
+    return run
+
+
 def cosine_top(queries: DataFrame, rows: DataFrame, id_column: str, vector: str, k: int, block: int = 2048) -> DataFrame:
     """(query_id, id, score, place): the k rows of greatest cosine of each query vector, itself left out; exact.
 
-    Queries are put in blocks; each task of rows meets each block once, as a matrix product, and passes on its k best of
-    each query only. Vectors of norm 0 score 0. Null vectors are left out. Ties go to the lesser id.
+    Queries go out in blocks of about ``block``, one block a job. The rows are read where they lie and never grouped or
+    shuffled; each task passes on its k best of each query only. Vectors of norm 0 score 0. Null vectors are left out.
+    Ties, at six digits, go to the lesser id.
     """
     q = queries.where(F.col(vector).isNotNull()).select(F.col(id_column).alias("query_id"), F.col(vector).alias("q"))
-    n = max(1, -(-queries.count() // block))
-    blocks = q.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("b")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    rb = rows.where(F.col(vector).isNotNull()).select(F.col(id_column).alias("id"), F.col(vector).alias("v")).withColumn("r", F.pmod(F.xxhash64("id"), F.lit(n)))
-    rb = rb.groupBy("r").agg(F.collect_list(F.struct("id", "v")).alias("vs"))
-    pairs = rb.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("b", F.col("b").cast("bigint")).join(blocks, "b").select("qs", "vs")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def unit(rows) -> np.ndarray:
-            m = np.array([np.asarray(x, "float64") for x in rows])
-            return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+    v = rows.where(F.col(vector).isNotNull()).select(F.col(id_column).alias("id"), F.col(vector).alias("v"))
+    n = max(1, -(-q.count() // block))
 
-        for b in batches:
-            for qs, vs in zip(b["qs"], b["vs"], strict=True):
-                qi, vi = np.array([x["query_id"] for x in qs]), np.array([x["id"] for x in vs])
-                score = unit([x["q"] for x in qs]) @ unit([x["v"] for x in vs]).T
-                score[qi[:, None] == vi[None, :]] = -np.inf
-                for i in range(len(qi)):
-                    at = np.lexsort((vi, -np.round(score[i], 9)))[:k]
-                    at = at[np.isfinite(score[i][at])]
-                    yield pd.DataFrame({"query_id": qi[i], "id": vi[at], "score": score[i][at]})
+    def best(i: int) -> DataFrame:
+        asked = q.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i).collect()
+        found = (v if asked else v.limit(0)).mapInPandas(_best_of(asked, k), "query_id bigint, id bigint, score double")
+        return top_per_key(found, ["query_id"], [F.desc("score"), F.asc("id")], k)
 
-    best = pairs.mapInPandas(run, "query_id bigint, id bigint, score double")
-    return top_per_key(best.withColumn("score", F.round("score", 6)), ["query_id"], [F.desc("score"), F.asc("id")], k)
+    return best(0) if n == 1 else materialize_all(best(i) for i in range(n))
 
 
 def with_urgent(hits: DataFrame, topics: DataFrame, floor: int = 2, among: int = 5) -> DataFrame:

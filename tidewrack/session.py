@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +49,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_all(parts: Iterable[DataFrame]) -> DataFrame:
+    """Write frames of one schema (at least one) as one table, one after the other, and read it back; a later frame is made when the earlier ones are written."""
+    path = ""
+    for df in parts:
+        path = path or f"{shared_dir(df.sparkSession).rstrip('/')}/tidewrack-{uuid.uuid4().hex}"
+        df.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once a session's context, so Python tasks can import it anywhere."""
     sc = spark.sparkContext
