@@ -121,6 +121,20 @@ def test_graph_hops_and_checks(spark):
     assert reasons == [None, None, None, "ts", "container_id"]
 
 
+def test_retrieval_takes_alias_seeds_and_closes_over_aliases(spark):
+    data = [("b1", "slack", "c1", "E1", "the retry waits", 0), ("b2", "email", "c2", "E2", "pay-7 is late", 0), ("b3", "email", "c3", "E3", "after PAY-7", 0), ("b4", "email", "c4", "E4", "see OPS-9", 0), ("b5", "email", "c5", "E5", "ops-9 done", 0), ("b6", "email", "c6", "E6", "lunch", 0)]
+    parts = spark.createDataFrame([(i, s, c, None, p, [], t, at) for i, s, c, p, t, at in data], "artifact_id string, source string, container_id string, parent_id string, sender_id string, recipients array<string>, text string, s int").withColumn("ts", F.timestamp_seconds("s"))
+    table = graph.alias_table(spark.createDataFrame([("E4", ["Ann"])], "entity string, terms array<string>"))
+    links, keys = graph.artifact_entities(parts, table), graph.alias_keys(parts)
+    question = "retry of pay-7 by Ann"
+    ranked = retrieval.bm25(parts, "artifact_id", "text", question)
+    assert {r.artifact_id for r in graph.seeds(question, ranked, parts, links, table, keys).collect()} == {"b1", "b2", "b3", "b4"}
+    mails = parts.where("source = 'email'")
+    assert {r.artifact_id for r in graph.seeds(question, ranked, mails, links, table, keys).collect()} == {"b2", "b3", "b4"}
+    got = graph.retrieve(parts.where("artifact_id IN ('b1', 'b4')"), parts, links.where("false"), question=question).collect()
+    assert [(r.artifact_id, r.hop, r.path) for r in got] == [("b4", 0, ["b4"]), ("b2", 0, ["b2"]), ("b3", 0, ["b3"]), ("b5", 1, ["b4", "b5"]), ("b1", 0, ["b1"])]
+
+
 def test_items_answers_and_conflicts(spark):
     good = {"source": "s", "topic": "t", "status": "blocked", "confidence": "low", "evidence": [{"artifact_id": "a", "span": "x"}]}
     cases = [(good, None), ({**good, "x": 1}, "unknown field"), ({k: v for k, v in good.items() if k != "topic"}, "missing field"), ({**good, "status": "fine"}, "status"), ({**good, "evidence": []}, "evidence"), ({**good, "topic": " "}, "topic"), ([1], "not an object")]

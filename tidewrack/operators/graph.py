@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewrack.functions.keys import norm_key
@@ -36,6 +37,37 @@ def artifact_entities(artifacts: DataFrame, table: DataFrame) -> DataFrame:
     return out.select("artifact_id", F.upper(F.btrim("entity")).alias("entity")).distinct()
 
 
+def alias_keys(artifacts: DataFrame) -> DataFrame:
+    """(artifact_id, alias): aliases in text, ids and people of an artifact, and the tokens of its container and parent."""
+    people = F.flatten(F.transform(F.coalesce("recipients", F.array().cast("array<string>")), lambda r: aliases(r)))
+    fields = [aliases(F.col(c)) for c in ("text", "container_id", "parent_id", "sender_id")]
+    found = F.array_distinct(F.concat(*fields, people, tokens(F.col("container_id")), tokens(F.col("parent_id"))))
+    return artifacts.select("artifact_id", F.explode(found).alias("alias"))
+
+
+def asked_words(spark: SparkSession, question: str) -> tuple[list[str], list[str]]:
+    """(tokens, aliases) of a question."""
+    return tuple(spark.range(1).select(tokens(F.lit(question)), aliases(F.lit(question))).head())
+
+
+def seeds(question: str, ranked: DataFrame, artifacts: DataFrame, entities: DataFrame, table: DataFrame, keys: DataFrame, top_k: int = 20) -> DataFrame:
+    """(artifact_id, place): the best max(3 top_k, 30) of ``ranked`` (artifact_id, score) and the artifacts of the question's aliases and entities; 2 top_k at most.
+
+    Only ``artifacts`` are kept, after that best part of ``ranked`` was taken. The two lists take turns, the ranked one
+    first, so that the cap leaves room for both; alias hits come by id. Of either list no more than 2 top_k can be kept.
+    """
+    words, named = asked_words(artifacts.sparkSession, question)
+    known = table.where(F.col("token").isin(*words, *named)).select(F.upper(F.btrim("entity")).alias("entity")).distinct()
+    hits = entities.join(known, "entity").select("artifact_id").unionByName(keys.where(F.col("alias").isin(*named)).select("artifact_id")).distinct()
+    here = artifacts.select("artifact_id")
+    best = ranked.orderBy(F.desc("score"), "artifact_id").limit(max(3 * top_k, 30)).join(here, "artifact_id", "left_semi")
+    best = best.select("artifact_id", F.lit(0).alias("list"), F.row_number().over(W.orderBy(F.desc("score"), "artifact_id")).alias("turn"))
+    hits = hits.join(here, "artifact_id", "left_semi").orderBy("artifact_id").limit(2 * top_k)
+    hits = hits.select("artifact_id", F.lit(1).alias("list"), F.row_number().over(W.orderBy("artifact_id")).alias("turn"))
+    x = best.unionByName(hits).groupBy("artifact_id").agg(F.min(F.struct("turn", "list")).alias("at")).orderBy("at", "artifact_id").limit(2 * top_k)
+    return x.select("artifact_id", F.row_number().over(W.orderBy("at", "artifact_id")).alias("place"))
+
+
 def neighbours(frontier: DataFrame, artifacts: DataFrame, entities: DataFrame, hours: int = 6) -> DataFrame:
     """(artifact_id, path, score) of the neighbours of the frontier (artifact_id, path): for each the best score, then least path.
 
@@ -60,24 +92,39 @@ def time_neighbours(frontier: DataFrame, artifacts: DataFrame, entities: DataFra
     return x.select("from_id", "artifact_id").distinct()
 
 
-def retrieve(seeds: DataFrame, artifacts: DataFrame, entities: DataFrame, hops: int = 3, cap: int = 45, top_k: int = 50) -> DataFrame:
-    """(artifact_id, hop, path): seeds (hop 0) and what they reach, each hop's best ``cap``, until ``top_k`` are seen; a capped report.
+def retrieve(seeds: DataFrame, artifacts: DataFrame, entities: DataFrame, hops: int = 3, cap: int = 600, top_k: int = 50, question: str = "") -> DataFrame:
+    """(artifact_id, hop, path): seeds (hop 0), what they reach, each hop's best ``cap``, until ``top_k`` are seen, and the alias closure; a report of ``top_k``.
 
-    Paths are whole, from the seed on.
+    The closure adds the artifacts under an alias of the question (hop 0) and those under an alias in the text of one that
+    was found (one hop more). Alias hits come first, then others, both as they were found: seeds by ``place`` if they have
+    one, a hop by score, the closure by what led there, each then by id. Paths are whole, from the seed on.
     """
-    seen = materialize(seeds.select("artifact_id", F.lit(0).alias("hop"), F.array("artifact_id").alias("path")))
+    place = F.col("place") if "place" in seeds.columns else F.lit(0)
+    seen = materialize(seeds.select("artifact_id", F.lit(0).alias("hop"), F.array("artifact_id").alias("path"), F.lit(0).alias("step"), place.cast("double").alias("key")))
     frontier, n = seen, seen.count()
     for hop in range(1, hops + 1):
         if n >= top_k:
             break
         new = neighbours(frontier.select("artifact_id", "path"), artifacts, entities).join(seen.select("artifact_id"), "artifact_id", "left_anti")
-        frontier = materialize(new.orderBy(F.desc("score"), "artifact_id").limit(cap).select("artifact_id", F.lit(hop).alias("hop"), "path"))
+        frontier = materialize(new.orderBy(F.desc("score"), "artifact_id").limit(cap).select("artifact_id", F.lit(hop).alias("hop"), "path", F.lit(hop).alias("step"), (-F.col("score")).alias("key")))
         found = frontier.count()
         if not found:
             break
         n += found
         seen = seen.unionByName(frontier)
-    return seen.orderBy("hop", "artifact_id").limit(top_k)
+    keys = alias_keys(artifacts)
+    named = asked_words(artifacts.sparkSession, question)[1]
+    asked = keys.where(F.col("alias").isin(*named)).select("artifact_id").distinct()
+    asked = materialize(asked.select("artifact_id", F.lit(0).alias("hop"), F.array("artifact_id").alias("path"), F.lit(hops + 1).alias("step"), F.lit(0.0).alias("key")))
+    seen = materialize(seen.unionByName(asked.join(seen.select("artifact_id"), "artifact_id", "left_anti")))
+    # the first that was found with an alias leads to all artifacts of the alias, so a hot alias is one row here
+    said = seen.join(artifacts.select("artifact_id", "text"), "artifact_id").select(F.struct("step", "key", "artifact_id", "hop", "path").alias("by"), F.explode(aliases(F.col("text"))).alias("alias"))
+    hits = said.groupBy("alias").agg(F.min("by").alias("by")).join(keys, "alias").groupBy("artifact_id").agg(F.min("by").alias("by"))
+    hits = materialize(hits.unionByName(asked.join(hits, "artifact_id", "left_anti").select("artifact_id", F.lit(None).cast(hits.schema["by"].dataType).alias("by"))))
+    order = ["step", "key", F.col("by.step"), F.col("by.key"), F.col("by.artifact_id"), "artifact_id"]
+    closed = hits.join(seen.select("artifact_id"), "artifact_id", "left_anti").select("artifact_id", (F.col("by.hop") + 1).alias("hop"), F.concat("by.path", F.array("artifact_id")).alias("path"), F.lit(hops + 2).alias("step"), F.lit(0.0).alias("key"), "by", F.lit(True).alias("is_hit"))
+    old = seen.join(hits.select("artifact_id", F.lit(True).alias("is_hit")), "artifact_id", "left").withColumn("by", F.lit(None).cast(hits.schema["by"].dataType)).withColumn("is_hit", F.col("is_hit").isNotNull())
+    return old.unionByName(closed).orderBy(F.desc("is_hit"), *order).limit(top_k).select("artifact_id", "hop", "path")
 
 
 def normalized_artifacts(*tables: DataFrame) -> DataFrame:

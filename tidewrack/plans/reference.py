@@ -6,6 +6,8 @@ day); artifacts are ``email`` and ``ticket``; evidence is ``topic_evidence``; do
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -189,10 +191,29 @@ def _seeds(spark: SparkSession, d: str, parts: DataFrame, source: str | None = N
     return x.select("artifact_id")
 
 
+def _found(parts: DataFrame, table: DataFrame) -> Callable[[str | None], tuple[DataFrame, DataFrame, DataFrame]]:
+    """(seeds, artifacts, links) of the question over all artifacts, or over those of one source only; ranks are always those among all."""
+    links = materialize(graph.artifact_entities(parts, table))
+    ranked = retrieval.bm25(parts, "artifact_id", "text", QUESTION).withColumn("score", F.round("score", 6))
+    keys = graph.alias_keys(parts)
+
+    def of(source: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        here = parts.where(F.col("source") == source) if source else parts
+        known = links.join(here.select("artifact_id"), "artifact_id", "left_semi") if source else links
+        return graph.seeds(QUESTION, ranked, here, known, table, keys), here, known
+
+    return of
+
+
 def retrieval_hops(spark: SparkSession, d: str) -> DataFrame:
-    parts = materialize(artifacts(spark, d))
-    links = materialize(graph.artifact_entities(parts, graph.alias_table(entities(spark, d))))
-    return graph.retrieve(_seeds(spark, d, parts), parts, links).select("artifact_id", "hop", F.size("path").alias("path_length"))
+    of = _found(materialize(artifacts(spark, d)), graph.alias_table(entities(spark, d)))
+    return graph.retrieve(*of(None), question=QUESTION).select("artifact_id", "hop", F.size("path").alias("path_length"))
+
+
+def source_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    of = _found(materialize(artifacts(spark, d)), graph.alias_table(entities(spark, d)))
+    parts = [graph.retrieve(*of(s), question=QUESTION).select("artifact_id", "hop", F.size("path").alias("path_length"), F.lit(s).alias("only")) for s in ("email", "ticket")]
+    return parts[0].unionByName(parts[1])
 
 
 def source_ablation(spark: SparkSession, d: str) -> DataFrame:
@@ -389,7 +410,7 @@ QUERIES = {
     for f in (
         topic_state, ranked_blocked_topics, briefing_top12, briefing_tail, topic_status_counts, store_stats, topic_history_last6, merged_items, deduped_items,
         message_ids, new_messages, evidence_verified, topics_without_evidence, evidence_top6, evidence_union, topic_keys, doc_stats, doc_freq, bm25_topk, keyword_search,
-        cosine_topk, context_union, stale_embeddings, alias_keys, alias_matches, retrieval_hops, source_ablation, thread_neighbours, time_neighbours,
+        cosine_topk, context_union, stale_embeddings, alias_keys, alias_matches, retrieval_hops, source_ablation, source_retrieval, thread_neighbours, time_neighbours,
         conflicting_claims, owner_referral, recall_at_k, fabricated_citations, mail_bodies, html_bodies, artifact_validation, json_props, chunks, last_turns, request_rate,
         item_sentences, conflict_sentences, prompt_blocks, topic_lookup, container_winner, question_overlap,
         dangling_parents, unknown_senders, fact_partition, silence_pairs, channel_outsiders, answer_terms, ingest_stats, working_days, provider_items, hashed_vectors,
