@@ -121,6 +121,13 @@ def test_graph_hops_and_checks(spark):
     assert reasons == [None, None, None, "ts", "container_id"]
 
 
+def test_entities_are_found_inside_hyphenated_words(spark):
+    texts = ["svc-bill-v2 fails", "Anna Meyer-Lee called", "Lee's turn", "re-svc-bill's log", "svc-billing", "a_lee or éLee", "o'lee--lee", "svc--bill", None]
+    parts = spark.createDataFrame([(str(i), t, None, None, []) for i, t in enumerate(texts)], "artifact_id string, text string, container_id string, sender_id string, recipients array<string>")
+    table = graph.alias_table(spark.createDataFrame([("S1", ["svc-bill"]), ("E1", ["Lee"])], "entity string, terms array<string>"))
+    assert rows(graph.artifact_entities(parts, table).where("entity IN ('S1', 'E1')"), "artifact_id", "entity") == [("0", "S1"), ("1", "E1"), ("2", "E1"), ("3", "S1"), ("6", "E1")]
+
+
 def test_retrieval_takes_alias_seeds_and_closes_over_aliases(spark):
     data = [("b1", "slack", "c1", "E1", "the retry waits", 0), ("b2", "email", "c2", "E2", "pay-7 is late", 0), ("b3", "email", "c3", "E3", "after PAY-7", 0), ("b4", "email", "c4", "E4", "see OPS-9", 0), ("b5", "email", "c5", "E5", "ops-9 done", 0), ("b6", "email", "c6", "E6", "lunch", 0)]
     parts = spark.createDataFrame([(i, s, c, None, p, [], t, at) for i, s, c, p, t, at in data], "artifact_id string, source string, container_id string, parent_id string, sender_id string, recipients array<string>, text string, s int").withColumn("ts", F.timestamp_seconds("s"))

@@ -28,6 +28,23 @@ def tokens(c: Column) -> Column:
     return F.filter(found, lambda t: ~t.isin(*STOP_WORDS))
 
 
+def word_spans(c: Column, most: int) -> Column:
+    """Distinct runs of at most ``most`` words in a text in lower case that only hyphens and apostrophes divide, parts of longer runs too."""
+    runs = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)\w+(?:['-]+\w+)*"), F.lit(0)))
+
+    def spans(run: Column) -> Column:
+        words = F.regexp_extract_all(run, F.lit(r"(?U)['-]*\w+"), F.lit(0))  # each with the signs before it
+
+        def of(words: Column) -> Column:
+            starts = F.sequence(F.lit(1), F.size(words))
+            lengths = lambda i: F.sequence(F.lit(1), F.least(F.lit(most), F.size(words) - i + 1))
+            return F.flatten(F.transform(starts, lambda i: F.transform(lengths(i), lambda n: F.regexp_replace(F.array_join(F.slice(words, i, n), ""), "^['-]+", ""))))
+
+        return F.flatten(F.transform(F.array(words), of))
+
+    return F.array_distinct(F.flatten(F.transform(runs, lambda r: F.when(r.rlike("['-]"), spans(r)).otherwise(F.array(r)))))
+
+
 def aliases(c: Column) -> Column:
     """Distinct aliases in a text, in lower case and sorted: ticket keys, pull requests, short codes, mail addresses."""
     found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(ALIAS), F.lit(0))

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewrack.functions.keys import norm_key
-from tidewrack.functions.text import aliases, tokens
+from tidewrack.functions.text import aliases, tokens, word_spans
 from tidewrack.session import materialize
 
 #: Scores of neighbours that share an entity, a container, and an entity within a time.
@@ -26,8 +26,13 @@ def alias_table(entities: DataFrame) -> DataFrame:
 
 
 def artifact_entities(artifacts: DataFrame, table: DataFrame) -> DataFrame:
-    """(artifact_id, entity): entities whose alias token stands in text or container, senders, recipients, and unknown aliases themselves."""
-    words = F.array_distinct(F.concat(tokens(F.col("text")), aliases(F.col("text")), tokens(F.col("container_id")), F.array(F.lower(F.coalesce("container_id", F.lit(""))))))
+    """(artifact_id, entity): entities whose alias token stands in text or container, senders, recipients, and unknown aliases themselves.
+
+    A token stands in a text as a whole word, also inside a word with hyphens or apostrophes. So parts of such words are
+    looked up as well, up to as many words as the longest token has; longer parts can't be tokens.
+    """
+    most = table.agg(F.max(F.regexp_count("token", F.lit("['-]+")))).head()[0] or 0
+    words = F.array_distinct(F.concat(word_spans(F.col("text"), most + 1), aliases(F.col("text")), tokens(F.col("container_id")), F.array(F.lower(F.coalesce("container_id", F.lit(""))))))
     x = artifacts.select("artifact_id", F.explode(words).alias("token"))
     named = x.join(table, "token").select("artifact_id", "entity")
     mined = artifacts.select("artifact_id", F.explode(aliases(F.col("text"))).alias("token")).join(table, "token", "left_anti").select("artifact_id", F.col("token").alias("entity"))
