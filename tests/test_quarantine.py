@@ -83,3 +83,15 @@ def test_lines(spark):
     assert failed_lines(df.limit(0)).count() == 0
     place = {(r.file_name, r.line_no): (r.fault_at, r.fault) for r in failed_lines(df).collect()}
     assert place["b.csv", 3][0] == 5 and place["a.jsonl", 2][1] == "first in a.jsonl:1"
+
+
+def test_records_keep_every_field(spark):
+    lines = [
+        ("a.jsonl", 1, '{"artifact_id": "x1", "ts": "2026-01-01", "text": "a\\tb", "meta": {"k": [1, {"z": "}"}]} , "n": 1.50, "ok": true, "parent_id": null, "to": [], "more": [ {"ts": 2} ]}'),
+        ("b.csv", 1, "artifact_id,source,ts,text"), ("b.csv", 2, 'c1,s,"1,2",t'),
+    ]
+    got = {r.artifact_id: [tuple(f) for f in r.fields] for r in valid_records(spark.createDataFrame(lines, "file_name string, line_no int, line string")).collect()}
+    assert got == {
+        "x1": [("artifact_id", "string", "x1"), ("ts", "string", "2026-01-01"), ("text", "string", "a\tb"), ("meta", "object", '{"k": [1, {"z": "}"}]}'), ("n", "number", "1.50"), ("ok", "boolean", "true"), ("parent_id", "null", None), ("to", "array", "[]"), ("more", "array", '[ {"ts": 2} ]')],
+        "c1": [("artifact_id", "string", "c1"), ("source", "string", "s"), ("ts", "string", "1,2"), ("text", "string", "t")],
+    }

@@ -34,14 +34,14 @@ def unescape(body: str) -> str:
     return text
 
 
-def json_record(text: str, fields: tuple[str, ...]) -> tuple[str, dict[str, tuple[str, str]]]:
-    """(type of the one value in ``text``, {field: (type, text)} of an object's own fields).
+def json_record(text: str, fields: tuple[str, ...] | None = None) -> tuple[str, dict[str, tuple[str, str]]]:
+    """(type of the one value in ``text``, {field: (type, text)} of an object's own fields, all of them if ``fields`` is None).
 
     The descent keeps its open containers on a list, so depth is bounded by memory only. Of a name that
-    occurs twice the last counts. Raises SyntaxFault.
+    occurs twice the last counts. Of objects and arrays the text is their JSON. Raises SyntaxFault.
     """
     pos, end = _WS.match(text, 0).end(), len(text)
-    open_, found, outer, name = [], {}, "", ""
+    open_, found, outer, name, began = [], {}, "", "", 0
 
     def key(at: int) -> tuple[str, int]:
         m = _STRING.match(text, at)
@@ -64,8 +64,8 @@ def json_record(text: str, fields: tuple[str, ...]) -> tuple[str, dict[str, tupl
             kind = "object" if c == "{" else "array"
             if not open_:
                 outer = kind
-            elif len(open_) == 1 and open_[0] == "object" and name in fields:
-                found[name] = (kind, "")
+            elif len(open_) == 1:
+                began = pos
             at = _WS.match(text, pos + 1).end()
             if text[at : at + 1] == ("}" if c == "{" else "]"):
                 pos = at + 1
@@ -86,7 +86,7 @@ def json_record(text: str, fields: tuple[str, ...]) -> tuple[str, dict[str, tupl
             raise SyntaxFault(pos, "a value expected")
         if not open_:
             outer = outer or kind
-        elif len(open_) == 1 and open_[0] == "object" and name in fields and kind not in ("object", "array"):
+        elif len(open_) == 1 and open_[0] == "object" and (fields is None or name in fields):
             found[name] = (kind, unescape(text[start + 1 : pos - 1]) if kind == "string" else text[start:pos])
         while True:  # a value ended here
             pos = _WS.match(text, pos).end()
@@ -103,8 +103,10 @@ def json_record(text: str, fields: tuple[str, ...]) -> tuple[str, dict[str, tupl
                         name = unescape(raw)
                 break
             if c == ("}" if open_[-1] == "object" else "]"):
-                open_.pop()
+                kind = open_.pop()
                 pos += 1
+                if len(open_) == 1 and open_[0] == "object" and (fields is None or name in fields):
+                    found[name] = (kind, text[began:pos])
                 continue
             raise SyntaxFault(pos, "',' or the end of the object or array expected")
 

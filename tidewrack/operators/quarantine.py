@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,61 +16,69 @@ from tidewrack.session import materialize
 #: Columns of a CSV file whose first line is missing. The layout of the exports.
 CSV_COLUMNS = ("artifact_id", "source", "container_id", "parent_id", "sender_id", "ts", "text")
 _BOM = "﻿"
+#: ``fields`` are all fields of a loaded line in their order: name, type, and the value as text (of objects and arrays their JSON).
 _PARSED = T.StructType(
-    [T.StructField("reason", T.StringType()), T.StructField("fault_at", T.IntegerType()), T.StructField("fault", T.StringType()), T.StructField("artifact_id", T.StringType()), T.StructField("text", T.StringType())]
+    [T.StructField("reason", T.StringType()), T.StructField("fault_at", T.IntegerType()), T.StructField("fault", T.StringType()), T.StructField("artifact_id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("fields", T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("name", "type", "value")])))]
 )
+Parsed = tuple[str | None, int | None, str | None, str | None, str | None, list[tuple[str, str, str | None]] | None]
 
 
-def parse_json_line(line: str) -> tuple[str | None, int | None, str | None, str | None, str | None]:
-    """(reason or None, place, what is wrong, artifact_id, text) of a line of a .jsonl file."""
+def parse_json_line(line: str, whole: bool = True) -> Parsed:
+    """(reason or None, place, what is wrong, artifact_id, text, all fields if ``whole``) of a line of a .jsonl file."""
     try:
-        kind, found = json_record(line, ("artifact_id", "text"))
+        kind, found = json_record(line, None if whole else ("artifact_id", "text"))
     except SyntaxFault as e:
-        return "bad_json", e.at, e.why, None, None
+        return "bad_json", e.at, e.why, None, None, None
     if kind != "object":
-        return "not_object", 0, kind, None, None
+        return "not_object", 0, kind, None, None, None
     id_kind, id_ = found.get("artifact_id", ("null", ""))
     text_kind, text = found.get("text", ("null", ""))
     if id_kind == "null" or (id_kind == "string" and not id_.strip()):
-        return "no_id", None, None, None, None
+        return "no_id", None, None, None, None, None
     if id_kind not in ("string", "number"):
-        return "bad_value", None, f"artifact_id is {id_kind}", None, None
+        return "bad_value", None, f"artifact_id is {id_kind}", None, None, None
     if text_kind not in ("string", "null"):
-        return "bad_value", None, f"text is {text_kind}", None, None
-    return None, None, None, id_.strip(), text if text_kind == "string" else None
+        return "bad_value", None, f"text is {text_kind}", None, None, None
+    fields = [(name, k, None if k == "null" else v) for name, (k, v) in found.items()] if whole else None
+    return None, None, None, id_.strip(), text if text_kind == "string" else None, fields
 
 
-def parse_csv_line(line: str, header: list[str]) -> tuple[str | None, int | None, str | None, str | None, str | None]:
-    """As parse_json_line, of a line of a .csv file whose header has these names."""
+def parse_csv_line(line: str, header: list[str], whole: bool = True) -> Parsed:
+    """As parse_json_line, of a line of a .csv file whose header has these names; all its fields are strings."""
     try:
         values = csv_record(line.rstrip("\r\n"))
     except SyntaxFault as e:
-        return "bad_quoting", e.at, e.why, None, None
+        return "bad_quoting", e.at, e.why, None, None, None
     if len(values) != len(header):
-        return "column_count", None, f"{len(values)} values, {len(header)} columns", None, None
+        return "column_count", None, f"{len(values)} values, {len(header)} columns", None, None, None
     row = dict(zip(header, values, strict=True))
     id_ = row.get("artifact_id", "").strip()
-    return (None, None, None, id_, row.get("text")) if id_ else ("no_id", None, None, None, None)
+    if not id_:
+        return "no_id", None, None, None, None, None
+    return None, None, None, id_, row.get("text"), [(name, "string", v) for name, v in zip(header, values, strict=True)] if whole else None
+
 
+def _parser(whole: bool) -> Callable[..., Column]:
+    @F.pandas_udf(_PARSED)
+    def parse(name: pd.Series, line: pd.Series, first: pd.Series) -> pd.DataFrame:
+        headers: dict[str | None, list[str]] = {}
 
-@F.pandas_udf(_PARSED)
-def _parse(name: pd.Series, line: pd.Series, first: pd.Series) -> pd.DataFrame:
-    headers: dict[str | None, list[str]] = {}
+        def header(text: str | None) -> list[str]:
+            if text not in headers:
+                try:
+                    headers[text] = [c.strip() for c in csv_record(text.lstrip(_BOM).rstrip("\r\n"))] if text else [*CSV_COLUMNS]
+                except SyntaxFault:
+                    headers[text] = [*CSV_COLUMNS]
+            return headers[text]
 
-    def header(text: str | None) -> list[str]:
-        if text not in headers:
-            try:
-                headers[text] = [c.strip() for c in csv_record(text.lstrip(_BOM).rstrip("\r\n"))] if text else [*CSV_COLUMNS]
-            except SyntaxFault:
-                headers[text] = [*CSV_COLUMNS]
-        return headers[text]
+        rows = [parse_csv_line(x, header(h), whole) if n.lower().endswith(".csv") else parse_json_line(x, whole) for n, x, h in zip(name, line, first, strict=True)]
+        return pd.DataFrame(rows, columns=_PARSED.names).astype({"fault_at": "Int32"})
 
-    rows = [parse_csv_line(x, header(h)) if n.lower().endswith(".csv") else parse_json_line(x) for n, x, h in zip(name, line, first, strict=True)]
-    return pd.DataFrame(rows, columns=_PARSED.names).astype({"fault_at": "Int32"})
+    return parse
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
-    """Each line that is neither blank nor a header: file_name, line_no, line, reason (null: loaded), fault_at, fault, artifact_id, text.
+def parse_lines(lines: DataFrame, whole: bool = True) -> DataFrame:
+    """Each line that is neither blank nor a header: file_name, line_no, line, reason (null: loaded), fault_at, fault, artifact_id, text, fields (null unless ``whole``).
 
     Null, empty and blank lines and a byte-order mark on line 1 are no failures. ``duplicate_id`` goes to every
     line but the first (file_name, then line_no) that loads with an artifact_id. A line delivered twice under one
@@ -82,21 +92,21 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     x = x.withColumn("body", body).where(~blank(F.col("body")))
     csv = x.where(is_csv & (F.coalesce(F.col("line_no"), F.lit(0)) != 1)).join(header, "file_name", "left")
     x = x.where(~is_csv).withColumn("first", F.lit(None).cast("string")).unionByName(csv)
-    p = materialize(x.withColumn("p", _parse("file_name", "body", "first")).select("file_name", "line_no", "line", "p.*"))
+    p = materialize(x.withColumn("p", _parser(whole)("file_name", "body", "first")).select("file_name", "line_no", "line", "p.*"))
     firsts = p.where(F.col("reason").isNull()).groupBy("artifact_id").agg(F.min(F.struct("file_name", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1")
     p = p.join(firsts, "artifact_id", "left")
     again = F.col("reason").isNull() & F.col("first").isNotNull() & (F.col("first") != F.struct("file_name", "line_no"))
     return p.select(
         "file_name", "line_no", "line", F.when(again, F.lit("duplicate_id")).otherwise(F.col("reason")).alias("reason"), "fault_at",
-        F.when(again, F.concat(F.lit("first in "), F.col("first.file_name"), F.lit(":"), F.col("first.line_no").cast("string"))).otherwise(F.col("fault")).alias("fault"), "artifact_id", "text",
+        F.when(again, F.concat(F.lit("first in "), F.col("first.file_name"), F.lit(":"), F.col("first.line_no").cast("string"))).otherwise(F.col("fault")).alias("fault"), "artifact_id", "text", "fields",
     )
 
 
 def valid_records(lines: DataFrame) -> DataFrame:
-    """file_name, line_no, artifact_id, text of the lines that load."""
-    return parse_lines(lines).where(F.col("reason").isNull()).select("file_name", "line_no", "artifact_id", "text")
+    """file_name, line_no, artifact_id, text, fields of the lines that load; ``fields`` are all of the line, in order, with type and value."""
+    return parse_lines(lines).where(F.col("reason").isNull()).select("file_name", "line_no", "artifact_id", "text", "fields")
 
 
 def failed_lines(lines: DataFrame) -> DataFrame:
     """file_name, line_no, reason, fault_at, fault, line of the lines that don't load."""
-    return parse_lines(lines).where(F.col("reason").isNotNull()).select("file_name", "line_no", "reason", "fault_at", "fault", "line")
+    return parse_lines(lines, whole=False).where(F.col("reason").isNotNull()).select("file_name", "line_no", "reason", "fault_at", "fault", "line")
