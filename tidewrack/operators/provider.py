@@ -54,6 +54,24 @@ def extract_in_chunks(messages: DataFrame, size: int = 40, provider: Extract = o
     return messages.select("id", "text").mapInPandas(run, "chunk string, artifact_id string, status string, span string, error string")
 
 
+def extract_by_chunk(messages: DataFrame, provider: Extract = offline_extract) -> DataFrame:
+    """chunk, artifact_id, status, span, error: the provider's items of each chunk of messages (chunk, id, text), in order of ids.
+
+    Chunks are small and of fixed size, so one is a group of one task. A chunk that fails gives one row with its error
+    and loses no other chunk.
+    """
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        chunk = part["chunk"].iloc[0]
+        try:
+            rows = [(chunk, i["artifact_id"], i["status"], i["span"], None) for i in provider(part.sort_values("id")[["id", "text"]].to_dict("records"))]
+        except Exception as e:  # noqa: BLE001
+            rows = [(chunk, None, None, None, f"{type(e).__name__}: {e}")]
+        return pd.DataFrame(rows, columns=["chunk", "artifact_id", "status", "span", "error"])
+
+    return messages.select("chunk", "id", "text").groupBy("chunk").applyInPandas(run, "chunk bigint, artifact_id string, status string, span string, error string")
+
+
 def hashed_embedding(text: Column, size: int = 64) -> Column:
     """A unit vector (array<float>) from the words of a text by a stable hash; zeros for null and empty texts."""
 

@@ -286,6 +286,16 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return r.select("artifact_id", F.floor((F.col("rank") - 1) / 40).cast("bigint").alias("chunk"))
 
 
+def _chunked(parts: DataFrame) -> DataFrame:
+    """artifact_id, text, chunk: all artifacts in chunks of 40 by id."""
+    r = rank_within(parts.select(F.lit(1).alias("batch"), "artifact_id", "text"), ["batch"], ["artifact_id"], "rank")
+    return r.select("artifact_id", "text", F.floor((F.col("rank") - 1) / 40).cast("bigint").alias("chunk"))
+
+
+def all_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return _chunked(artifacts(spark, d)).select("artifact_id", "chunk")
+
+
 def last_turns(spark: SparkSession, d: str) -> DataFrame:
     x = artifacts(spark, d).where("container_id IS NOT NULL").select("container_id", "artifact_id", F.unix_timestamp("ts").alias("at"))
     return folds.top_per_key(x, ["container_id"], [F.desc_nulls_last("at"), F.desc("artifact_id")], 8).select("container_id", "artifact_id", "place")
@@ -347,8 +357,8 @@ def working_days(spark: SparkSession, d: str) -> DataFrame:
 
 
 def provider_items(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "ticket", "artifact_id", "text").where("artifact_id IS NOT NULL").select(F.col("artifact_id").alias("id"), "text")
-    return provider.extract_in_chunks(x).select("artifact_id", "status", "span").distinct()
+    x = _chunked(artifacts(spark, d)).select("chunk", F.col("artifact_id").alias("id"), "text")
+    return provider.extract_by_chunk(x).select("chunk", "artifact_id", "status", "span", "error").distinct()
 
 
 def hashed_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -411,7 +421,7 @@ QUERIES = {
         topic_state, ranked_blocked_topics, briefing_top12, briefing_tail, topic_status_counts, store_stats, topic_history_last6, merged_items, deduped_items,
         message_ids, new_messages, evidence_verified, topics_without_evidence, evidence_top6, evidence_union, topic_keys, doc_stats, doc_freq, bm25_topk, keyword_search,
         cosine_topk, context_union, stale_embeddings, alias_keys, alias_matches, retrieval_hops, source_ablation, source_retrieval, thread_neighbours, time_neighbours,
-        conflicting_claims, owner_referral, recall_at_k, fabricated_citations, mail_bodies, html_bodies, artifact_validation, json_props, chunks, last_turns, request_rate,
+        conflicting_claims, owner_referral, recall_at_k, fabricated_citations, mail_bodies, html_bodies, artifact_validation, json_props, chunks, all_chunks, last_turns, request_rate,
         item_sentences, conflict_sentences, prompt_blocks, topic_lookup, container_winner, question_overlap,
         dangling_parents, unknown_senders, fact_partition, silence_pairs, channel_outsiders, answer_terms, ingest_stats, working_days, provider_items, hashed_vectors,
         stream_new_messages, stream_topic_fold,

@@ -192,6 +192,7 @@ ORACLE = {
     """,
     "json_props": "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1",
     "chunks": f"WITH {_ARTIFACTS} SELECT artifact_id, CAST((row_number() OVER (ORDER BY artifact_id) - 1) // 40 AS BIGINT) AS chunk FROM artifacts WHERE source = 'ticket' AND container_id IS NOT NULL",
+    "all_chunks": f"WITH {_ARTIFACTS} SELECT artifact_id, CAST((row_number() OVER (ORDER BY artifact_id) - 1) // 40 AS BIGINT) AS chunk FROM artifacts",
     "last_turns": f"""
         WITH {_ARTIFACTS} SELECT container_id, artifact_id, CAST(row_number() OVER w AS INTEGER) AS place FROM artifacts WHERE container_id IS NOT NULL
         WINDOW w AS (PARTITION BY container_id ORDER BY epoch(ts) DESC NULLS LAST, artifact_id DESC) QUALIFY row_number() OVER w <= 8
