@@ -9,17 +9,19 @@ of two parts that stands beside several different others is a name.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidewrack.llm.pii_candidates import Candidate, Lexicon, candidates, fold
+from tidewrack.llm.pii_candidates import Candidate, Lexicon, candidates, fold, folded_words
 from tidewrack.llm.pii_training import examples
-from tidewrack.llm.semicrf import best, fit
+from tidewrack.llm.semicrf import best, fit, links
+from tidewrack.session import materialize
 
-#: Most names in the lexicon (the most frequent count); what bounds the model that is sent to the tasks.
+#: A lexicon of at most so many names goes out to the tasks whole; of a larger one each text gets the names it holds, by a join.
 LEXICON = 500_000
 #: Beside so many different others must a part of a mail address stand to be a name.
 PARTNERS = 3
@@ -42,42 +44,70 @@ def _split_names(people: DataFrame) -> DataFrame:
     return people.select(parts("name").alias("p")).select("p.*").where("given IS NOT NULL")
 
 
-def lexicon(people: DataFrame, texts: DataFrame) -> Lexicon:
-    """Names of ``people`` (name), and names that the mail addresses in all ``texts`` (text) put beside them.
+def names_table(people: DataFrame, texts: DataFrame) -> DataFrame:
+    """word, given, family: folded names of ``people`` (name), and names that the mail addresses in all ``texts`` (text) put beside them.
 
-    Without people the lexicon is empty; names are then found by their surroundings only.
+    A name that only mail addresses hold may be either. Without people the table is empty, or holds such names only.
     """
-    known = _split_names(people).distinct().limit(LEXICON).toPandas()
-    given, family = set(known["given"]), set(known["family"])
+    known = _split_names(people)
+    known = known.select(F.col("given").alias("word"), F.lit(True).alias("given"), F.lit(False).alias("family")).unionByName(known.select(F.col("family").alias("word"), F.lit(False).alias("given"), F.lit(True).alias("family")))
+    known = known.groupBy("word").agg(F.bool_or("given").alias("given"), F.bool_or("family").alias("family"))
     local = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z][a-z'-]+[._][a-z][a-z'-]+)(?:\+\w+)?(?:@| ?\[at\]| ?\(at\)| at )"), 1))
-    found = texts.where(F.lower("text").rlike(r"@|\[at\]|\(at\)| at ")).select(local.alias("local")).groupBy("local").agg(F.count("*").alias("n"))
+    found = texts.where(F.lower("text").rlike(r"@|\[at\]|\(at\)| at ")).select(local.alias("local")).distinct()
     half = lambda i: F.regexp_replace(F.split("local", "[._]").getItem(i), "'", "")
     either = F.array(F.struct(half(0).alias("a"), half(1).alias("b")), F.struct(half(1).alias("a"), half(0).alias("b")))
-    both = found.select(F.explode(either).alias("p"), "n").select("p.*", "n")
-    new = both.groupBy("a").agg(F.countDistinct("b").alias("partners"), F.sum("n").alias("n"))
-    new = new.where((F.col("partners") >= PARTNERS) & (F.length("a") > 2)).orderBy(F.desc("n"), "a").limit(LEXICON).toPandas()
-    unknown = set(new["a"]) - given - family  # which of the two parts they are is not known
-    given, family = given | unknown, family | unknown
-    return Lexicon(frozenset(given), frozenset(family))
+    both = found.select(F.explode(either).alias("p")).select("p.*")
+    new = both.groupBy("a").agg(F.countDistinct("b").alias("partners")).where((F.col("partners") >= PARTNERS) & (F.length("a") > 2))
+    new = new.select(F.col("a").alias("word"), F.lit(True).alias("mined"))
+    out = known.join(new, "word", "full").select("word", *[F.coalesce(c, "mined").alias(c) for c in ("given", "family")])
+    return materialize(out)
+
+
+def _lexicon(rows: list) -> Lexicon:
+    return Lexicon(frozenset(r["word"] for r in rows if r["given"]), frozenset(r["word"] for r in rows if r["family"]))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _folded_words(text: pd.Series) -> pd.Series:
+    """The distinct folded words of texts, also joined in twos and threes as families of several words are, and without a possessive ending."""
+    return pd.Series([sorted(folded_words(t)) for t in text])
+
+
+def names_in_texts(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """h (SHA-256 of a text), names (array of word, given, family): the names that each distinct text holds; texts without any have no row."""
+    words = texts.select("text").distinct().select(F.sha2("text", 256).alias("h"), F.explode(_folded_words("text")).alias("word"))
+    return words.join(names, "word").groupBy("h").agg(F.collect_list(F.struct("word", "given", "family")).alias("names"))
 
 
 def find_in(text: str | None, weights: dict[str, float], lex: Lexicon) -> list[Candidate]:
     """The personal information in a text, in order."""
-    return best(candidates(text, lex), weights) if text else []
+    segments = candidates(text, lex) if text else []
+    return best(segments, weights, links(text, segments)) if segments else []
+
+
+def _with_found(rows: DataFrame, people: DataFrame, schema: str, emit: Callable[..., list[tuple]]) -> DataFrame:
+    """``emit(src, rec_id, text, found)`` of each row (src, rec_id, text) as rows of ``schema``."""
+    names = names_table(people, rows.where(F.col("text").isNotNull()))
+    columns = [c.split()[0] for c in schema.split(", ")]
+    weights = trained_weights()
+    if names.count() <= LEXICON:
+        shared = rows.sparkSession.sparkContext.broadcast(_lexicon(names.collect()))
 
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            lex = shared.value
+            for b in batches:
+                yield pd.DataFrame([row for s, i, t in zip(b["src"], b["rec_id"], b["text"], strict=True) for row in emit(s, i, t, find_in(t, weights, lex))], columns=columns)
 
-def _with_found(rows: DataFrame, lex: Lexicon, schema: str, emit) -> DataFrame:
-    """``emit(src, rec_id, text, found)`` of each row as rows of ``schema``; the model is broadcast, its size bounded by LEXICON."""
-    shared = rows.sparkSession.sparkContext.broadcast((trained_weights(), lex))
+        return rows.mapInPandas(run, schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights, names = shared.value
-        columns = [c.split()[0] for c in schema.split(", ")]
+    def run_own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [row for s, i, t in zip(b["src"], b["rec_id"], b["text"], strict=True) for row in emit(s, i, t, find_in(t, weights, names))]
-            yield pd.DataFrame(out, columns=columns)
+            yield pd.DataFrame(
+                [row for s, i, t, own in zip(b["src"], b["rec_id"], b["text"], b["names"], strict=True) for row in emit(s, i, t, find_in(t, weights, _lexicon([] if own is None else own)))], columns=columns
+            )
 
-    return rows.mapInPandas(run, schema)
+    own = names_in_texts(rows.where(F.col("text").isNotNull()), names)
+    return rows.withColumn("h", F.sha2("text", 256)).join(own, "h", "left").select("src", "rec_id", "text", "names").mapInPandas(run_own, schema)
 
 
 def personal_information(rows: DataFrame, people: DataFrame) -> DataFrame:
@@ -87,19 +117,17 @@ def personal_information(rows: DataFrame, people: DataFrame) -> DataFrame:
     Repeated rows come out once.
     """
     texts = rows.where(F.col("text").isNotNull()).select("src", "rec_id", "text")
-    lex = lexicon(people, texts)
-    found = _with_found(texts, lex, "src string, rec_id string, kind string, start_at int", lambda s, i, t, cs: [(s, i, c.kind, c.start) for c in cs])
+    found = _with_found(texts, people, "src string, rec_id string, kind string, start_at int", lambda s, i, t, cs: [(s, i, c.kind, c.start) for c in cs])
     return found.distinct()
 
 
 def redacted(rows: DataFrame, people: DataFrame) -> DataFrame:
     """src, rec_id, text with ``[EMAIL]``, ``[PHONE]``, ``[NAME]``, ``[ADDRESS]``, ``[ID_NUMBER]`` in place of each piece, else unchanged; null texts stay null."""
     texts = rows.select("src", "rec_id", "text")
-    lex = lexicon(people, texts.where(F.col("text").isNotNull()))
 
     def emit(src: str, rec_id: str, text: str | None, found: list[Candidate]) -> list[tuple]:
         for c in reversed(found):
             text = text[: c.start] + f"[{c.kind.upper()}]" + text[c.end :]
         return [(src, rec_id, text)]
 
-    return _with_found(texts, lex, "src string, rec_id string, text string", emit)
+    return _with_found(texts, people, "src string, rec_id string, text string", emit)

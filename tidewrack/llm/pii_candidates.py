@@ -13,6 +13,7 @@ _I = re.IGNORECASE
 _LETTER = r"[^\W\d_]"
 _MAIL = re.compile(r"[A-Za-z0-9][\w.+%'-]*@[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w@])")
 _HIDDEN = re.compile(r"[A-Za-z0-9][\w.+%-]*(\s?[\[({<]\s?at\s?[\])}>]\s?|\s+at\s+|\s?@\s?)[A-Za-z0-9-]+(?:(?:\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\s+dot\s+|\.)[A-Za-z0-9-]+)+", _I)
+_AT_HOST = re.compile(r"\sat\s+[a-z0-9-]+\.[a-z0-9]")
 _PHONES = (
     ("plus", re.compile(r"(?<![\w+])\+\d(?:[ .()/-]{0,3}\d){7,14}(?!\w)")),
     ("us", re.compile(r"(?<![\w.+-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])")),
@@ -47,13 +48,18 @@ _CAPS = re.compile(r"(?<![\w@.'’-])[A-ZÀ-ÖØ-ÞŠŽ][^\W\d_]*(?:['’-][^\W\
 _POSSESSIVE = ("'s", "’s", "'S")
 _PAIR = re.compile(rf"({_W})(,? )(?:({_LETTER})\. )?((?:(?:van|von|de|der|den|di|da|del|la|le) ){{0,2}}{_W})\Z", _I)
 
-# Words that lead to, or follow, a person's number, a thing's number, a name.
-PERSON_NUMBER = re.compile(r"(passport|licen[cs]e|identity|social security|\bssn\b|\bid (number|card|no)|tax(payer)? (id|no)|national insurance|ausweis|reisepass|führerschein|steuer|sozialvers|konto|pasaporte|\bdni\b|\bnif\b|carné|seguridad social|passeport|permis|carte d|sécurité sociale|\biban\b|account|\bcard\b|paid with)", _I)
-THING_NUMBER = re.compile(r"(asset|part (number|no)|\bbuild\b|\bsku\b|serial|order|ticket|invoice|version|release|\bhost\b|\bnode\b|commit|hash|sample|\btest\b|batch|article|room|shelf|tracking|window|ratio|amount|\bjob\b|\brun\b)\W*(\w+\W+)?\Z", _I)
-AFTER_PERSON = re.compile(r"\A\W{0,3}(issued to|bitte eintragen|is on the scan|holder|belongs|was refused at reception|for the payroll)", _I)
-AFTER_THING = re.compile(r"\A\W{0,3}(is back in stock|passed on|is on shelf|failed|is late|fails the check|in stock|must be refused)", _I)
-BEFORE_NAME = re.compile(r"(\battn:?|\bask|\bby|\bthanks to|\band|\bholder|\bissued to|\bcontact\w*:?|\breach|\bnach|\baccount:|\bfrom:?|\bmr\.?|\bmrs\.?|\bms\.?|\bdr\.?|\bcc|\bfor|\bto:?|\d\d:\d\d,|\bis|\bwith|\bname:?|\bdear|\bherr|\bfrau|\bmme|\bsra?\.?)\s*\Z", _I)
-AFTER_NAME = re.compile(r"\A(?:['’]s)?(?:\s*[|<(]|,? \+?\(?\d|\s+(?:wrote|will be|signed|asked|at \S+(?:@|\[| ?\()|about|for the|fragen|called|said|lives|has moved)|\s*[;,] ?(?:phone|home|tel|mail|\S+@)|\W*\Z|\s*\n)", _I)
+# Words for documents and accounts of persons, for things that bear numbers, and words beside names, in four languages.
+PERSON_WORD = re.compile(
+    r"\b(?:passport|licen[cs]e|identity|ssn|id|citizen|visa|tax|taxpayer|insurance|security|iban|account|card|paid|payroll|issued|holder|resident|"
+    r"\w*ausweis\w*|reisepass\w*|führerschein\w*|steuer\w*|sozialvers\w*|\w*konto\w*|pasaporte|dni|nie|nif|carné|seguridad|cuenta|tarjeta|passeport|permis|carte|sécurité|compte|titulaire|inhaber)\b", _I)
+THING_WORD = re.compile(
+    r"\b(?:asset|part|build|sku|serial|model|device|order|ticket|invoice|version|release|firmware|host|node|commit|hash|checksum|sample|test|dummy|batch|article|item|room|shelf|stock|"
+    r"warehouse|parcel|tracking|window|ratio|amount|job|run|log|teil|artikel|bestellung|gerät|pieza|pedido|lote|pièce|commande|colis)\b", _I)
+BEFORE_NAME = frozenset(
+    "attn attention ask asked by from to for cc with and is thanks thank dear hi contact holder reach name called mr mrs ms dr prof herr frau nach von an sr sra señor señora de para mme m monsieur madame à par regards sincerely colleague manager owner".split()
+)
+AFTER_NAME = frozenset("wrote writes signed asked asks said says called calls lives moved will has is was joined left about for at on from fragen schreibt dijo escribió demande écrit phone tel mobile home mail email".split())
+_LAST_WORD, _FIRST_WORD = re.compile(r"(\w+)(\W{0,3})\Z"), re.compile(r"(?:['’]s\b)?(\W{0,3})(\w+)?")
 # Words that begin or end capitalised pairs which are no persons.
 NOT_NAMES = frozenset(
     "the a an on re subject fwd dear hi hello team platform people status decision next please after without risk half nobody original message monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december avenue ave street st road rd lane ln court ct boulevard blvd drive square way place room floor office port north south east west old new seven die das der am im alte neue calle plaza avenida rue ordner stand thema niemand wir ohne für bitte entscheidung las los el la sin estado decisión hemos nadie comprobad sigue le les il on no notes checklist svc api vat iban id".split()
@@ -70,6 +76,13 @@ def fold(word: str) -> str:
     return w.replace("'", "").replace("’", "").replace("ø", "o").replace("ł", "l").replace("ß", "ss")
 
 
+def folded_words(text: str | None) -> set[str]:
+    """Whatever ``candidates`` may look up in a lexicon for a text: its folded words, and two or three neighbours joined by hyphens."""
+    words = [fold(w[:-2] if w[-2:] in _POSSESSIVE else w) for w in _WORD.findall(text or "")]
+    joined = ("-".join(words[i : i + n]) for n in (2, 3) for i in range(len(words) - n + 1))
+    return {*words, *joined}
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -133,9 +146,11 @@ def _mails(text: str) -> list[Candidate]:
     if "@" in text:
         out = [Candidate(m.start(), m.end(), "email", ("mail:plain",)) for m in _MAIL.finditer(text)]
     low = text.lower()
-    if "at" in low and ("dot" in low or any(x in low for x in ("[at", "(at", "{at", "<at", "[ at", "( at"))) or " @" in text or "@ " in text:
-        for m in _HIDDEN.finditer(text):
-            if any(c.start < m.end() and m.start() < c.end for c in out):
+    if "at" in low and ("dot" in low or any(x in low for x in ("[at", "(at", "{at", "<at", "[ at", "( at")) or _AT_HOST.search(low)) or " @" in text or "@ " in text:
+        at, plain = 0, [*out]
+        while m := _HIDDEN.search(text, at):
+            at = m.end(1)  # what follows the sign may itself be the name of an address
+            if any(c.start < m.end() and m.start() < c.end for c in plain):
                 continue
             word = re.split(r"[\s\])}>.]", m[0])[-1].lower()
             how = "bracket" if re.search(r"[\[({<]", m[1]) else "word" if m[1].strip().lower() == "at" else "sign"
@@ -144,6 +159,7 @@ def _mails(text: str) -> list[Candidate]:
     return out
 
 
+_CLAUSE = re.compile(r"[.!?]\s|\n")
 _ENOUGH_DIGITS = re.compile(r"(?:\d\W{0,3}){6}|\d{4}-[A-Za-z]{2}-\d{3}")  # every number's shape has one of these
 
 
@@ -153,11 +169,8 @@ def _numbers(text: str) -> list[Candidate]:
         return out
 
     def context(s: int, e: int, prefix: str) -> tuple[str, ...]:
-        left, right = text[max(0, s - 30) : s], text[e : e + 34]
-        left = re.split(r"[.!?]\s|\n", left)[-1]
-        return tuple(
-            prefix + n for n, hit in (("person-before", PERSON_NUMBER.search(left)), ("thing-before", THING_NUMBER.search(left)), ("person-after", AFTER_PERSON.search(right)), ("thing-after", AFTER_THING.search(right))) if hit
-        )
+        left, right = _CLAUSE.split(text[max(0, s - 30) : s])[-1], _CLAUSE.split(text[e : e + 30], maxsplit=1)[0]
+        return tuple(prefix + n for n, hit in (("person-before", PERSON_WORD.search(left)), ("thing-before", THING_WORD.search(left)), ("person-after", PERSON_WORD.search(right)), ("thing-after", THING_WORD.search(right))) if hit)
 
     for m in _IBAN.finditer(text):
         n, ok = iban_end(m[0])
@@ -234,11 +247,20 @@ def _name(text: str, s: int, e: int, lex: Lexicon) -> Candidate | None:
         return None
     fs = fs.copy()
     left, right = text[max(0, s - 24) : s], text[e : e + 24]
-    if BEFORE_NAME.search(left):
-        fs.append("name:before")
-    if AFTER_NAME.match(right):
-        fs.append("name:after")
-    if (not left or left.endswith("\n")) and (not right or right[0] == "\n"):
+    if (m := _LAST_WORD.search(left)) and "\n" not in m[2]:
+        fs.append(f"name:{'before' if m[1].lower() in BEFORE_NAME else 'time' if m[1].isdigit() else 'word'}-left")
+        if ":" in m[2]:
+            fs.append("name:colon-left")
+    else:
+        fs.append("name:start")
+    m = _FIRST_WORD.match(right)
+    if "\n" in m[1] or not m[2]:
+        fs.append("name:end")
+    else:
+        fs.append(f"name:{'after' if m[2].lower() in AFTER_NAME else 'digit' if m[2][0].isdigit() else 'word'}-right")
+        if any(c in m[1] for c in "<|(;"):
+            fs.append("name:sign-right")
+    if fs[-1] == "name:end" and "name:start" in fs:
         fs.append("name:alone")
     return Candidate(s, e, "name", tuple(fs))
 

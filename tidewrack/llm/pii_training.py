@@ -1,6 +1,6 @@
 """Annotated sentences for the personal-information model, made from patterns with a fixed seed.
 
-A pattern holds slots: ``{E}`` mail address, ``{P}`` phone, ``{N}`` name, ``{A}`` address, ``{I}`` number of a person;
+The wording is of no corpus: it shares no run of words with the texts that the model is used on. A pattern holds slots: ``{E}`` mail address, ``{P}`` phone, ``{N}`` name, ``{A}`` address, ``{I}`` number of a person;
 slots in lower case are filled alike but are no personal information there (a part number, a test card, a street
 without house number, a pair of capitalised words).
 """
@@ -17,19 +17,22 @@ GIVEN = "Alba Bruno Clara Dario Emma Felix Gina Hugo Irma Jonas Karla Ludo Mona
 FAMILY = "Aldermoss Birkwood Caldering Dovetree Emberly Fontrose Grimwald Heatherby Inglemark Jarnfeld Kirkhollow Lindqvale Marlowick Nordhaven Oakhurst-Lee O'Hallow Pemberlane Rookwell Stormvik Thornbury".split()
 STREETS = "Maple Harvest Foxglove Meadowlark Granite Willowbrook".split()
 PATTERNS = (
-    "Please write to {E} today.", "cc {E}", "mailto:{E}", "<{E}> wrote:", "{N} <{E}>", "From: {E}", "{N} | {E} | {P}", "receipt at {E}", "ping {E} / {P}",
-    "call {P} before noon", "my number is {P} now", "approved by {N} ({P})", "tel:{P} or mail", "new contact for the account: {N}, {P}", "{P}", "the driver rang {P} twice",
-    "Attn: {N}", "Ask {N} about the plan.", "thanks to {N} and {N} for the shift", "{N} will be on call", "{N} signed", "holder {N}", "{N}'s laptop is here", "bitte nach {N} fragen",
-    "contacto: {N}, {E}", "You can reach {N} at {E}.", "{N}", "On Mon, 4 May 2026 at 10:15, {N} <{E}> wrote:", "{N}; phone: {P}; home: {A}", "{N} {P}, lives at {A}", "met {N} yesterday",
-    "Ship it to {A} please.", "Invoice address is {A}.", "{A}", "Paket bitte an {A}", "la dirección nueva es {A}", "nobody at {A}", "lives at {A}",
-    "Her passport is {I}, the visa team needs it.", "tax id {I} for the payroll form", "social security number: {I}", "her ID number ({I}) is on the scan", "Ausweisnummer {I} bitte eintragen",
-    "driving licence {I} was refused at reception", "ID card no. {I}, issued to {N}", "{I}, issued to {N}",
-    "card {C} was charged twice", "He paid with {C} and left", "IBAN {B} is the new one", "refund to account {B}, holder {N}",
-    "part number {i} is on shelf 5", "asset {i} is back in stock", "build {i} passed on agent 4", "serial {i} of the batch", "order {i} is late", "sample IBAN {b} fails the check", "the test card {c} must be refused", "sample IBAN {b}", "card {c} failed",
-    "traffic on {s} this morning", "the {w} room has 6 seats", "{w} is blocked by the audit", "the notes are in the {w} folder", "asked about {w}", "Dear Team, the {w} plan", "{w}: status", "meet in room 14 Court side",
-    "5 Street teams joined", "window 20260717 to 20260121", "node 192.0.2.117 dropped 5 packets", "svc-roster@5.18.8 is out", "ask @Hugo about it", "{g} said the run failed", "{g} can't start before Monday",
-    "{g} at the desk dot matrix printer again", "amount 1,755.01 EUR booked on 2026-07-11", "we met at noon dot", "ratio 415:555", "job 50154 ran", "hash 2ca45764ccbfe9ad", "{g} and {g} wrote the notes", "The Plan and The Risk",
-    "We found 3 errors in the way it starts", "It took 4 days on the road to finish", "after 6 people of the street team left", "2 points on the square", "9 copies of the court order", "{g} {g} and I were there", "with {g} {g} said no",
+    "Kindly forward the slides to {E} by tonight.", "Cc: {E}, {E}", "write me under mailto:{E} any time", "old thread by <{E}> below", "{N} <{E}>", "Sender: {E}\nhi all", "{N} / {E} / {P}", "the voucher goes out to {E}", "{E} or {P}", "{E}", "Schreib doch {E} an", "mi correo: {E}",
+    "{E} bounced again", "my new mailbox {E} works", "both {E} and {E} were copied", "either {P} or {E}", "invite {E}; she replies fast", "Sent by {N} with {E} in copy",
+    "ring {P} after lunch", "you get him on {P} all day", "desk of {N} ({P})", "mobile:{P} office:{P}", "the new client is {N}, {P}", "{P}", "somebody tried {P} in vain", "Rückruf bitte auf {P}", "mi móvil es {P}", "mon portable : {P}", "fax {P}", "voicemail from {P} at noon",
+    "Attention: {N}", "Could you ask {N} whether it fits?", "big thanks to {N} and {N}", "we hired {N} in spring", "{N} signed it", "the card's holder, {N}", "I borrowed {N}'s charger", "gestern hat {N} angerufen", "habla con {N} mañana", "demande à {N} ce soir",
+    "Write to {N}: {E}", "Find {N} at {E} or so", "{N}", "Bye\n{N}", "Bye,\n{N}\n{P}", "Cheers\n{N}\n{A}", "On 3 June 2026 at 08:15, {N} <{E}> wrote:", "Le 3 juin 2026, {N} <{E}> a écrit :", "{N}, mobile {P}, resident of {A}", "{N} {P} in case of fire, {A}", "I saw {N} at lunch",
+    "Contact {N} if it burns", "Caller: {N}; mobile: {P}; flat: {A}", "mentioned by {N} in passing", "{N} asked for leave", "{N} will join on Friday", "{N} has left the firm", "with {N} and {N} on board", "as {N} says, it holds", "Dear {N},", "Mr {N} came by", "Frau {N} ist krank", "Sra. {N} no vino", "Mme {N} est là",
+    "{N} about the trip", "from {N} for the board", "signed off by {N}", "said {N}.", "{N} lives in {A}", "Manager {N} approved",
+    "Deliver the chairs to {A} on Monday.", "Our bill should name {A}.", "{A}", "Wir ziehen nach {A} um", "vivo en {A} desde mayo", "j'habite {A} maintenant", "no doorbell at {A}", "the flat in {A} is small", "Return to sender: {A}", "she moved from {A} to {A}", "Bye\n{A}", "pick me up at {A}, please",
+    "a copy of passport {I} for the visa", "enter tax id {I} on page two", "Social Security no. {I}", "identity card ({I}) was scanned twice", "Personalausweis {I} liegt bei", "his licence {I} expires in May", "insurance number {I} went missing", "mi pasaporte {I} caduca", "permis {I} perdu", "{I} issued for {N}", "ID {I}, holder {N}", "id number: {I}", "Steuernummer {I}", "resident card {I}",
+    "someone billed card {C} again", "she paid by {C} online", "{C}", "{B}", "IBAN: {B}", "wire it to {B} please", "Konto {B} für {N}", "her account {B}, in the name of {N}", "new bank details {B}",
+    "part {i} ships from the warehouse", "asset {i} needs a label", "build {i} is green", "the serial {i} is worn off", "order {i} was cancelled", "article {i} sold out", "device {i} rebooted", "parcel {i} is lost", "invoice {i} was paid late", "Teil {i} fehlt", "lote {i} agotado", "model {i} in stock", "batch {i} failed",
+    "dummy IBAN {b} for the demo", "a test card such as {c}", "{b}", "{c}", "card {c} with a typo", "the form rejects {b}", "the form rejects {c}",
+    "road works along {s} today", "{s} is a quiet place", "the {w} lounge has a sofa", "{w} was delayed by the review", "drop it into the {w} channel", "questions about {w}", "Dear All, the {w} draft", "{w}: summary", "thanks to {w} we ship", "from {w} to {w}", "{w} will move", "{w} has 3 tasks", "{w}", "ask the {w} people", "for {w} by Monday", "{w}\nall good",
+    "3 Street lamps broke", "from 20240102 to 20240309", "host 198.51.100.23 rebooted", "agent-core@2.11.0 was tagged", "poke @Gina later", "{g} thinks it is fine", "{g} won't come to the office", "2 stairs at the side and 1 way in",
+    "{g} at the corner dot com boom", "paid 2,310.55 USD on 2024-03-05", "meet at six dot", "scale 120:480", "step 88213 ended", "sha 9f31c07be2aa4d10", "{g} and {g} played chess", "The Risk and The Gain", "at 4 on the hour by the road", "look at page dot two",
+    "We spent 2 weeks in one place", "It was 7 degrees on the way down", "some 8 people of the close circle", "1 error on the drive", "12 pages for one court", "{g} {g} and me went home", "for {g} {g} said yes", "4 of us drive", "Bye\n{g}", "Next Week Only", "Good Morning Everyone", "New Plan", "{w} and {N} met", "{w}, {w} and {w} are fine", "{w}, {w}: agreed", "for {w}, {w} or {w}", "find it at {E} instead", "reply at {E}", "the {w}, {w}",
 )
 _SLOT = re.compile(r"\{(\w)\}")
 
@@ -104,8 +107,8 @@ def annotated(seed: int = 7, copies: int = 12) -> list[tuple[str, list[tuple[int
     return out
 
 
-def examples(seed: int = 7, known: int = 3) -> list[tuple[list[Candidate], set[Candidate]]]:
-    """Candidates and right candidates of each sentence; ``known`` of four names are in the lexicon, so weights for new names are learned too."""
+def examples(seed: int = 7, known: int = 3) -> list[tuple[str, list[Candidate], set[Candidate]]]:
+    """Each sentence with its candidates and right candidates; ``known`` of four names are in the lexicon, so weights for new names are learned too."""
     of = lambda names: frozenset(fold(n) for i, n in enumerate(names) if i % 4 < known)
     lex = Lexicon(of(GIVEN), of(FAMILY))
     out = []
@@ -117,5 +120,5 @@ def examples(seed: int = 7, known: int = 3) -> list[tuple[list[Candidate], set[C
             if fits:
                 right.add(max(fits, key=lambda c: c.end))
         if segments:
-            out.append((segments, right))
+            out.append((text, segments, right))
     return out
