@@ -6,7 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from tidewrack.functions.zones import local_to_utc, transitions, zone_version
+from tidewrack.functions.zones import Zones, installed, local_to_utc
 from tidewrack.operators.timestamps import epoch_ms, normalized_stamps, parser_of, stamp_shapes
 
 UTC = dt.UTC
@@ -47,6 +47,8 @@ CASES = [
     ("1757271314098", None, None, 1757271314098),
     ("1757271314098600", None, None, 1757271314098),
     ("1757271314098600123", None, None, 1757271314098),
+    ("Wednesday, 04 March 2026 10:29:25.123456789 -0800 (time of the west coast in a winter without snow)", None, None, ms(2026, 3, 4, 18, 29, 25) + 123),
+    ("0" * 30 + "1757271314098", None, None, 1757271314098), ("9" * 5000, None, None, None), ("-1757271314", None, None, None), ("2026-03-01T04:05:06." + "1" * 3000 + "Z", None, None, ms(2026, 3, 1, 4, 5, 6) + 111),
     ("12", None, None, None), ("0", None, None, None),
     ("2026-02-30T10:00:00Z", None, None, None), ("2026-13-04 08:15:00", None, None, None), ("0000-00-00 00:00:00", None, None, None),
     ("2026-05-14T25:61:00Z", None, None, None), ("soon", None, None, None), ("last Tuesday 3pm", None, None, None), ("", None, None, None), ("  ", None, None, None),
@@ -66,11 +68,23 @@ def test_transition_tables_agree_with_the_zone_rules(zone):
     tz = zoneinfo.ZoneInfo(zone)
     start = int(dt.datetime(2025, 9, 1, tzinfo=UTC).timestamp())
     local = np.arange(start, start + 330 * 86400, 1777)
-    got = local_to_utc(local, zone)
+    got = local_to_utc(local, installed().table(zone))
     for at, u in zip(local[::7], got[::7], strict=True):
         naive = dt.datetime(1970, 1, 1) + dt.timedelta(seconds=int(at))
         assert u == int(naive.replace(tzinfo=tz, fold=0).timestamp())  # fold 0: the earlier; in a gap the offset before
-    assert transitions("No/Zone") is None and zone_version()
+    assert installed().table("No/Zone") is None and installed().table("est")[1].tolist() == [-18000]
+
+
+def test_zone_data_are_of_a_version(spark):
+    few = Zones.of("mine", {z: installed().data[z] for z in ("Europe/Berlin", "Asia/Tokyo")})
+    again = Zones.from_frame(few.to_frame(spark))
+    assert again.version == few.version and again.data == few.data and few.version.startswith("mine-")
+    with pytest.raises(ValueError):
+        Zones.from_frame(few.to_frame(spark).where("zone <> 'Asia/Tokyo'"))
+    turned = Zones.of("turned", {"Europe/Berlin": installed().data["Asia/Tokyo"]})  # another release may say otherwise
+    df = spark.createDataFrame([("2026-01-01 09:00:00",)], "s string")
+    got = df.select(epoch_ms(F.col("s"), F.lit("Europe/Berlin"), zones=turned).alias("a"), epoch_ms(F.col("s"), F.lit("Europe/Berlin")).alias("b")).head()
+    assert got.a == ms(2026, 1, 1) and got.b == ms(2026, 1, 1, 8)
 
 
 def test_masks_map_to_parsers():
@@ -85,6 +99,7 @@ def test_three_tables(spark):
         [("g1", "soon", ([("DATE", "Thu, 1 Jan 2026 00:00:00 +0000")],)), ("g2", None, (None,)), ("g3", "1757271314000", ([],))], "id string, internalDate string, payload struct<headers:array<struct<name:string,value:string>>>"
     )
     f = spark.createDataFrame([("f1", "messages", "Asia/Tokyo", None), ("f2", "slack_01_clean", None, None)], "file_name string, feed string, zone string, date_order string")
+    assert {r.zone_version for r in normalized_stamps(m, g, s, f).collect()} == {installed().version}
     got = rows(normalized_stamps(m, g, s, f), "src", "rec_id", "epoch_ms")
     assert got == sorted(
         [("messages", "a", ms(2025, 12, 31, 15)), ("messages", "b", ms(2026, 1, 1)), ("messages", None, 1757271314000), ("gmail_raw", "g1", ms(2026, 1, 1)), ("gmail_raw", "g3", 1757271314000), ("slack_01_clean", "f2:3", ms(2026, 1, 1))],

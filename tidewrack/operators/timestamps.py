@@ -2,7 +2,7 @@
 
 A stamp becomes a shape mask (each digit ``9``, each ASCII letter ``A``, other characters themselves). Each
 distinct mask is mapped once to a parser: where in the stamp its fields lie. All stamps of a mask are then
-converted together, as arrays, and local times go through the zones' transition tables.
+converted together, as arrays, and local times go through the zones' transition tables, all of one version.
 """
 
 from __future__ import annotations
@@ -10,15 +10,17 @@ from __future__ import annotations
 import functools
 import re
 import string
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewrack.functions.keys import trimmed
-from tidewrack.functions.zones import ABBREVIATIONS, transitions
+from tidewrack.functions.zones import Zones, installed, local_to_utc
 
 # Month names and their short forms.
 MONTHS = {
@@ -57,7 +59,6 @@ def shape_mask(c: Column) -> Column:
     return F.translate(trimmed(c), "012345678" + letters, "9" * 9 + "A" * len(letters))
 
 
-@functools.lru_cache(maxsize=4096)
 def parser_of(mask: str) -> dict[str, tuple[int, int]] | None:
     """Field name to (start, end) in the stamps of this mask; None: no stamp of this shape denotes an instant."""
     for layout in LAYOUTS:
@@ -66,6 +67,11 @@ def parser_of(mask: str) -> dict[str, tuple[int, int]] | None:
     return None
 
 
+_kept_parser_of = functools.lru_cache(maxsize=4096)(parser_of)
+#: Parsers of masks up to this length are kept from batch to batch; those of longer ones, mostly texts that are no stamps, are made anew.
+KEPT = 200
+
+
 def _digits(chars: np.ndarray, span: tuple[int, int]) -> np.ndarray:
     out = np.zeros(len(chars), "int64")
     for i in range(*span):
@@ -84,9 +90,8 @@ def _numbers(stamps: np.ndarray, fields: dict) -> np.ndarray:
     lo, hi = (np.datetime64(f"{y}-01-01", "s").astype("int64") for y in NUMBER_YEARS)
     out = np.full(len(stamps), np.iinfo("int64").min, "int64")
     a, b = fields["num"]
-    if b - a > 20:
-        return out
-    whole = np.array([int(s[a:b]) for s in stamps], dtype=object)
+    bare = [s[a:b].lstrip("0") for s in stamps]
+    whole = np.array([int(s) if 0 < len(s) < 20 else -1 for s in bare], dtype=object)  # more digits are beyond every unit's range
     frac = np.array([int((s[slice(*fields["f"])] + "000")[:3]) for s in stamps], dtype=object) if "f" in fields else 0
     for unit in UNITS:
         scaled = whole // 10**unit
@@ -100,10 +105,10 @@ def _numbers(stamps: np.ndarray, fields: dict) -> np.ndarray:
     return out
 
 
-def _convert(mask: str, stamps: np.ndarray, zones: np.ndarray, orders: np.ndarray) -> np.ndarray:
+def _convert(mask: str, stamps: np.ndarray, zones: np.ndarray, orders: np.ndarray, known: Zones) -> np.ndarray:
     """Epoch milliseconds of the stamps of one mask; the least int64 stands for no instant."""
     none = np.iinfo("int64").min
-    fields = parser_of(mask)
+    fields = _kept_parser_of(mask) if len(mask) <= KEPT else parser_of(mask)
     if fields is None:
         return np.full(len(stamps), none, "int64")
     if "num" in fields:
@@ -156,35 +161,50 @@ def _convert(mask: str, stamps: np.ndarray, zones: np.ndarray, orders: np.ndarra
         utc = local.copy()
         for i, name in enumerate(names):
             at = codes == i
-            table = transitions(name.upper() if name.upper() in ABBREVIATIONS else name)
+            table = known.table(name)
             if table is None:
                 ok &= ~at
             else:
-                utc[at] = local[at] - table[1][np.searchsorted(table[0], local[at], side="right")]
+                utc[at] = local_to_utc(local[at], table)
     return np.where(ok, utc * 1000 + milli, none)
 
 
-@F.pandas_udf(T.LongType())
-def _epoch_ms(stamp: pd.Series, mask: pd.Series, zone: pd.Series, order: pd.Series) -> pd.Series:
-    out = np.full(len(stamp), np.iinfo("int64").min, "int64")
-    codes, masks = pd.factorize(mask.to_numpy(dtype=object))
-    by_mask = np.argsort(codes, kind="stable")
-    at = np.searchsorted(codes[by_mask], np.arange(len(masks) + 1))
-    stamps, zones, orders = stamp.to_numpy(dtype=object), zone.to_numpy(dtype=object), order.to_numpy(dtype=object)
-    for i, m in enumerate(masks):
-        rows = by_mask[at[i] : at[i + 1]]
-        out[rows] = _convert(m, stamps[rows], zones[rows], orders[rows])
-    return pd.Series(out).where(out != np.iinfo("int64").min).astype("Int64")
+def _converter(zones: Broadcast[Zones]) -> Callable[..., Column]:
+    @F.pandas_udf(T.LongType())
+    def convert(stamp: pd.Series, mask: pd.Series, zone: pd.Series, order: pd.Series) -> pd.Series:
+        known = zones.value
+        out = np.full(len(stamp), np.iinfo("int64").min, "int64")
+        codes, masks = pd.factorize(mask.to_numpy(dtype=object))
+        by_mask = np.argsort(codes, kind="stable")
+        at = np.searchsorted(codes[by_mask], np.arange(len(masks) + 1))
+        stamps, places, orders = stamp.to_numpy(dtype=object), zone.to_numpy(dtype=object), order.to_numpy(dtype=object)
+        for i, m in enumerate(masks):
+            rows = by_mask[at[i] : at[i + 1]]
+            out[rows] = _convert(m, stamps[rows], places[rows], orders[rows], known)
+        return pd.Series(out).where(out != np.iinfo("int64").min).astype("Int64")
+
+    return convert
+
+
+def shared_zones(zones: Zones | None = None) -> Broadcast[Zones]:
+    """The zones, the installed ones if none are given, as sent to the tasks; once for each session's context and version."""
+    sc, zones = SparkSession.active().sparkContext, zones or installed()
+    if not hasattr(sc, "_tidewrack_zones"):
+        sc._tidewrack_zones = {}
+    if zones.version not in sc._tidewrack_zones:
+        sc._tidewrack_zones[zones.version] = sc.broadcast(zones)
+    return sc._tidewrack_zones[zones.version]
 
 
-def epoch_ms(stamp: Column, zone: Column | None = None, date_order: Column | None = None) -> Column:
+def epoch_ms(stamp: Column, zone: Column | None = None, date_order: Column | None = None, zones: Zones | None = None) -> Column:
     """Milliseconds since 1970 UTC (rounded down) of a stamp, or null where it denotes no instant.
 
     ``zone`` (null: UTC) holds for stamps without zone, ``date_order`` (``mdy``, ``dmy``) for all-number dates
-    with slashes, which have no instant without it. Null, empty, blank and very long stamps and words give null.
+    with slashes, which have no instant without it; ``zones`` are the tables to convert by. Null, empty and blank stamps
+    and words give null; stamps may be of any length.
     """
-    t = F.when(F.length(trimmed(stamp)) <= 80, trimmed(stamp))
-    return _epoch_ms(
+    t = trimmed(stamp)
+    return _converter(shared_zones(zones))(
         F.coalesce(t, F.lit("")), F.coalesce(shape_mask(t), F.lit("")),
         F.coalesce(zone if zone is not None else F.lit(None).cast("string"), F.lit("UTC")),
         F.coalesce(F.lower(date_order) if date_order is not None else F.lit(None).cast("string"), F.lit("")),
@@ -196,9 +216,10 @@ def header_value(headers: Column, name: str) -> Column:
     return F.get(F.filter(headers, lambda h: F.lower(trimmed(h["name"])) == name), F.lit(0))["value"]
 
 
-def normalized_stamps(messages: DataFrame, gmail: DataFrame, slack: DataFrame, files: DataFrame) -> DataFrame:
-    """(src, rec_id, epoch_ms): one distinct row for each stamp of the three tables that denotes an instant.
+def normalized_stamps(messages: DataFrame, gmail: DataFrame, slack: DataFrame, files: DataFrame, zones: Zones | None = None) -> DataFrame:
+    """(src, rec_id, epoch_ms, zone_version): one distinct row for each stamp of the three tables that denotes an instant.
 
+    All are converted by the same ``zones`` (the driver's, if none are given), whose version each row states.
     Rows without file, or of an unknown file, count as written in UTC. Extra columns are ignored. Ties and
     repeated rows come out once. A null id stays null. The file list is joined by name, without a hint: the
     optimizer broadcasts it while it is small and splits hot files where it is not.
@@ -210,11 +231,11 @@ def normalized_stamps(messages: DataFrame, gmail: DataFrame, slack: DataFrame, f
 
     m = messages.select(F.col("id").alias("rec_id"), F.col("timestamp").alias("stamp"), "file_name")
     s = slack.select(F.concat("file_name", F.lit(":"), F.col("line_no").cast("string")).alias("rec_id"), F.col("ts").alias("stamp"), "file_name")
-    read = lambda df, feed, src: df.where(F.col("stamp").isNotNull()).join(of_feed(feed), "file_name", "left").select(F.lit(src).alias("src"), "rec_id", epoch_ms(F.col("stamp"), F.col("z.zone"), F.col("z.date_order")).alias("epoch_ms"))
+    read = lambda df, feed, src: df.where(F.col("stamp").isNotNull()).join(of_feed(feed), "file_name", "left").select(F.lit(src).alias("src"), "rec_id", epoch_ms(F.col("stamp"), F.col("z.zone"), F.col("z.date_order"), zones).alias("epoch_ms"))
     g = gmail.select(F.col("id").alias("rec_id"), F.col("internalDate").alias("stamp"), header_value(F.col("payload.headers"), "date").alias("header"))
-    g = g.select(F.lit("gmail_raw").alias("src"), "rec_id", F.coalesce(epoch_ms(F.col("stamp")), epoch_ms(F.col("header"))).alias("epoch_ms"))
+    g = g.select(F.lit("gmail_raw").alias("src"), "rec_id", F.coalesce(epoch_ms(F.col("stamp"), zones=zones), epoch_ms(F.col("header"), zones=zones)).alias("epoch_ms"))
     rows = read(m, "messages", "messages").unionByName(read(s, "slack_01_clean", "slack_01_clean")).unionByName(g)
-    return rows.where(F.col("epoch_ms").isNotNull()).distinct()
+    return rows.where(F.col("epoch_ms").isNotNull()).distinct().withColumn("zone_version", F.lit(shared_zones(zones).value.version))
 
 
 def stamp_shapes(stamps: DataFrame, column: str) -> DataFrame:

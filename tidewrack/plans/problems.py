@@ -16,11 +16,12 @@ def _reference_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return timestamps.normalized_stamps(table(spark, d, "messages"), table(spark, d, "gmail_raw"), table(spark, d, "slack_01_clean"), table(spark, d, "export_files"))
+    return timestamps.normalized_stamps(table(spark, d, "messages"), table(spark, d, "gmail_raw"), table(spark, d, "slack_01_clean"), table(spark, d, "export_files")).drop("zone_version")
 
 
 def p1_shapes(spark: SparkSession, d: str) -> DataFrame:
-    return timestamps.stamp_shapes(table(spark, d, "messages", "timestamp"), "timestamp")
+    stamps = [table(spark, d, t, F.col(c).alias("stamp")) for t, c in (("messages", "timestamp"), ("slack_01_clean", "ts"), ("gmail_raw", "internalDate"))]
+    return timestamps.stamp_shapes(stamps[0].unionByName(stamps[1]).unionByName(stamps[2]), "stamp")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -164,8 +165,8 @@ ORACLE = {
         FROM (SELECT *, CASE WHEN reason IS NULL THEN row_number() OVER (PARTITION BY reason IS NULL, id ORDER BY file_name, line_no) ELSE 0 END AS nth FROM m) WHERE reason IS NOT NULL OR nth > 1
     """,
     "p1_shapes": """
-        SELECT coalesce(regexp_replace(regexp_replace(trim(timestamp, ' ' || chr(9) || chr(10) || chr(13)), '[0-9]', '9', 'g'), '[A-Za-z]', 'A', 'g'), 'null') AS shape, count(*) AS n
-        FROM messages GROUP BY 1
+        SELECT coalesce(regexp_replace(regexp_replace(trim(stamp, ' ' || chr(9) || chr(10) || chr(13)), '[0-9]', '9', 'g'), '[A-Za-z]', 'A', 'g'), 'null') AS shape, count(*) AS n
+        FROM (SELECT timestamp AS stamp FROM messages UNION ALL SELECT ts FROM slack_01_clean UNION ALL SELECT internalDate FROM gmail_raw) GROUP BY 1
     """,
     "p6_found": f"WITH {_ORPHANS} SELECT ref_table, ref_field, row_key, kind, strftime(loaded_at, '%Y-%m') AS period FROM states WHERE kind IS NOT NULL",
     "p6_cascade": f"""
