@@ -46,10 +46,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_cascade(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.orphan_report(orphans.orphan_cascade(_reference_tables(spark, d))).select("ref_table", "ref_field", "period", "kind", F.col("direct").cast("bigint").alias("direct"), F.col("inherited").cast("bigint").alias("inherited"))
+    return orphans.orphan_report(orphans.orphan_cascade(_reference_tables(spark, d)))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shapes, p2_found, p2_unified, p4_found, p4_loaded, p6_found, p6_cascade)}
+def p6_threads(spark: SparkSession, d: str) -> DataFrame:
+    return orphans.orphan_report(orphans.orphan_cascade(_reference_tables(spark, d), orphans.THREAD_REFERENCES))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_shapes, p2_found, p2_unified, p4_found, p4_loaded, p6_found, p6_cascade, p6_threads)}
 
 _KEY = "nullif(lower(trim({0}, ' ' || chr(9) || chr(10) || chr(13))), '')"
 
@@ -185,4 +189,24 @@ ORACLE = {
             UNION ALL SELECT 'topic_evidence', 'artifact_id', strftime(loaded_at, '%Y-%m'), kind, 0, 1 FROM evidence)
         SELECT ref_table, ref_field, period, kind, CAST(sum(direct) AS BIGINT) AS direct, CAST(sum(inherited) AS BIGINT) AS inherited FROM every GROUP BY 1, 2, 3, 4
     """,
+    "p6_threads": f"""
+        WITH RECURSIVE {_ORPHANS},
+        answers AS (
+            SELECT 'email' AS ref_table, 'parent_id' AS ref_field, trim(artifact_id) AS row_key, {_KEY.format('parent_id')} AS to_id, loaded_at FROM email
+            QUALIFY row_number() OVER (PARTITION BY {_KEY.format('artifact_id')} ORDER BY loaded_at, parent_id NULLS FIRST) = 1),
+        every AS (
+            SELECT *, {_KEY.format('row_key')} AS id FROM states UNION ALL
+            SELECT a.*, CASE WHEN t.id IS NULL THEN 'missing' WHEN t.gone_at <= a.loaded_at THEN 'deleted' WHEN t.came_at > a.loaded_at THEN 'late' END, {_KEY.format('row_key')}
+            FROM answers a LEFT JOIN targets t ON t.target = 'email' AND t.id = a.to_id WHERE a.to_id IS NOT NULL),
+        down AS (
+            SELECT ref_table, id, kind, 0 AS level FROM every WHERE kind IS NOT NULL
+            UNION SELECT e.ref_table, e.id, d.kind, d.level + 1 FROM every e JOIN down d ON d.id = e.to_id AND d.ref_table = e.ref_table WHERE e.kind IS NULL AND e.ref_field = 'parent_id'),
+        best AS (SELECT ref_table, id, arg_min(kind, level * 10 + CASE kind WHEN 'deleted' THEN 0 WHEN 'late' THEN 1 ELSE 2 END) AS kind, min(level) AS level FROM down GROUP BY 1, 2),
+        taken AS (
+            SELECT e.ref_table, e.ref_field, e.row_key, e.loaded_at, arg_min(b.kind, b.level * 10 + CASE b.kind WHEN 'deleted' THEN 0 WHEN 'late' THEN 1 ELSE 2 END) AS kind
+            FROM every e JOIN best b ON b.id = e.to_id AND CASE e.ref_field WHEN 'parent_id' THEN b.ref_table = e.ref_table WHEN 'artifact_id' THEN b.ref_table IN ('email', 'ticket') ELSE false END
+            WHERE e.kind IS NULL GROUP BY 1, 2, 3, 4)
+        SELECT ref_table, ref_field, strftime(loaded_at, '%Y-%m') AS period, kind, CAST(sum(direct) AS BIGINT) AS direct, CAST(sum(1 - direct) AS BIGINT) AS inherited
+        FROM (SELECT ref_table, ref_field, loaded_at, kind, 1 AS direct FROM every WHERE kind IS NOT NULL UNION ALL SELECT ref_table, ref_field, loaded_at, kind, 0 FROM taken) GROUP BY 1, 2, 3, 4
+    """,
 }
