@@ -4,7 +4,7 @@ import random
 
 from conftest import rows
 
-from tidewrack.operators.drift import ADD, DELETE, MOVE, RENAME, edit_script, least_matching, schema_changes, unified_table
+from tidewrack.operators.drift import ADD, DELETE, MOVE, RENAME, edit_script, least_matching, schema_changes, schema_scripts, unified_table
 
 
 def test_least_matching_is_least():
@@ -16,24 +16,66 @@ def test_least_matching_is_least():
         assert got == min(sum(cost[i][p[i]] for i in range(n)) for p in itertools.permutations(range(m), n))
 
 
+def cost_of(script, old, new, agree):
+    """What a script of flat trees costs."""
+    mapped = {a: b for _, a, b in script}
+    at = lambda a, b: (MOVE if a[0] != b[0] else RENAME) + 0.2 / (1 + agree[a, b])
+    gone, come = set(old) - set(new), set(new) - set(old)
+    return sum(at(a, b) for a, b in mapped.items()) + DELETE * len(gone - mapped.keys()) + ADD * len(come - set(mapped.values()))
+
+
 def test_edit_script_is_cheapest():
     r = random.Random(2)
-    names = [f"{p}.{x}" for p in ("meta", "raw") for x in "abc"]
-    cost = {"added": ADD, "removed": DELETE}
+    names = [(p, x) for p in ("meta", "raw") for x in "abcd"]
+    chosen_among_several = 0
     for _ in range(300):
         old, new = {n for n in names if r.random() < 0.6}, {n for n in names if r.random() < 0.6}
-        gone, come = sorted(old - new), sorted(new - old)
-        pairs = {(a, b) for a in gone for b in come if r.random() < 0.3}
-        single = [(a, b) for a, b in pairs if sum(x == a for x, _ in pairs) == 1 and sum(y == b for _, y in pairs) == 1]
-        script = edit_script(sorted(old), sorted(new), pairs)
-        step = lambda a, b: RENAME if a.split(".")[0] == b.split(".")[0] else MOVE
-        got = sum(step(f, n) if c == "renamed" else cost[c] for c, f, n in script)
-        best = min(len(gone) * DELETE + len(come) * ADD + sum(step(a, b) - ADD - DELETE for a, b in some) for k in range(len(single) + 1) for some in itertools.combinations(single, k))
-        assert abs(got - best) < 1e-9
-        state = set(old)
-        for c, f, n in script:
-            state = state - {f} | {n} if c == "renamed" else state | {f} if c == "added" else state - {f}
-        assert state == new
+        pairs = [(a, b) for a in sorted(old - new) for b in sorted(new - old) if r.random() < 0.6]
+        agree = {p: r.randint(1, 9) for p in pairs}
+        script = edit_script(sorted(old), sorted(new), agree)
+        assert all((a, b) in agree and c == ("renamed" if a[0] == b[0] else "moved") for c, a, b in script)
+        some = [m for k in range(len(pairs) + 1) for m in itertools.combinations(pairs, k) if len({a for a, _ in m}) == len({b for _, b in m}) == k]
+        best = min(cost_of([("", a, b) for a, b in m], old, new, agree) for m in some)
+        assert abs(cost_of(script, old, new, agree) - best) < 1e-9
+        chosen_among_several += any(sum(x == a for x, _ in pairs) > 1 or sum(y == b for _, y in pairs) > 1 for _, a, b in script)
+    assert chosen_among_several > 100
+
+
+def nodes(*paths):
+    """Paths like ``meta.a.b`` and all above them but the column."""
+    return sorted({tuple(p.split(".")[:n]) for p in paths for n in range(2, p.count(".") + 2)})
+
+
+def script(old, new, *agree):
+    got = edit_script(nodes(*old), nodes(*new), {(tuple(a.split(".")), tuple(b.split("."))): n for a, b, n in agree})
+    return {(c, ".".join(a), ".".join(b)) for c, a, b in got}
+
+
+def test_scripts_of_nested_trees():
+    # an object under another name with one leaf lost: its leaves stay with it
+    assert script(["meta.user.id", "meta.user.mail", "meta.user.tz"], ["meta.sender.id", "meta.sender.mail"], ("meta.user.id", "meta.sender.id", 5), ("meta.user.mail", "meta.sender.mail", 5)) == {("renamed", "meta.user", "meta.sender"), ("kept", "meta.user.id", "meta.sender.id"), ("kept", "meta.user.mail", "meta.sender.mail")}
+    # an object that went to another column, a leaf of it under another name
+    assert script(["meta.geo.lat", "meta.geo.lon"], ["raw.geo.lat", "raw.geo.long"], ("meta.geo.lat", "raw.geo.lat", 3), ("meta.geo.lon", "raw.geo.long", 3)) == {("moved", "meta.geo", "raw.geo"), ("kept", "meta.geo.lat", "raw.geo.lat"), ("renamed", "meta.geo.lon", "raw.geo.long")}
+    # a leaf that went into an object, and one that left it; the object itself is new
+    assert script(["meta.a"], ["meta.box.a", "meta.box.b"], ("meta.a", "meta.box.a", 2)) == {("moved", "meta.a", "meta.box.a")}
+    # two objects: whose leaves agree is who maps, whatever the names
+    assert script(["meta.x.p.u", "meta.y.q.v"], ["meta.y2.q.v", "meta.x2.p.u"], ("meta.x.p.u", "meta.x2.p.u", 1), ("meta.y.q.v", "meta.y2.q.v", 1)) >= {("renamed", "meta.x", "meta.x2"), ("renamed", "meta.y", "meta.y2")}
+    # a field with two partners goes where more records agree, and leaves the other to the field that has only that one
+    assert script(["meta.a", "meta.b"], ["meta.c", "meta.d"], ("meta.a", "meta.c", 9), ("meta.a", "meta.d", 2), ("meta.b", "meta.c", 1)) == {("renamed", "meta.a", "meta.d"), ("renamed", "meta.b", "meta.c")}
+    assert script(["meta.a"], ["meta.b"]) == set() and script([], ["meta.a.b.c"]) == set() and script(["meta.a"], ["meta.a"]) == set()
+
+
+def test_nested_fields_of_files(spark):
+    old = [("a", {"user": {"id": 1, "geo": {"lat": 5}}}, {}), ("b", {"user": {"id": 2, "geo": {"lat": 6}}}, {}), ("c", {"flag": True, "mark": True}, {})]
+    new = [("A", {"sender": {"id": 1, "geo": {"lat": 5}}}, {}), ("b", {"sender": {"id": 2}}, {"lat": 6}), ("c", {"sign": True}, {})]
+    x = lines(spark, {"s_10": old, "s_2": new})
+    files = spark.createDataFrame(EXPORTS, "file_name string, feed string, stream string, file_no int")
+    got = {(r.change, ".".join(r.old or []), ".".join(r.new or []), r.sole) for r in schema_scripts(x, files, depth=None).collect() if r.file_name == "s_2"}
+    assert {("renamed", "meta.user", "meta.sender", False), ("kept", "meta.user.id", "meta.sender.id", True)} <= got
+    flags = {g for g in got if "meta.flag" in g or "meta.mark" in g}
+    assert flags == {("renamed", "meta.flag", "meta.sign", False), ("removed", "meta.mark", "", False)}  # the matching chose; the sole-partner rule would rename none
+    assert ("meta.flag", "removed", "") in rows(schema_changes(x, files).where("file_name = 's_2'"), "field", "change", "new_field")
+    assert schema_scripts(x.limit(0), files, depth=None).count() == 0
 
 
 def lines(spark, files):

@@ -32,6 +32,12 @@ def p2_unified(spark: SparkSession, d: str) -> DataFrame:
     return drift.unified_table(table(spark, d, "slack_01_clean"), table(spark, d, "export_files")).withColumn("fields", F.to_json("fields"))
 
 
+def p2_scripts(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "slack_01_clean", "file_name", "line_no", "artifact_id", "meta", "raw")
+    x = drift.schema_scripts(lines, table(spark, d, "export_files"), depth=None).where("change <> 'kept'")
+    return x.select("file_name", "change", F.array_join("old", ".").alias("field"), F.array_join("new", ".").alias("new_field"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return quarantine.failed_lines(table(spark, d, "slack_02_broken")).select("file_name", "line_no", "reason").distinct()
 
@@ -53,7 +59,7 @@ def p6_threads(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(orphans.orphan_cascade(_reference_tables(spark, d), orphans.THREAD_REFERENCES))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shapes, p2_found, p2_unified, p4_found, p4_loaded, p6_found, p6_cascade, p6_threads)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_shapes, p2_found, p2_scripts, p2_unified, p4_found, p4_loaded, p6_found, p6_cascade, p6_threads)}
 
 _KEY = "nullif(lower(trim({0}, ' ' || chr(9) || chr(10) || chr(13))), '')"
 
