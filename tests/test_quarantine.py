@@ -1,13 +1,14 @@
 import csv
 import io
 import json
+import random
 
 from conftest import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidewrack.functions.grammar import SyntaxFault, csv_buffer, csv_record, json_record
-from tidewrack.operators.quarantine import failed_lines, valid_records
+from tidewrack.functions.grammar import SyntaxFault, csv_record, csv_run, json_record, starts_record
+from tidewrack.operators.quarantine import failed_lines, recovered_records, valid_records
 
 
 def strict(text):
@@ -59,7 +60,7 @@ def test_csv_grammar_reads_what_a_writer_wrote(fields):
 
 def test_csv_recovers_at_the_next_record():
     text = 'a1,x,"two\nlines"\na2,x,"never closed\na3,x,y\nbad"quote,x,y\na4,x,y'
-    got = csv_buffer(text, 3)
+    got = [(i + 1, v, f) for i, _, v, f in csv_run(text.split("\n"), 3)]
     assert [(n, v) for n, v, f in got if v] == [(1, ["a1", "x", "two\nlines"]), (4, ["a3", "x", "y"]), (6, ["a4", "x", "y"])]
     assert [n for n, v, f in got if f] == [3, 5]
 
@@ -95,3 +96,23 @@ def test_records_keep_every_field(spark):
         "x1": [("artifact_id", "string", "x1"), ("ts", "string", "2026-01-01"), ("text", "string", "a\tb"), ("meta", "object", '{"k": [1, {"z": "}"}]}'), ("n", "number", "1.50"), ("ok", "boolean", "true"), ("parent_id", "null", None), ("to", "array", "[]"), ("more", "array", '[ {"ts": 2} ]')],
         "c1": [("artifact_id", "string", "c1"), ("source", "string", "s"), ("ts", "string", "1,2"), ("text", "string", "t")],
     }
+
+
+def test_quotes_broken_over_lines(spark):
+    """Reading by runs between anchors gives what reading each whole file gives."""
+    r = random.Random(4)
+    piece = ['a{i},x,"one', 'b{i},x,"he said ""no""', "two", 'three"', 'four" ', "", "c{i},x,y", 'd{i},"x","y, z"', 'e{i},x', 'f{i},"x"y,z', ' ,x,y', 'more, and more', '"', 'g{i},x,"open', ',,']
+    files = {f"f{n}.csv": ["k,artifact_id,text" if n % 2 else "artifact_id,source,text", *[r.choice(piece).replace("{i}", str(i)) for i in range(120)]] for n in range(6)}
+    files["hot.csv"] = ["artifact_id,source,text", *["x{},y,z".format(i) for i in range(900)], 'h1,s,"begins', *["prose"] * 40, 'ends"', 'h2,s,"never', "h3,s,t"]
+    df = spark.createDataFrame([(f, i + 1, line, "x") for f, ls in files.items() for i, line in enumerate(ls)] + [("hot.csv", 3, "x1,y,z", "x"), ("a.jsonl", 1, "{", "x"), ("hot.csv", None, "x", "x")], "file_name string, line_no int, line string, run string")
+    want = []
+    for f, ls in files.items():
+        for i, n, values, _ in csv_run(ls[1:], 3):
+            named = dict(zip(ls[0].split(","), values, strict=True)) if values and len(values) == 3 else {}
+            reason = "bad_quoting" if values is None else "column_count" if not named else None if named["artifact_id"].strip() else "no_id"
+            want.append((f, i + 2, n, reason, named["artifact_id"].strip() if not reason else None, named["text"] if not reason else None))
+    got = rows(recovered_records(df), "file_name", "line_no", "lines", "reason", "artifact_id", "text")
+    assert set(got) == set(want) and len(got) == len(want)
+    assert ("hot.csv", 902, 42, None, "h1", "\n".join(["begins", *["prose"] * 40, "ends"])) in got and ("hot.csv", 944, 1, "bad_quoting", None, None) in got
+    assert starts_record('a1,"x', 3) and starts_record("x,y,z", 3) and not starts_record('more"', 3) and not starts_record("in words, that is", 3)
+    assert recovered_records(df.limit(0)).count() == 0

@@ -1,7 +1,7 @@
 """A recursive-descent grammar for the lines of exports: strict JSON values and quoted CSV records.
 
-Both parsers say where and why a text leaves the grammar. ``csv_buffer`` reads a text of several lines and,
-after a broken quote, resumes at the next line that proves to be the start of a record.
+Both parsers say where and why a text leaves the grammar. ``csv_run`` reads lines whose quotes may be broken over
+lines and, after a broken quote, resumes at the next line that proves to be the start of a record.
 """
 
 from __future__ import annotations
@@ -111,6 +111,7 @@ def json_record(text: str, fields: tuple[str, ...] | None = None) -> tuple[str,
             raise SyntaxFault(pos, "',' or the end of the object or array expected")
 
 
+NEVER_CLOSED = "a quote that is never closed"
 _PLAIN = re.compile(r'[^",]*')
 _QUOTED = re.compile(r'"((?:[^"]|"")*)"')
 
@@ -122,7 +123,7 @@ def csv_record(line: str) -> list[str]:
         if line[pos : pos + 1] == '"':
             m = _QUOTED.match(line, pos)
             if not m:
-                raise SyntaxFault(pos, "a quote that is never closed")
+                raise SyntaxFault(pos, NEVER_CLOSED)
             values.append(m[1].replace('""', '"'))
             pos = m.end()
             if pos < end and line[pos] != ",":
@@ -138,43 +139,45 @@ def csv_record(line: str) -> list[str]:
         pos += 1
 
 
-def csv_buffer(text: str, width: int) -> list[tuple[int, list[str] | None, str]]:
-    """(line number from 1, values or None, fault) of each record of a text with quoted line breaks.
+_KEY_START = re.compile(r'(?:"[^"\s]*\d[^"\s]*"|[^",\s]*\d[^",\s]*),')
 
-    A quoted value may span lines as long as the record it closes has ``width`` values. Where it doesn't, the
-    first line is a fault and reading resumes at the next anchor: a line that by itself is a whole record.
-    """
-    lines, out, i = text.split("\n"), [], 0
 
-    def whole(line: str) -> list[str] | None:
-        try:
-            v = csv_record(line.rstrip("\r"))
-        except SyntaxFault:
-            return None
-        return v if len(v) == width else None
+def whole_record(line: str, width: int) -> list[str] | None:
+    """The values of a line that by itself is a record of ``width`` values; None if it isn't."""
+    try:
+        values = csv_record(line.rstrip("\r\n"))
+    except SyntaxFault:
+        return None
+    return values if len(values) == width and line.strip() else None
+
+
+def starts_record(line: str, width: int) -> bool:
+    """Whether a line proves to be the start of a record: it is a whole one, or its first value is closed and looks like a key (a digit, no blanks)."""
+    return _KEY_START.match(line) is not None or whole_record(line, width) is not None
+
 
+def csv_run(lines: list[str], width: int) -> list[tuple[int, int, list[str] | None, SyntaxFault | None]]:
+    """(index, number of lines, values or None, fault) of each record of some lines; blank lines between records are skipped.
+
+    A quoted value may span lines as long as none of them starts a record and the record it closes has ``width`` values.
+    Where it doesn't close, the first line is a fault and reading resumes with the next line.
+    """
+    out, i = [], 0
     while i < len(lines):
-        if not lines[i].strip():
-            i += 1
-            continue
-        try:
-            out.append((i + 1, csv_record(lines[i].rstrip("\r")), ""))
-            i += 1
-            continue
-        except SyntaxFault as e:
-            fault = e
-        joined, j = lines[i], i
-        if fault.why == "a quote that is never closed":
-            while j + 1 < len(lines) and whole(lines[j + 1]) is None:
-                j += 1
-                joined += "\n" + lines[j]
-                if (v := whole(joined)) is not None:
-                    out.append((i + 1, v, ""))
-                    break
-            else:
-                out.append((i + 1, None, str(fault)))
-                j = i
-        else:
-            out.append((i + 1, None, str(fault)))
-        i = j + 1
+        n = 1
+        if lines[i].strip():
+            values = fault = None
+            try:
+                values = csv_record(lines[i].rstrip("\r\n"))
+            except SyntaxFault as e:
+                fault = e
+                if e.why == NEVER_CLOSED:
+                    joined, j = lines[i], i + 1
+                    while j < len(lines) and not starts_record(lines[j], width):
+                        joined, j = f"{joined}\n{lines[j]}", j + 1
+                        if (v := whole_record(joined, width)) is not None:
+                            values, fault, n = v, None, j - i
+                            break
+            out.append((i, n, values, fault))
+        i += n
     return out

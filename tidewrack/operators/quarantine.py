@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewrack.functions.grammar import SyntaxFault, csv_record, json_record
+from tidewrack.functions.grammar import SyntaxFault, csv_record, csv_run, json_record, starts_record, whole_record
 from tidewrack.functions.keys import blank
+from tidewrack.operators.ranking import running
 from tidewrack.session import materialize
 
 #: Columns of a CSV file whose first line is missing. The layout of the exports.
@@ -58,19 +59,25 @@ def parse_csv_line(line: str, header: list[str], whole: bool = True) -> Parsed:
     return None, None, None, id_, row.get("text"), [(name, "string", v) for name, v in zip(header, values, strict=True)] if whole else None
 
 
+class Headers:
+    """Column names of header lines, each read once."""
+
+    def __init__(self):
+        self.known: dict[str | None, list[str]] = {}
+
+    def __call__(self, line: str | None) -> list[str]:
+        if line not in self.known:
+            try:
+                self.known[line] = [c.strip() for c in csv_record(line.lstrip(_BOM).rstrip("\r\n"))] if line else [*CSV_COLUMNS]
+            except SyntaxFault:
+                self.known[line] = [*CSV_COLUMNS]
+        return self.known[line]
+
+
 def _parser(whole: bool) -> Callable[..., Column]:
     @F.pandas_udf(_PARSED)
     def parse(name: pd.Series, line: pd.Series, first: pd.Series) -> pd.DataFrame:
-        headers: dict[str | None, list[str]] = {}
-
-        def header(text: str | None) -> list[str]:
-            if text not in headers:
-                try:
-                    headers[text] = [c.strip() for c in csv_record(text.lstrip(_BOM).rstrip("\r\n"))] if text else [*CSV_COLUMNS]
-                except SyntaxFault:
-                    headers[text] = [*CSV_COLUMNS]
-            return headers[text]
-
+        header = Headers()
         rows = [parse_csv_line(x, header(h), whole) if n.lower().endswith(".csv") else parse_json_line(x, whole) for n, x, h in zip(name, line, first, strict=True)]
         return pd.DataFrame(rows, columns=_PARSED.names).astype({"fault_at": "Int32"})
 
@@ -110,3 +117,47 @@ def valid_records(lines: DataFrame) -> DataFrame:
 def failed_lines(lines: DataFrame) -> DataFrame:
     """file_name, line_no, reason, fault_at, fault, line of the lines that don't load."""
     return parse_lines(lines, whole=False).where(F.col("reason").isNotNull()).select("file_name", "line_no", "reason", "fault_at", "fault", "line")
+
+
+_RECOVERED = T.ArrayType(
+    T.StructType([T.StructField("line_no", T.IntegerType()), T.StructField("lines", T.IntegerType()), T.StructField("reason", T.StringType()), T.StructField("fault", T.StringType()), T.StructField("artifact_id", T.StringType()), T.StructField("text", T.StringType())])
+)
+
+
+@F.pandas_udf(T.StringType())
+def _role(line: pd.Series, first: pd.Series) -> pd.Series:
+    """``whole``, ``start`` or ``part`` of a record."""
+    header = Headers()
+    return pd.Series(["whole" if whole_record(x, n := len(header(h))) is not None else "start" if starts_record(x, n) else "part" for x, h in zip(line, first, strict=True)])
+
+
+@F.pandas_udf(_RECOVERED)
+def _recover(run: pd.Series, first: pd.Series) -> pd.Series:
+    header, out = Headers(), []
+    for lines, h in zip(run, first, strict=True):
+        names, found = header(h), []
+        for i, n, values, fault in csv_run([x["line"] for x in lines], len(names)):
+            row = dict(zip(names, values, strict=True)) if values and len(values) == len(names) else {}
+            reason = "bad_quoting" if values is None else "column_count" if not row else None if row.get("artifact_id", "").strip() else "no_id"
+            loaded = reason is None
+            found.append({"line_no": int(lines[i]["line_no"]), "lines": n, "reason": reason, "fault": str(fault) if fault else None, "artifact_id": row["artifact_id"].strip() if loaded else None, "text": row.get("text") if loaded else None})
+        out.append(found)
+    return pd.Series(out)
+
+
+def recovered_records(lines: DataFrame) -> DataFrame:
+    """file_name, line_no, lines, reason (null: loaded), fault, artifact_id, text of each record of the .csv files, read as files: quoted values may hold line breaks.
+
+    A line that proves to start a record is an anchor. The lines from one anchor to the next are read together, so a broken
+    quote costs no more than these, and a file is never one task: anchors before a line are counted by ranges, and whole
+    one-line records are not grouped at all. Null and blank lines and headers are no records; a line delivered twice under one number counts once.
+    """
+    x = lines.select("file_name", "line_no", "line").where(F.lower("file_name").endswith(".csv") & F.col("line_no").isNotNull() & F.col("line").isNotNull())
+    x = x.groupBy("file_name", "line_no").agg(F.min("line").alias("line"))
+    header = x.where("line_no = 1").select("file_name", F.col("line").alias("first"))
+    x = x.where("line_no > 1").join(header, "file_name", "left").withColumn("role", _role("line", "first"))
+    x = running(x.withColumn("anchor", F.when(F.col("role") != "part", 1).otherwise(0).cast("bigint")), ["file_name"], ["line_no"], "anchor", F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "before")
+    at = (F.col("before") + F.col("anchor")).alias("run")
+    alone = x.where("role = 'whole'").select("file_name", "first", F.array(F.struct("line_no", "line")).alias("lines"))
+    runs = x.where("role <> 'whole'").groupBy("file_name", "first", at).agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("lines")).drop("run")
+    return alone.unionByName(runs).select("file_name", F.explode(_recover("lines", "first")).alias("r")).select("file_name", "r.*")

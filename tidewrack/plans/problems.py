@@ -46,6 +46,15 @@ def p4_loaded(spark: SparkSession, d: str) -> DataFrame:
     return quarantine.valid_records(table(spark, d, "slack_02_broken"))
 
 
+def p4_recovered(spark: SparkSession, d: str) -> DataFrame:
+    return quarantine.recovered_records(table(spark, d, "slack_02_broken"))
+
+
+def p4_fields(spark: SparkSession, d: str) -> DataFrame:
+    x = quarantine.valid_records(table(spark, d, "slack_02_broken")).select("file_name", "line_no", "artifact_id", F.explode("fields").alias("f"))
+    return x.groupBy("file_name", F.col("f.name").alias("field"), F.col("f.type").alias("type")).agg(F.count("*").alias("n"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     cascade = orphans.orphan_cascade(_reference_tables(spark, d))
     return cascade.where("level = 0").select("ref_table", "ref_field", "row_key", "kind", "period")
@@ -59,7 +68,7 @@ def p6_threads(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(orphans.orphan_cascade(_reference_tables(spark, d), orphans.THREAD_REFERENCES))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shapes, p2_found, p2_scripts, p2_unified, p4_found, p4_loaded, p6_found, p6_cascade, p6_threads)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_shapes, p2_found, p2_scripts, p2_unified, p4_found, p4_loaded, p4_fields, p4_recovered, p6_found, p6_cascade, p6_threads)}
 
 _KEY = "nullif(lower(trim({0}, ' ' || chr(9) || chr(10) || chr(13))), '')"
 
@@ -130,6 +139,25 @@ def _instants(rows: str) -> str:
     """
 
 
+_LINES = rf"""
+    l AS (
+            SELECT file_name, line_no, ends_with(lower(file_name), '.csv') AS is_csv, CASE WHEN line_no = 1 THEN ltrim(line, chr(65279)) ELSE line END AS line FROM slack_02_broken WHERE line IS NOT NULL AND file_name IS NOT NULL),
+        c AS (SELECT *, rtrim(line, chr(13) || chr(10)) AS r, len(regexp_replace(rtrim(line, chr(13) || chr(10)), '"(?:[^"]|"")*"|[^,]', '', 'g')) AS commas FROM l),
+        h AS (SELECT file_name, commas FROM c WHERE is_csv AND line_no = 1),
+        j AS (
+            SELECT file_name, line_no, is_csv, r, c.commas, h.commas AS want, regexp_full_match(line, '{_STRICT.replace("'", "''")}') AS strict, try_cast(line AS JSON) AS v
+            FROM c LEFT JOIN h USING (file_name) WHERE trim(line, {_BLANKS}) <> '' AND NOT (is_csv AND line_no = 1)),
+        k AS (
+            SELECT *, CASE WHEN is_csv THEN trim(CASE WHEN r LIKE '"%' THEN replace(regexp_extract(r, '^"((?:[^"]|"")*)"', 1), '""', '"') ELSE split_part(r, ',', 1) END, {_BLANKS})
+                           ELSE trim(CASE WHEN json_type(v, '$.artifact_id') = 'VARCHAR' THEN v ->> '$.artifact_id' ELSE CAST(v -> '$.artifact_id' AS VARCHAR) END, {_BLANKS}) END AS id,
+                   json_type(v, '$.artifact_id') AS id_type, json_type(v, '$.text') AS text_type FROM j),
+        m AS (
+            SELECT *, CASE WHEN is_csv THEN CASE WHEN NOT regexp_full_match(r, '(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*') THEN 'bad_quoting' WHEN commas <> want THEN 'column_count' WHEN id = '' THEN 'no_id' END
+                ELSE CASE WHEN NOT strict THEN 'bad_json' WHEN json_type(v) <> 'OBJECT' THEN 'not_object' WHEN coalesce(id_type, 'NULL') = 'NULL' OR (id_type = 'VARCHAR' AND id = '') THEN 'no_id'
+                          WHEN id_type NOT IN ('VARCHAR', 'BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE') OR coalesce(text_type, 'NULL') NOT IN ('NULL', 'VARCHAR') THEN 'bad_value' END END AS reason FROM k),
+    nth AS (SELECT *, CASE WHEN reason IS NULL THEN row_number() OVER (PARTITION BY reason IS NULL, id ORDER BY file_name, line_no) ELSE 0 END AS place FROM m)
+"""
+
 ORACLE = {
     "p1_found": f"""
         WITH a AS ({_instants("SELECT 'messages' AS src, id AS rec_id, trim(timestamp) AS s, zone AS z, date_order AS o FROM messages LEFT JOIN (SELECT * FROM export_files WHERE feed = 'messages') USING (file_name) UNION ALL SELECT 'slack_01_clean', file_name || ':' || line_no, trim(ts), zone, date_order FROM slack_01_clean LEFT JOIN (SELECT * FROM export_files WHERE feed = 'slack_01_clean') USING (file_name)")}),
@@ -155,24 +183,12 @@ ORACLE = {
         UNION ALL SELECT file_name, field, 'added', '' FROM pair b WHERE old IS NULL AND NOT EXISTS (SELECT 1 FROM renamed r WHERE r.file_name = b.file_name AND r.new = b.field)
         UNION ALL SELECT file_name, field, 'retyped', '' FROM pair WHERE old <> new
     """,
-    "p4_found": f"""
-        WITH l AS (
-            SELECT file_name, line_no, ends_with(lower(file_name), '.csv') AS is_csv, CASE WHEN line_no = 1 THEN ltrim(line, chr(65279)) ELSE line END AS line FROM slack_02_broken WHERE line IS NOT NULL AND file_name IS NOT NULL),
-        c AS (SELECT *, rtrim(line, chr(13) || chr(10)) AS r, len(regexp_replace(rtrim(line, chr(13) || chr(10)), '"(?:[^"]|"")*"|[^,]', '', 'g')) AS commas FROM l),
-        h AS (SELECT file_name, commas FROM c WHERE is_csv AND line_no = 1),
-        j AS (
-            SELECT file_name, line_no, is_csv, r, c.commas, h.commas AS want, regexp_full_match(line, '{_STRICT.replace("'", "''")}') AS strict, try_cast(line AS JSON) AS v
-            FROM c LEFT JOIN h USING (file_name) WHERE trim(line, {_BLANKS}) <> '' AND NOT (is_csv AND line_no = 1)),
-        k AS (
-            SELECT *, CASE WHEN is_csv THEN trim(CASE WHEN r LIKE '"%' THEN replace(regexp_extract(r, '^"((?:[^"]|"")*)"', 1), '""', '"') ELSE split_part(r, ',', 1) END, {_BLANKS})
-                           ELSE trim(CASE WHEN json_type(v, '$.artifact_id') = 'VARCHAR' THEN v ->> '$.artifact_id' ELSE CAST(v -> '$.artifact_id' AS VARCHAR) END, {_BLANKS}) END AS id,
-                   json_type(v, '$.artifact_id') AS id_type, json_type(v, '$.text') AS text_type FROM j),
-        m AS (
-            SELECT *, CASE WHEN is_csv THEN CASE WHEN NOT regexp_full_match(r, '(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*') THEN 'bad_quoting' WHEN commas <> want THEN 'column_count' WHEN id = '' THEN 'no_id' END
-                ELSE CASE WHEN NOT strict THEN 'bad_json' WHEN json_type(v) <> 'OBJECT' THEN 'not_object' WHEN coalesce(id_type, 'NULL') = 'NULL' OR (id_type = 'VARCHAR' AND id = '') THEN 'no_id'
-                          WHEN id_type NOT IN ('VARCHAR', 'BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE') OR coalesce(text_type, 'NULL') NOT IN ('NULL', 'VARCHAR') THEN 'bad_value' END END AS reason FROM k)
-        SELECT DISTINCT file_name, line_no, CASE WHEN reason IS NULL THEN 'duplicate_id' ELSE reason END AS reason
-        FROM (SELECT *, CASE WHEN reason IS NULL THEN row_number() OVER (PARTITION BY reason IS NULL, id ORDER BY file_name, line_no) ELSE 0 END AS nth FROM m) WHERE reason IS NOT NULL OR nth > 1
+    "p4_found": f"WITH {_LINES} SELECT DISTINCT file_name, line_no, coalesce(reason, 'duplicate_id') AS reason FROM nth WHERE reason IS NOT NULL OR place > 1",
+    "p4_fields": f"""
+        WITH {_LINES}, names AS (SELECT file_name, string_split(rtrim(r, chr(13) || chr(10)), ',') AS names FROM c WHERE is_csv AND line_no = 1), loaded AS (SELECT * FROM nth WHERE reason IS NULL AND place = 1)
+        SELECT file_name, field, type, count(*) AS n FROM (
+            SELECT l.file_name, e.key AS field, CASE e.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN 'null' ELSE 'number' END AS type FROM (SELECT * FROM loaded WHERE NOT is_csv) l, json_each(l.v) e
+            UNION ALL SELECT file_name, unnest(names), 'string' FROM loaded JOIN names USING (file_name) WHERE is_csv) GROUP BY 1, 2, 3
     """,
     "p1_shapes": """
         SELECT coalesce(regexp_replace(regexp_replace(trim(stamp, ' ' || chr(9) || chr(10) || chr(13)), '[0-9]', '9', 'g'), '[A-Za-z]', 'A', 'g'), 'null') AS shape, count(*) AS n
