@@ -302,9 +302,8 @@ def last_turns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def request_rate(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events", "event_id", "user_id", "ts").withColumn("s", F.unix_timestamp(F.col("ts").cast("timestamp")))
-    within = W.partitionBy("user_id").orderBy("s").rangeBetween(-60, 0)
-    return e.withColumn("n", F.count("*").over(within)).groupBy("user_id").agg(F.max("n").alias("peak"))
+    e = table(spark, d, "events", "user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("s"))
+    return folds.most_within(e, "user_id", "s", 60).withColumnRenamed("most", "peak")
 
 
 def dangling_parents(spark: SparkSession, d: str) -> DataFrame:
