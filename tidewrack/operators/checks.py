@@ -63,8 +63,8 @@ def unknown_senders(artifacts: DataFrame, people: DataFrame) -> DataFrame:
 
 def fact_partition(facts: DataFrame) -> DataFrame:
     """(container_id, facts, enough): distinct facts (container_id, fact) that a container holds, and whether these are all there are."""
-    total = facts.select(F.count_distinct("fact").alias("total"))
-    return facts.groupBy("container_id").agg(F.count_distinct("fact").alias("facts")).join(total).select("container_id", "facts", (F.col("facts") >= F.col("total")).alias("enough"))
+    total = facts.agg(F.count_distinct("fact")).head()[0]
+    return facts.groupBy("container_id").agg(F.count_distinct("fact").alias("facts")).select("container_id", "facts", (F.col("facts") >= total).alias("enough"))
 
 
 def unanswered(artifacts: DataFrame, hours: int = 48) -> DataFrame:

@@ -132,15 +132,19 @@ def retrieve(seeds: DataFrame, artifacts: DataFrame, entities: DataFrame, hops:
     return old.unionByName(closed).orderBy(F.desc("is_hit"), *order).limit(top_k).select("artifact_id", "hop", "path")
 
 
-def normalized_artifacts(*tables: DataFrame) -> DataFrame:
-    """One row for each artifact of the tables, its first delivery: ids in lower case, senders and recipients in upper, ts as UTC time."""
+def normalized_artifacts(*tables: DataFrame, texts: bool = True) -> DataFrame:
+    """One row for each artifact of the tables, its first delivery: ids in lower case, senders and recipients in upper, ts as UTC time.
+
+    Of deliveries of one time and source the least by the other columns counts, the text last. Without ``texts`` there is no
+    text column, and texts are neither read nor shuffled.
+    """
     parts = []
     for t in tables:
         ts = F.when(F.col("ts").rlike(r"^\s*\d{4}-\d{2}-\d{2}"), F.expr("try_cast(ts AS timestamp)"))
         parts.append(
             t.select(
                 norm_key(F.col("artifact_id")).alias("artifact_id"), "loaded_at", "source", norm_key(F.col("container_id")).alias("container_id"), norm_key(F.col("parent_id")).alias("parent_id"),
-                F.upper(norm_key(F.col("sender_id"))).alias("sender_id"), F.transform("recipients", lambda r: F.upper(norm_key(r))).alias("recipients"), ts.alias("ts"), "text",
+                F.upper(norm_key(F.col("sender_id"))).alias("sender_id"), F.transform("recipients", lambda r: F.upper(norm_key(r))).alias("recipients"), ts.alias("ts"), *(["text"] if texts else []),
             )
         )
     x = reduce(DataFrame.unionByName, parts).where("artifact_id IS NOT NULL")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewrack.operators.folds import CONFIDENCE_RANK, STATUS_RANK, rank_of, top_per_key
@@ -52,3 +53,11 @@ def evidence_for(evidence: DataFrame, artifacts: DataFrame, n: int = 6) -> DataF
 def stale_embeddings(topics: DataFrame) -> DataFrame:
     """Topics (text, embedded_for) whose text is not the one that was embedded; null-safe."""
     return topics.where(~F.col("text").eqNullSafe(F.col("embedded_for")))
+
+
+def looked_up(topics: DataFrame, key: str, asked: str, n: int) -> DataFrame:
+    """The n first topics, by key, whose key is the one asked for in any case; else those whose key contains it."""
+    low = F.lower(F.col(key))
+    near = topics.where(F.contains(low, F.lit(asked.lower()))).withColumn("_far", (low != asked.lower()).cast("int"))
+    best = near.orderBy("_far", key).limit(n)
+    return best.withColumn("_least", F.min("_far").over(W.partitionBy(F.lit(0)))).where("_far = _least").drop("_far", "_least")

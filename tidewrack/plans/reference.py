@@ -47,8 +47,8 @@ def readings(spark: SparkSession, d: str) -> DataFrame:
     return x.withColumn("importance", importance.cast("bigint")).withColumn("state_rank", (F.datediff("seen_at", F.lit("1970-01-01")) * 100 + importance).cast("bigint"))
 
 
-def artifacts(spark: SparkSession, d: str) -> DataFrame:
-    return graph.normalized_artifacts(table(spark, d, "email"), table(spark, d, "ticket"))
+def artifacts(spark: SparkSession, d: str, texts: bool = True) -> DataFrame:
+    return graph.normalized_artifacts(table(spark, d, "email"), table(spark, d, "ticket"), texts=texts)
 
 
 def entities(spark: SparkSession, d: str) -> DataFrame:
@@ -119,7 +119,7 @@ def topics_without_evidence(spark: SparkSession, d: str) -> DataFrame:
 def evidence_top6(spark: SparkSession, d: str) -> DataFrame:
     e = store.first_deliveries(table(spark, d, "topic_evidence", "evidence_id", "topic_key", "artifact_id", "loaded_at"), "evidence_id", ["loaded_at"])
     e = e.select("evidence_id", "topic_key", norm_key(F.col("artifact_id")).alias("artifact_id"))
-    return store.evidence_for(e, artifacts(spark, d).select("artifact_id", F.unix_timestamp("ts").alias("ts"))).select("topic_key", "evidence_id", "artifact_id", "ts", "place")
+    return store.evidence_for(e, artifacts(spark, d, texts=False).select("artifact_id", F.unix_timestamp("ts").alias("ts"))).select("topic_key", "evidence_id", "artifact_id", "ts", "place")
 
 
 def evidence_union(spark: SparkSession, d: str) -> DataFrame:
@@ -173,7 +173,7 @@ def stale_embeddings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def alias_keys(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "email", "artifact_id", "text").select(F.explode(X.aliases(F.col("text"))).alias("alias"))
+    x = table(spark, d, "email", "text").unionByName(table(spark, d, "ticket", "text")).select(F.explode(X.aliases(F.col("text"))).alias("alias"))
     return x.groupBy("alias").agg(F.count("*").alias("n"))
 
 
@@ -222,7 +222,7 @@ def source_ablation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def thread_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    parts = artifacts(spark, d).where("container_id IS NOT NULL")
+    parts = artifacts(spark, d, texts=False).where("container_id IS NOT NULL")
     sizes = parts.groupBy("container_id").agg((F.count("*") - 1).alias("n")).where("n > 0")
     return parts.where("parent_id IS NULL").select("container_id", F.col("artifact_id").alias("from_id")).join(sizes, "container_id").select("from_id", "n")
 
@@ -241,21 +241,21 @@ def owner_referral(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "employees", "employee_id", "name", "manager_id", "loaded_at").withColumn("employee_id", F.upper(norm_key(F.col("employee_id"))))
     e = store.first_deliveries(e, "employee_id", ["loaded_at"]).select("employee_id", "name", F.upper(norm_key(F.col("manager_id"))).alias("manager_id"))
     boss = e.select(F.col("employee_id").alias("manager_id"), F.col("name").alias("refer_to"))
-    sent = artifacts(spark, d).where("source = 'ticket' AND parent_id IS NULL AND sender_id IS NOT NULL").groupBy(F.col("sender_id").alias("employee_id")).agg(F.count("*").alias("tickets"))
+    sent = artifacts(spark, d, texts=False).where("source = 'ticket' AND parent_id IS NULL AND sender_id IS NOT NULL").groupBy(F.col("sender_id").alias("employee_id")).agg(F.count("*").alias("tickets"))
     return sent.join(e, "employee_id").join(boss, "manager_id", "left").select("employee_id", "tickets", F.coalesce("refer_to", "name").alias("refer_to"))
 
 
 def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
     gold = table(spark, d, "subject_labels", "doc_id", "subject").where("subject = 'software'").select("doc_id").distinct()
     ranked = retrieval.bm25(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", QUESTION).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc_id").limit(50)
-    found = gold.join(ranked, "doc_id", "left_semi").agg(F.count("*").alias("found"))
-    return found.join(gold.agg(F.count("*").alias("gold"))).select("found", "gold", F.round(F.col("found") / F.col("gold"), 6).alias("recall"))
+    both = gold.join(ranked.withColumn("hit", F.lit(True)), "doc_id", "left").agg(F.count("hit").alias("found"), F.count("*").alias("gold"))
+    return both.select("found", "gold", F.round(F.col("found") / F.col("gold"), 6).alias("recall"))
 
 
 def fabricated_citations(spark: SparkSession, d: str) -> DataFrame:
     e = store.first_deliveries(table(spark, d, "topic_evidence", "evidence_id", "topic_key", "artifact_id", "loaded_at"), "evidence_id", ["loaded_at"]).withColumn("artifact_id", norm_key(F.col("artifact_id"))).where("artifact_id IS NOT NULL")
     answer = F.concat(F.lit("It stands in ["), "artifact_id", F.lit(", eml_none] and [chk-1; bad id]."))
-    known = artifacts(spark, d).select("artifact_id", F.array("artifact_id").alias("available"))
+    known = artifacts(spark, d, texts=False).select("artifact_id", F.array("artifact_id").alias("available"))
     x = e.join(known, "artifact_id", "left").withColumn("cited", X.citations(answer))
     x = evidence.fabricated(x, "cited", "available")
     return x.select("evidence_id", F.size("cited").alias("cited"), F.array_join("fabricated", ",").alias("fabricated"))
@@ -271,7 +271,7 @@ def html_bodies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def artifact_validation(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "email").select(checks.artifact_reason().alias("reason"))
+    x = table(spark, d, "email").unionByName(table(spark, d, "ticket")).select(checks.artifact_reason().alias("reason"))
     return x.groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -281,23 +281,24 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    x = artifacts(spark, d).where("source = 'ticket' AND container_id IS NOT NULL").select(F.lit(1).alias("batch"), "artifact_id")
+    x = artifacts(spark, d, texts=False).where("source = 'ticket' AND container_id IS NOT NULL").select(F.lit(1).alias("batch"), "artifact_id")
     r = rank_within(x, ["batch"], ["artifact_id"], "rank")
     return r.select("artifact_id", F.floor((F.col("rank") - 1) / 40).cast("bigint").alias("chunk"))
 
 
 def _chunked(parts: DataFrame) -> DataFrame:
-    """artifact_id, text, chunk: all artifacts in chunks of 40 by id."""
-    r = rank_within(parts.select(F.lit(1).alias("batch"), "artifact_id", "text"), ["batch"], ["artifact_id"], "rank")
-    return r.select("artifact_id", "text", F.floor((F.col("rank") - 1) / 40).cast("bigint").alias("chunk"))
+    """artifact_id, text if there is one, chunk: all artifacts in chunks of 40 by id."""
+    kept = [c for c in ("artifact_id", "text") if c in parts.columns]
+    r = rank_within(parts.select(F.lit(1).alias("batch"), *kept), ["batch"], ["artifact_id"], "rank")
+    return r.select(*kept, F.floor((F.col("rank") - 1) / 40).cast("bigint").alias("chunk"))
 
 
 def all_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return _chunked(artifacts(spark, d)).select("artifact_id", "chunk")
+    return _chunked(artifacts(spark, d, texts=False)).select("artifact_id", "chunk")
 
 
 def last_turns(spark: SparkSession, d: str) -> DataFrame:
-    x = artifacts(spark, d).where("container_id IS NOT NULL").select("container_id", "artifact_id", F.unix_timestamp("ts").alias("at"))
+    x = artifacts(spark, d, texts=False).where("container_id IS NOT NULL").select("container_id", "artifact_id", F.unix_timestamp("ts").alias("at"))
     return folds.top_per_key(x, ["container_id"], [F.desc_nulls_last("at"), F.desc("artifact_id")], 8).select("container_id", "artifact_id", "place")
 
 
@@ -307,12 +308,12 @@ def request_rate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dangling_parents(spark: SparkSession, d: str) -> DataFrame:
-    return checks.dangling_parents(artifacts(spark, d))
+    return checks.dangling_parents(artifacts(spark, d, texts=False))
 
 
 def unknown_senders(spark: SparkSession, d: str) -> DataFrame:
     people = table(spark, d, "employees", F.col("employee_id").alias("person_id")).unionByName(table(spark, d, "externals", F.col("entity_id").alias("person_id")))
-    return checks.unknown_senders(artifacts(spark, d), people)
+    return checks.unknown_senders(artifacts(spark, d, texts=False), people)
 
 
 def fact_partition(spark: SparkSession, d: str) -> DataFrame:
@@ -321,11 +322,11 @@ def fact_partition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def silence_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return checks.unanswered(artifacts(spark, d).where("source = 'email'"))
+    return checks.unanswered(artifacts(spark, d, texts=False).where("source = 'email'"))
 
 
 def channel_outsiders(spark: SparkSession, d: str) -> DataFrame:
-    parts = artifacts(spark, d).where("source = 'email' AND container_id IS NOT NULL")
+    parts = artifacts(spark, d, texts=False).where("source = 'email' AND container_id IS NOT NULL")
     members = parts.where("parent_id IS NULL").select("container_id", F.explode(F.array_union("recipients", F.array("sender_id"))).alias("sender_id")).where("sender_id IS NOT NULL").distinct()
     out = parts.where("parent_id IS NOT NULL AND sender_id IS NOT NULL").join(members, ["container_id", "sender_id"], "left_anti")
     return out.groupBy("container_id", "sender_id").agg(F.count("*").alias("n"))
@@ -384,13 +385,11 @@ def prompt_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 def topic_lookup(spark: SparkSession, d: str) -> DataFrame:
     state = topic_state(spark, d)
-    exact = state.where(F.lower("topic") == "user 7")
-    like = state.where(F.contains(F.lower("topic"), F.lit("user 7"))).join(exact.select(F.lit(1).alias("hit")).limit(1), F.lit(True), "left_anti")
-    return exact.unionByName(like).orderBy("topic").limit(3).select("topic", "status")
+    return store.looked_up(state, "topic", "user 7", 3).select("topic", "status")
 
 
 def container_winner(spark: SparkSession, d: str) -> DataFrame:
-    x = artifacts(spark, d).where("container_id IS NOT NULL AND ts IS NOT NULL")
+    x = artifacts(spark, d, texts=False).where("container_id IS NOT NULL AND ts IS NOT NULL")
     last = F.max_by("artifact_id", F.struct("ts", F.when(F.col("source") == "ticket", 1).otherwise(0), "artifact_id"))
     return x.groupBy("container_id").agg(last.alias("winner"), F.unix_timestamp(F.max("ts")).alias("at"))
 

@@ -144,7 +144,7 @@ ORACLE = {
         SELECT s.topic, concat_ws('. ', s.topic, s.status, s.owner, s.blocker) AS text FROM state s LEFT JOIN earlier e ON e.topic = s.topic
         WHERE concat_ws('. ', s.topic, s.status, s.owner, s.blocker) IS DISTINCT FROM CASE WHEN e.topic IS NOT NULL THEN concat_ws('. ', e.topic, e.status, e.owner, e.blocker) END
     """,
-    "alias_keys": f"SELECT alias, count(*) AS n FROM (SELECT unnest({_aliases('text')}) AS alias FROM email) GROUP BY 1",
+    "alias_keys": f"SELECT alias, count(*) AS n FROM (SELECT unnest({_aliases('text')}) AS alias FROM (SELECT text FROM email UNION ALL SELECT text FROM ticket)) GROUP BY 1",
     "alias_matches": f"""
         WITH {_ARTIFACTS}, terms AS (
             SELECT upper({_key('employee_id')}) AS entity, unnest(list_concat(list_concat(coalesce(aliases, []), [name]), [email, slack_handle])) AS term FROM employees WHERE employee_id IS NOT NULL
@@ -188,7 +188,7 @@ ORACLE = {
     """,
     "artifact_validation": """
         SELECT CASE WHEN trim(coalesce(artifact_id, '')) = '' THEN 'artifact_id' WHEN trim(coalesce(source, '')) = '' THEN 'source' WHEN trim(coalesce(container_id, '')) = '' THEN 'container_id' WHEN trim(coalesce(sender_id, '')) = '' THEN 'sender_id'
-                    WHEN ts IS NULL THEN 'ts' WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'text' ELSE 'ok' END AS reason, count(*) AS n FROM email GROUP BY 1
+                    WHEN ts IS NULL THEN 'ts' WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'text' ELSE 'ok' END AS reason, count(*) AS n FROM (SELECT * FROM email UNION ALL BY NAME SELECT * FROM ticket) GROUP BY 1
     """,
     "json_props": "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1",
     "chunks": f"WITH {_ARTIFACTS} SELECT artifact_id, CAST((row_number() OVER (ORDER BY artifact_id) - 1) // 40 AS BIGINT) AS chunk FROM artifacts WHERE source = 'ticket' AND container_id IS NOT NULL",
