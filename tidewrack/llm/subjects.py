@@ -27,6 +27,8 @@ from tidewrack.session import materialize
 NONE = "none"
 #: Features that a task handles at once; what bounds its memory beside the longest document.
 BLOCK = 200_000
+#: Slices of the buckets in which counts are summed.
+SLICES = 512
 #: Letters of a long word, and of its beginning.
 LONG, BEGINNING = 6, 5
 
@@ -66,45 +68,62 @@ def statements(text: str | None, settings: Settings = Settings()) -> list[list[s
 
 
 class Features:
-    """Hashed words, pairs of neighbours, and beginnings of long words without accents, which languages share and typing errors mostly spare."""
+    """Hashed words, pairs of neighbours, and beginnings of long words without accents, which languages share and typing errors mostly spare.
+
+    A word is hashed once; the features of all statements of a batch follow from its words' hashes as arrays.
+    """
 
     def __init__(self, buckets: int):
         self.buckets, self.known = buckets, {}
 
-    def __call__(self, words: list[str]) -> list[int]:
-        known, out = self.known, []
+    def of_word(self, word: str) -> tuple[int, int]:
+        """Hash of a word, and the bucket of its beginning (-1: not long)."""
+        beginning = -1
+        if len(word) >= LONG:
+            plain = "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+            beginning = zlib.crc32(b"^" + plain[:BEGINNING].encode()) % self.buckets
+        return zlib.crc32(word.encode()), beginning
+
+    def __call__(self, said: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of features of each statement, all features in their order)."""
+        known = self.known
         if len(known) > 500_000:
             known.clear()
-        for f in (*words, *map(" ".join, zip(words, words[1:], strict=False))):
-            h = known.get(f)
-            if h is None:
-                h = known[f] = zlib.crc32(f.encode()) % self.buckets
-            out.append(h)
-        for w in words:
-            if len(w) >= LONG:
-                h = known.get((w,))
-                if h is None:
-                    plain = "".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c))
-                    h = known[(w,)] = zlib.crc32(b"^" + plain[:BEGINNING].encode()) % self.buckets
-                out.append(h)
-        return out
+        found = []
+        for words in said:
+            for w in words:
+                f = known.get(w)
+                if f is None:
+                    f = known[w] = self.of_word(w)
+                found.append(f)
+        hashes, beginnings = np.array(found, "int64").reshape(-1, 2).T
+        lengths = np.array([len(words) for words in said], "int64")
+        of = np.repeat(np.arange(len(said)), lengths)
+        pairs = np.flatnonzero(of[1:] == of[:-1])
+        mixed = (hashes[pairs] * 0x9E3779B1 + hashes[pairs + 1] * 0x85EBCA77) & 0x7FFFFFFFFFFFFFFF
+        long = np.flatnonzero(beginnings >= 0)
+        owner = np.concatenate([of, of[pairs], of[long]])
+        features = np.concatenate([hashes % self.buckets, (mixed ^ mixed >> 29) % self.buckets, beginnings[long]])
+        return np.bincount(owner, minlength=len(said)), features[np.argsort(owner, kind="stable")].astype("int32")
 
 
 def featurize(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, sizes (features of each statement), features: of each document with a statement; whole texts."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = Features(settings.buckets)
         for b in batches:
-            rows = []
-            for d, t in zip(b["doc_id"], b["text"], strict=True):
-                fs = [hashed(s) for s in statements(t, settings)]
-                if fs:
-                    rows.append((d, [len(f) for f in fs], [x for f in fs for x in f]))
-            yield pd.DataFrame(rows, columns=["doc_id", "sizes", "features"])
+            said = [statements(t, settings) for t in b.column("text").to_pylist()]
+            per_doc = np.array([len(s) for s in said], "int64")
+            sizes, features = hashed([s for ss in said for s in ss])
+            kept = np.flatnonzero(per_doc)
+            ends = np.cumsum(per_doc)[kept]
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            lists = lambda values, ends: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values, pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(kept)), lists(sizes, ends), lists(features, at[ends])], names=["doc_id", "sizes", "features"])
 
     x = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    return x.mapInPandas(run, "doc_id bigint, sizes array<int>, features array<int>")
+    return x.mapInArrow(run, "doc_id bigint, sizes array<int>, features array<int>")
 
 
 def label_weights(labels: DataFrame, subjects: list[str]) -> DataFrame:
@@ -120,10 +139,31 @@ def complement_weights(counts: np.ndarray, alpha: float) -> np.ndarray:
     return -(np.log(rest) - np.log(rest.sum(0, keepdims=True))).astype("float32")
 
 
+def without_own(counts: np.ndarray, alpha: float, b: Block, p: np.ndarray) -> np.ndarray:
+    """Log weights (features, subjects) of each feature of a block from the expected counts without those of its own document.
+
+    ``p`` are the posteriors of the block's statements that are part of the counts.
+    """
+    doc = np.repeat(b.doc_of, b.sizes)
+    each, at = np.unique(doc * np.int64(len(counts)) + b.features, return_inverse=True)
+    mass = np.repeat(p, b.sizes, axis=0)
+    own = np.stack([np.bincount(at, weights=mass[:, c], minlength=len(each)) for c in range(p.shape[1])], 1)
+    per_doc = np.stack([np.bincount(doc, weights=mass[:, c], minlength=len(b)) for c in range(p.shape[1])], 1)
+    other = lambda x: np.maximum(x.sum(-1, keepdims=True) - x, 0.0)
+    total = other(counts.sum(0)) + alpha * len(counts)
+    rest = np.maximum(other(counts[b.features]) - other(own)[at], 0.0) + alpha
+    return -(np.log(rest) - np.log(np.maximum(total - other(per_doc), alpha))[doc])
+
+
 def _posteriors(model: np.ndarray, sizes: np.ndarray, features: np.ndarray, doc_of: np.ndarray, prior: np.ndarray, n_docs: int, s: Settings) -> np.ndarray:
     """Posterior of each subject (the last is none) of each statement; ``prior`` is that of each document."""
+    return _statement_posteriors(model[features], sizes, doc_of, prior, n_docs, s)
+
+
+def _statement_posteriors(weights: np.ndarray, sizes: np.ndarray, doc_of: np.ndarray, prior: np.ndarray, n_docs: int, s: Settings) -> np.ndarray:
+    """As ``_posteriors``, from the weights of each feature."""
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    scores = np.add.reduceat(model[features], starts, axis=0).astype("float64")
+    scores = np.add.reduceat(weights, starts, axis=0).astype("float64")
     scores[:, -1] += s.none_bias
     scores -= scores.max(1, keepdims=True)
     like = np.exp(scores)
@@ -180,23 +220,33 @@ def _priors(b: Block, k: int, s: Settings) -> np.ndarray:
 
 
 def _sum_counts(rows: DataFrame, buckets: int, k: int, expect: Callable[[Block], np.ndarray]) -> np.ndarray:
-    """Expected counts (buckets, k) from the posteriors that ``expect`` gives of a block's statements: each task's own are summed first, then Spark's."""
-    names = [f"c{i}" for i in range(k)]
+    """Expected counts (buckets, k) from the posteriors that ``expect`` gives of a block's statements.
+
+    There are no more tasks than cores, so what is shuffled doesn't grow with the documents: each sends its own sums in
+    slices of the buckets, and a slice is summed in one task. The driver gets one row a slice.
+    """
+    width = -(-buckets // SLICES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((k, buckets))
+        total = np.zeros((k, width * SLICES))
         for b in _blocks(batches):
             p = np.repeat(expect(b).T, b.sizes, axis=1)
             for c in range(k):
-                total[c] += np.bincount(b.features, weights=p[c], minlength=buckets)
-        at = np.flatnonzero(total.sum(0) > 1e-9)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype("int32")), *(pa.array(total[i, at]) for i in range(k))], names=["bucket", *names])
-
-    summed = rows.mapInArrow(run, "bucket int, " + ", ".join(f"{c} double" for c in names)).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names])
-    found = summed.toPandas()  # at most ``buckets`` rows
-    out = np.zeros((buckets, k))
-    out[found["bucket"].to_numpy()] = found[names].to_numpy()
-    return out
+                total[c] += np.bincount(b.features, weights=p[c], minlength=total.shape[1])
+        parts = total.astype("float32").reshape(k, SLICES, width).transpose(1, 0, 2)
+        at = np.flatnonzero(parts.any((1, 2)))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype("int32")), pa.array([parts[i].tobytes() for i in at], pa.binary())], names=["slice", "part"])
+
+    def add(parts: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(p, "float32").astype("float64") for p in parts["part"]], axis=0)
+        return pd.DataFrame({"slice": parts["slice"].iloc[:1], "part": [total.tobytes()]})
+
+    few = rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism)
+    found = few.mapInArrow(run, "slice int, part binary").groupBy("slice").applyInPandas(add, "slice int, part binary").toPandas()  # at most ``SLICES`` rows
+    out = np.zeros((SLICES, k, width))
+    for i, part in zip(found["slice"], found["part"], strict=True):
+        out[i] = np.frombuffer(part, "float64").reshape(k, width)
+    return out.transpose(1, 0, 2).reshape(k, -1)[:, :buckets].T
 
 
 @dataclass
@@ -209,8 +259,12 @@ class SubjectModel:
 
     def shares(self, b: Block) -> np.ndarray:
         """The part of each document's statements that is about each subject; labels of the document are not used."""
+        return self.shares_of(self.weights[b.features], b)
+
+    def shares_of(self, weights: np.ndarray, b: Block) -> np.ndarray:
+        """The same from the weights of each feature."""
         k = len(self.subjects)
-        p = _posteriors(self.weights, b.sizes, b.features, b.doc_of, np.full((len(b), k), 1.0 / k), len(b), self.settings)
+        p = _statement_posteriors(weights, b.sizes, b.doc_of, np.full((len(b), k), 1.0 / k), len(b), self.settings)
         sure = np.where(p >= 0.5, p, 0)
         n = np.maximum(np.bincount(b.doc_of, minlength=len(b)), 1)
         return np.stack([np.bincount(b.doc_of, weights=sure[:, c], minlength=len(b)) / n for c in range(k)], 1)
@@ -240,6 +294,8 @@ def calibrate(shares: np.ndarray, given: np.ndarray, ridge: float = 4.0) -> tupl
 def train(documents: DataFrame, areas: DataFrame, labels: DataFrame, settings: Settings = Settings(), features: DataFrame | None = None) -> SubjectModel:
     """The model of the areas (a fixed list) from the labels and the statements of all documents.
 
+    Each labelled document is weighed for the calibration by the counts without its own, as an unlabelled one is.
+
     Without labels, or with labels only of unknown documents, the model knows nothing and no document gets an area.
     """
     s = settings
@@ -254,26 +310,34 @@ def train(documents: DataFrame, areas: DataFrame, labels: DataFrame, settings: S
         w = np.array(b.weights)
         return (w / np.maximum(w.sum(1, keepdims=True), 1e-9))[b.doc_of]
 
-    model = complement_weights(_sum_counts(known, buckets, k, from_labels), s.alpha)
+    counts = _sum_counts(known, buckets, k, from_labels)
+    model = complement_weights(counts, s.alpha)
     every = rows.join(given, "doc_id", "left")
+    context, before = rows.sparkSession.sparkContext, model
     for _ in range(s.rounds):
-        shared = rows.sparkSession.sparkContext.broadcast(model)
+        shared, before = context.broadcast(model), model
 
         def refined(b: Block, shared=shared) -> np.ndarray:
             return _posteriors(shared.value, b.sizes, b.features, b.doc_of, _priors(b, k, s), len(b), s)
 
-        model = complement_weights(_sum_counts(every, buckets, k, refined), s.alpha)
+        counts = _sum_counts(every, buckets, k, refined)
+        model = complement_weights(counts, s.alpha)
+        shared.destroy()
     out = SubjectModel(subjects, model, 2.0, np.full(k - 1, 2.0), s)
-    shared = rows.sparkSession.sparkContext.broadcast(out)
+    shared = context.broadcast((out, before, counts))
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, before, counts = shared.value
         for b in _blocks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(list(shared.value.shares(b)), pa.list_(pa.float64())), pa.array(b.weights, pa.list_(pa.float64()))], names=["s", "w"])
+            p = _posteriors(before, b.sizes, b.features, b.doc_of, _priors(b, k, s), len(b), s) if s.rounds else from_labels(b)
+            found = m.shares_of(without_own(counts, s.alpha, b, p), b)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.list_(pa.float64())), pa.array(b.weights, pa.list_(pa.float64()))], names=["s", "w"])
 
     seen = known.mapInArrow(shares, "s array<double>, w array<double>").toPandas()  # at most ``labelled`` rows
     if len(seen):
         sh, w = np.stack(seen["s"].to_numpy()), np.stack(seen["w"].to_numpy())
         out.slope, out.offsets = calibrate(sh[:, :-1], w[:, :-1])
+    shared.destroy()
     return out
 
 
