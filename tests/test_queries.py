@@ -4,11 +4,11 @@ import oracle
 import pytest
 
 from tidewrack.operators import provider
-from tidewrack.plans import problems, reference, reference_sql
+from tidewrack.plans import knowledge, knowledge_sql, problems, reference, reference_sql
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(oracle.DATA), reason="no test tables")
-QUERIES = {**problems.QUERIES, **reference.QUERIES}
-SQL = {**problems.ORACLE, **reference_sql.ORACLE}
+QUERIES = {**problems.QUERIES, **reference.QUERIES, **knowledge.QUERIES}
+SQL = {**problems.ORACLE, **reference_sql.ORACLE, **knowledge_sql.ORACLE}
 
 
 @pytest.fixture(scope="module")

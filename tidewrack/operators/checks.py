@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.functions.keys import blank, norm_key
+from tidewrack.functions.text import aliases, tokens
 from tidewrack.operators.folds import top_per_key
 
 # What statuses, confidences and sources there are.
@@ -90,3 +91,56 @@ def unanswered(artifacts: DataFrame, hours: int = 48) -> DataFrame:
     next_span = F.exists("first", lambda o: (o["s"] != F.col("sender_id")) & (o["t"] <= F.col("at") + span))
     answered = F.coalesce(in_span, F.lit(False)) | F.coalesce(next_span, F.lit(False))
     return both.where(~answered).select("artifact_id", "container_id")
+
+
+def field_prefixes(rows: DataFrame, of: str, columns: list[str], prefix: str = "_") -> DataFrame:
+    """(of, rows, hidden): rows of each table, and those with a field in a JSON column whose name begins with ``prefix``, as provenance that leaked would."""
+    names = lambda c: F.coalesce(F.map_keys(F.try_variant_get(F.try_parse_json(c), "$", "map<string,variant>")), F.array().cast("array<string>"))
+    hidden = F.exists(F.concat(*[names(c) for c in columns]), lambda k: k.startswith(prefix))
+    return rows.groupBy(of).agg(F.count("*").alias("rows"), F.count_if(hidden).alias("hidden"))
+
+
+def content_words(text: Column) -> Column:
+    """Distinct tokens of more than two characters that are no aliases."""
+    return F.array_except(F.filter(tokens(text), lambda t: F.length(t) > 2), aliases(text))
+
+
+def disjoint_steps(artifacts: DataFrame) -> DataFrame:
+    """(container_id, steps, disjoint): replies of each container to a known parent, and those that share no content word with it."""
+    child = artifacts.where("parent_id IS NOT NULL").select("container_id", "parent_id", content_words(F.col("text")).alias("w"))
+    parent = artifacts.select(F.col("artifact_id").alias("parent_id"), content_words(F.col("text")).alias("pw"))
+    return child.join(parent, "parent_id").groupBy("container_id").agg(F.count("*").alias("steps"), F.count_if(~F.arrays_overlap("w", "pw")).alias("disjoint"))
+
+
+def phrase_counts(texts: DataFrame, phrases: tuple[str, ...]) -> DataFrame:
+    """(phrase, n): in how many texts each phrase stands, in any case; phrases in none too."""
+    hits = texts.agg(*[F.count_if(F.contains(F.lower("text"), F.lit(p.lower()))).alias(f"n{i}") for i, p in enumerate(phrases)])
+    return hits.select(F.explode(F.array(*[F.struct(F.lit(p).alias("phrase"), F.col(f"n{i}").alias("n")) for i, p in enumerate(phrases)])).alias("x")).select("x.*")
+
+
+def digests(rows: DataFrame, of: str, columns: list[str]) -> DataFrame:
+    """(of, n, digest): rows of each group and a digest of their values in any order; the same for two runs that gave the same rows."""
+    joined = F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("~")) for c in columns])
+    return rows.groupBy(of).agg(F.count("*").alias("n"), F.sum(F.conv(F.substring(F.md5(joined), 1, 8), 16, 10).cast("bigint")).alias("digest"))
+
+
+def fact_caps(facts: DataFrame) -> DataFrame:
+    """(total, cap, worst, over): distinct facts (artifact_id, fact), a third of them rounded up, the most that one artifact holds, and how many hold more than that third."""
+    total = facts.agg(F.count_distinct("fact")).head()[0]
+    cap = -(-total // 3)
+    each = facts.groupBy("artifact_id").agg(F.count_distinct("fact").alias("n"))
+    return each.agg(F.lit(total).cast("bigint").alias("total"), F.lit(cap).cast("bigint").alias("cap"), F.max("n").alias("worst"), F.count_if(F.col("n") > cap).alias("over"))
+
+
+def silent(artifacts: DataFrame, hours: int) -> DataFrame:
+    """(artifact_id, person): people that a first artifact of a container went to and who sent nothing in it until ``hours`` later."""
+    first = artifacts.where("parent_id IS NULL AND container_id IS NOT NULL AND ts IS NOT NULL").select("artifact_id", "container_id", F.unix_timestamp("ts").alias("at"), F.explode(F.array_distinct("recipients")).alias("person")).where("person IS NOT NULL")
+    span = hours * 3600
+    # an answer counts for the roots of its span and of the one before it, so roots and answers meet by span only
+    said = artifacts.where("sender_id IS NOT NULL AND ts IS NOT NULL").select("container_id", F.col("sender_id").alias("person"), F.unix_timestamp("ts").alias("t"))
+    said = said.withColumn("span", F.floor(F.col("t") / span)).groupBy("container_id", "person", "span").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+    x = first.withColumn("span", F.floor(F.col("at") / span))
+    same = x.join(said.select("container_id", "person", "span", "last_t"), ["container_id", "person", "span"], "left")
+    both = same.join(said.select("container_id", "person", (F.col("span") - 1).alias("span"), "first_t"), ["container_id", "person", "span"], "left")
+    answered = F.coalesce(F.col("last_t") >= F.col("at"), F.lit(False)) | F.coalesce(F.col("first_t") <= F.col("at") + span, F.lit(False))
+    return both.where(~answered).select("artifact_id", "person")

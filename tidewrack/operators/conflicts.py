@@ -33,3 +33,25 @@ def conflicts(items: DataFrame) -> DataFrame:
     sure = (F.col("b.confidence") == "high") & (F.col("a.confidence") != "high")
     turned = (F.col("a.source") == F.col("b.source")) & (F.col("a.status") == "blocked") & (F.col("b.status") != "blocked")
     return x.select("subject", F.col("a.seq").alias("seq_a"), F.col("b.seq").alias("seq_b"), "claim_a", "claim_b", F.when(sure | turned, F.col("b.seq")).otherwise(F.col("a.seq")).alias("winner"), F.lit("newer_wins").alias("resolution"))
+
+
+def conflict_positions(items: DataFrame) -> DataFrame:
+    """subject, claim, seq, opposing: each distinct claim of a subject with the number of claims that oppose it; claims without any have no row.
+
+    Claims oppose each other unless they are alike, so those alike are counted and taken from all. Claims alike share more
+    than ``LIKE`` of the longer one's words, hence at least one of the rarest words of each: only claims that meet in
+    such a word are compared, never all of a subject.
+    """
+    c = distinct_claims(items).select("subject", "claim", F.col("first.seq").alias("seq"), F.array_distinct(F.split("claim", " ")).alias("words"))
+    said = c.select("subject", "claim", "words", F.explode("words").alias("word"))
+    rare = said.groupBy("subject", "word").agg(F.count("*").alias("n"))
+    # n words, of which more than LIKE n are shared: one of any n - floor(LIKE n) of them is
+    kept = F.size("words") - F.floor(F.size("words") * LIKE)
+    by_rarity = said.join(rare, ["subject", "word"]).groupBy("subject", "claim", "words").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("r"))
+    keys = by_rarity.select("subject", "claim", "words", F.explode(F.slice("r", F.lit(1), kept.cast("int"))).alias("k")).select("subject", "claim", "words", F.col("k.word").alias("word"))
+    a, b = keys, keys.select("subject", "word", F.col("claim").alias("other"), F.col("words").alias("other_words"))
+    meet = a.join(b, ["subject", "word"]).where(F.col("claim") != F.col("other")).select("subject", "claim", "words", "other", "other_words").distinct()
+    alike = meet.where(F.size(F.array_intersect("words", "other_words")) / F.greatest(F.size("words"), F.size("other_words")) > LIKE).groupBy("subject", "claim").agg(F.count("*").alias("alike"))
+    total = c.groupBy("subject").agg(F.count("*").alias("total"))
+    x = c.join(total, "subject").join(alike, ["subject", "claim"], "left").withColumn("opposing", F.col("total") - 1 - F.coalesce("alike", F.lit(0)))
+    return x.where("opposing > 0").select("subject", "claim", "seq", "opposing")

@@ -32,3 +32,11 @@ def dropped_topics(checked: DataFrame) -> DataFrame:
 def fabricated(answers: DataFrame, cited: str, available: str) -> DataFrame:
     """``answers`` with ``fabricated``: cited ids that the context never offered, in order."""
     return answers.withColumn("fabricated", F.array_except(F.col(cited), F.coalesce(F.col(available), F.array().cast("array<string>"))))
+
+
+def assert_verified(checked: DataFrame) -> DataFrame:
+    """``checked`` itself if all of it is verified; raises ValueError with the first piece that isn't."""
+    bad = checked.where("verdict <> 'verified'").orderBy("artifact_id", "span").limit(1).collect()
+    if bad:
+        raise ValueError(f"{bad[0]['artifact_id']}: {bad[0]['verdict']}: {bad[0]['span']!r}")
+    return checked

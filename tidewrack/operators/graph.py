@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -25,6 +25,26 @@ def alias_table(entities: DataFrame) -> DataFrame:
     return terms.select("token", "entity").unionByName(entities.select(F.lower("entity").alias("token"), "entity")).where(F.col("token").isNotNull()).distinct()
 
 
+def phrase_matches(artifacts: DataFrame, entities: DataFrame) -> DataFrame:
+    """(artifact_id, entity): entities one of whose terms (entity, terms array) stands in the text word for word, terms of several words too.
+
+    Words are runs of letters, digits and underscores in lower case. A text gives all runs of as many words as the longest
+    term has, which meet the terms in an equi-join.
+    """
+    words = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    terms = entities.select("entity", F.explode(F.transform("terms", lambda t: words(t))).alias("w")).where(F.size("w") > 0).select("entity", F.array_join("w", " ").alias("phrase"), F.size("w").alias("n")).distinct()
+    lengths = sorted(r["n"] for r in terms.select("n").distinct().collect())
+    x = artifacts.select("artifact_id", words(F.col("text")).alias("w"))
+
+    def runs(n: int) -> Column:
+        of_n = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
+        return F.when(F.size("w") >= n, of_n).otherwise(F.array().cast("array<string>"))
+
+    each = [runs(n) for n in lengths]
+    found = F.array_distinct(F.concat(*each)) if each else F.array().cast("array<string>")
+    return x.select("artifact_id", F.explode(found).alias("phrase")).join(terms.select("phrase", "entity"), "phrase").select("artifact_id", "entity").distinct()
+
+
 def artifact_entities(artifacts: DataFrame, table: DataFrame) -> DataFrame:
     """(artifact_id, entity): entities whose alias token stands in text or container, senders, recipients, and unknown aliases themselves.
 

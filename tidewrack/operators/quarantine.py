@@ -161,3 +161,8 @@ def recovered_records(lines: DataFrame) -> DataFrame:
     alone = x.where("role = 'whole'").select("file_name", "first", F.array(F.struct("line_no", "line")).alias("lines"))
     runs = x.where("role <> 'whole'").groupBy("file_name", "first", at).agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("lines")).drop("run")
     return alone.unionByName(runs).select("file_name", F.explode(_recover("lines", "first")).alias("r")).select("file_name", "r.*")
+
+
+def shortened(line: Column, most: int = 200) -> Column:
+    """The beginning of a line for a report, with its line breaks written as ``\\n``."""
+    return F.replace(F.left(line, F.lit(most)), F.lit("\n"), F.lit("\\n"))

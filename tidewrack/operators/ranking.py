@@ -30,9 +30,9 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str
     x = by_ranges(df, keys, order)
     earlier = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     sums = x.groupBy(*keys, "_range").agg(how(value).alias("_t")).withColumn("_before", how("_t").over(earlier))
-    sums = sums.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_range").alias("_at"), "_before")
+    sums = sums.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_range").alias("_range_of"), "_before")
     here = W.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    same = reduce(Column.__and__, [F.col("_range") == F.col("_at"), *[F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]])
+    same = reduce(Column.__and__, [F.col("_range") == F.col("_range_of"), *[F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]])
     joined = x.withColumn("_here", how(value).over(here)).join(sums, same)
     return joined.withColumn(out, both(F.col("_before"), F.col("_here"))).select(*df.columns, out)
 

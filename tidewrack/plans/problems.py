@@ -139,7 +139,7 @@ def _instants(rows: str) -> str:
     """
 
 
-_LINES = rf"""
+LINES_SQL = rf"""
     l AS (
             SELECT file_name, line_no, ends_with(lower(file_name), '.csv') AS is_csv, CASE WHEN line_no = 1 THEN ltrim(line, chr(65279)) ELSE line END AS line FROM slack_02_broken WHERE line IS NOT NULL AND file_name IS NOT NULL),
         c AS (SELECT *, rtrim(line, chr(13) || chr(10)) AS r, len(regexp_replace(rtrim(line, chr(13) || chr(10)), '"(?:[^"]|"")*"|[^,]', '', 'g')) AS commas FROM l),
@@ -183,9 +183,9 @@ ORACLE = {
         UNION ALL SELECT file_name, field, 'added', '' FROM pair b WHERE old IS NULL AND NOT EXISTS (SELECT 1 FROM renamed r WHERE r.file_name = b.file_name AND r.new = b.field)
         UNION ALL SELECT file_name, field, 'retyped', '' FROM pair WHERE old <> new
     """,
-    "p4_found": f"WITH {_LINES} SELECT DISTINCT file_name, line_no, coalesce(reason, 'duplicate_id') AS reason FROM nth WHERE reason IS NOT NULL OR place > 1",
+    "p4_found": f"WITH {LINES_SQL} SELECT DISTINCT file_name, line_no, coalesce(reason, 'duplicate_id') AS reason FROM nth WHERE reason IS NOT NULL OR place > 1",
     "p4_fields": f"""
-        WITH {_LINES}, names AS (SELECT file_name, string_split(rtrim(r, chr(13) || chr(10)), ',') AS names FROM c WHERE is_csv AND line_no = 1), loaded AS (SELECT * FROM nth WHERE reason IS NULL AND place = 1)
+        WITH {LINES_SQL}, names AS (SELECT file_name, string_split(rtrim(r, chr(13) || chr(10)), ',') AS names FROM c WHERE is_csv AND line_no = 1), loaded AS (SELECT * FROM nth WHERE reason IS NULL AND place = 1)
         SELECT file_name, field, type, count(*) AS n FROM (
             SELECT l.file_name, e.key AS field, CASE e.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN 'null' ELSE 'number' END AS type FROM (SELECT * FROM loaded WHERE NOT is_csv) l, json_each(l.v) e
             UNION ALL SELECT file_name, unnest(names), 'string' FROM loaded JOIN names USING (file_name) WHERE is_csv) GROUP BY 1, 2, 3

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -64,6 +64,12 @@ def deliver(text: str, post: Callable[[str], None] | None = None, dry_run: bool
     return "posted"
 
 
+def json_line(columns: list[str]) -> Column:
+    """The columns as one line of JSON, by name; null ones are left out."""
+    return F.to_json(F.struct(*sorted(columns)))
+
+
 def write_jsonl(artifacts: DataFrame, path: str) -> None:
-    """JSON lines, one folder a source."""
-    artifacts.write.mode("overwrite").partitionBy("source").json(path)
+    """JSON lines with sorted keys, one folder a source."""
+    line = json_line([c for c in artifacts.columns])
+    artifacts.select(line.alias("value"), F.col("source").alias("of_source")).write.mode("overwrite").partitionBy("of_source").text(path)

@@ -20,16 +20,16 @@ SOURCES = ("slack", "email", "ticket", "export", "doc")
 
 
 def read_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
-    """file_name, line_no, line of the files of a folder; files of any size are read in splits.
+    """file_name, line_no, line of the files of a folder; files of any size are read in splits. Files of one name in several folders stay apart by ``path``.
 
     A line's number is its place in its split plus the lines of the file's earlier splits. A byte-order mark is dropped.
     """
-    x = spark.read.option("pathGlobFilter", pattern).text(path).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file_name"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("m"), F.col("value").alias("line"))
-    before = W.partitionBy("file_name").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
-    splits = x.groupBy("file_name", "at").agg(F.count("*").alias("n")).select("file_name", "at", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    x = x.withColumn("i", F.row_number().over(W.partitionBy("file_name", "at").orderBy("m"))).join(splits, ["file_name", "at"])
+    x = spark.read.option("pathGlobFilter", pattern).text(path).select(F.col("_metadata.file_path").alias("path"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file_name"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("m"), F.col("value").alias("line"))
+    before = W.partitionBy("path").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    splits = x.groupBy("path", "at").agg(F.count("*").alias("n")).select("path", "at", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    x = x.withColumn("i", F.row_number().over(W.partitionBy("path", "at").orderBy("m"))).join(splits, ["path", "at"])
     line_no = (F.col("before") + F.col("i")).cast("int")
-    return x.select("file_name", line_no.alias("line_no"), F.when(line_no == 1, F.regexp_replace("line", "^\ufeff", "")).otherwise(F.col("line")).alias("line"))
+    return x.select("path", "file_name", line_no.alias("line_no"), F.when(line_no == 1, F.regexp_replace("line", "^\ufeff", "")).otherwise(F.col("line")).alias("line"))
 
 
 def _field(name: str) -> Column:
@@ -71,9 +71,9 @@ def artifacts_of(lines: DataFrame) -> DataFrame:
     )
 
 
-def load_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(artifacts, failures) of a folder of .jsonl files; of an id the first line (file, line) counts, later ones are failures."""
-    x = artifacts_of(read_lines(spark, path))
+def load_corpus(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> tuple[DataFrame, DataFrame]:
+    """(artifacts, failures) of a folder of .jsonl files, or others of a ``pattern``; of an id the first line (file, line) counts, later ones are failures."""
+    x = artifacts_of(read_lines(spark, path, pattern))
     good = x.where("reason IS NULL")
     first = good.groupBy("artifact_id").agg(F.min(F.struct("file_name", "line_no")).alias("f"))
     marked = good.join(first, "artifact_id").withColumn("again", F.struct("file_name", "line_no") != F.col("f"))

@@ -39,24 +39,30 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def fold_batches(stream: DataFrame, key: str, rank: str, seq: str, columns: list[str]) -> DataFrame:
+def fold_batches(stream: DataFrame, key: str, rank: str, seq: str, columns: list[str], base: str | None = None) -> DataFrame:
     """The row of the greatest rank (ties: least seq) of each key, kept as a table that each batch replaces by a new version.
 
-    A late row of lower rank changes nothing but ``mentions``. The last version is the result.
+    A late row of lower rank changes nothing but ``mentions``. The last version is the result. Under one ``base`` (a folder
+    of the shared file system; a new one if none is given) a later run goes on where the last one ended: the stream's
+    checkpoint and the versions lie there, and a batch that is run again replaces its own version.
     """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark).rstrip('/')}/tidewrack-fold-{uuid.uuid4().hex}"
-    state: list[str] = []
+    base = (base or f"{shared_dir(spark).rstrip('/')}/tidewrack-fold-{uuid.uuid4().hex}").rstrip("/")
     value = F.struct(F.col(rank).alias("rank"), (-F.col(seq)).alias("order"), *columns)
 
+    def versions(before: int | None = None) -> list[int]:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/v=*/_SUCCESS")
+        found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+        return [v for v in sorted(int(f.getPath().getParent().getName()[2:]) for f in found or ()) if before is None or v < before]
+
     def merge(batch: DataFrame, number: int) -> None:
         new = batch.groupBy(key).agg(F.max(value).alias("best"), F.count("*").alias("mentions"))
-        if state:
-            new = new.unionByName(spark.read.parquet(state[-1])).groupBy(key).agg(F.max("best").alias("best"), F.sum("mentions").alias("mentions"))
-        new.write.mode("overwrite").parquet(f"{base}/v{number}")
-        state.append(f"{base}/v{number}")
+        if known := versions(number):
+            new = new.unionByName(spark.read.parquet(f"{base}/v={known[-1]}")).groupBy(key).agg(F.max("best").alias("best"), F.sum("mentions").alias("mentions"))
+        new.write.mode("overwrite").parquet(f"{base}/v={number}")
 
     q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    last = spark.read.parquet(state[-1]) if state else stream.sparkSession.createDataFrame([], stream.schema).groupBy(key).agg(F.max(value).alias("best"), F.count("*").alias("mentions"))
+    known = versions()
+    last = spark.read.parquet(f"{base}/v={known[-1]}") if known else spark.createDataFrame([], stream.schema).groupBy(key).agg(F.max(value).alias("best"), F.count("*").alias("mentions"))
     return last.select(key, *[F.col(f"best.{c}").alias(c) for c in columns], "mentions")
