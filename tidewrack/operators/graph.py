@@ -15,8 +15,8 @@ from tidewrack.functions.keys import norm_key
 from tidewrack.functions.text import aliases, tokens, word_spans
 from tidewrack.session import materialize
 
-#: Scores of neighbours that share an entity, a container, and an entity within a time.
-BY_ENTITY, BY_CONTAINER, BY_TIME = 3.0, 2.0, 1.0
+#: Scores of neighbours that share an entity, and a container. Those that share an entity within a time are among the first.
+BY_ENTITY, BY_CONTAINER = 3.0, 2.0
 
 
 def alias_table(entities: DataFrame) -> DataFrame:
@@ -93,18 +93,20 @@ def seeds(question: str, ranked: DataFrame, artifacts: DataFrame, entities: Data
     return x.select("artifact_id", F.row_number().over(W.orderBy("at", "artifact_id")).alias("place"))
 
 
-def neighbours(frontier: DataFrame, artifacts: DataFrame, entities: DataFrame, hours: int = 6) -> DataFrame:
-    """(artifact_id, path, score) of the neighbours of the frontier (artifact_id, path): for each the best score, then least path.
+def neighbours(frontier: DataFrame, artifacts: DataFrame, entities: DataFrame) -> DataFrame:
+    """(artifact_id, path, score) of the neighbours of the frontier (artifact_id, path): for each the best score, then the greatest artifact that leads to it.
 
-    The frontier is small (seeds or a capped hop); its entities' artifacts are reduced to one row each before the shuffle.
+    The frontier is reduced to one row an entity and one a container before it meets the artifacts, so a common entity reads
+    its artifacts once, whatever number of the frontier shares it. Members of the frontier may come out too.
     """
-    of = frontier.join(entities, "artifact_id").select("path", F.col("artifact_id").alias("from_id"), "entity")
-    shared = of.join(entities, "entity").select("artifact_id", "from_id", "path", F.lit(BY_ENTITY).alias("score"))
-    near = frontier.join(artifacts.select("artifact_id", "container_id"), "artifact_id").select("path", F.col("artifact_id").alias("from_id"), "container_id")
-    near = near.join(artifacts.select("artifact_id", "container_id"), "container_id").select("artifact_id", "from_id", "path", F.lit(BY_CONTAINER).alias("score"))
-    x = shared.unionByName(near).where(F.col("artifact_id") != F.col("from_id"))
-    best = x.groupBy("artifact_id").agg(F.max(F.col("score")).alias("score"), F.max_by(F.struct("from_id", "path"), F.struct(F.col("score"), F.col("from_id"))).alias("p"))
-    return best.select("artifact_id", F.concat(F.col("p.path"), F.array("artifact_id")).alias("path"), "score")
+    by = F.max(F.struct(F.col("artifact_id").alias("from_id"), "path")).alias("by")
+    of = frontier.join(entities, "artifact_id").groupBy("entity").agg(by)
+    shared = entities.join(of, "entity").select("artifact_id", F.struct(F.lit(BY_ENTITY).alias("score"), "by.from_id", "by.path").alias("p"))
+    places = artifacts.select("artifact_id", "container_id").where("container_id IS NOT NULL")
+    near = frontier.join(places, "artifact_id").groupBy("container_id").agg(by)
+    near = places.join(near, "container_id").select("artifact_id", F.struct(F.lit(BY_CONTAINER).alias("score"), "by.from_id", "by.path").alias("p"))
+    best = shared.unionByName(near).groupBy("artifact_id").agg(F.max("p").alias("p"))
+    return best.select("artifact_id", F.concat(F.col("p.path"), F.array("artifact_id")).alias("path"), F.col("p.score").alias("score"))
 
 
 def time_neighbours(frontier: DataFrame, artifacts: DataFrame, entities: DataFrame, hours: int = 6) -> DataFrame:
@@ -117,12 +119,13 @@ def time_neighbours(frontier: DataFrame, artifacts: DataFrame, entities: DataFra
     return x.select("from_id", "artifact_id").distinct()
 
 
-def retrieve(seeds: DataFrame, artifacts: DataFrame, entities: DataFrame, hops: int = 3, cap: int = 600, top_k: int = 50, question: str = "") -> DataFrame:
+def retrieve(seeds: DataFrame, artifacts: DataFrame, entities: DataFrame, hops: int = 3, cap: int = 600, top_k: int = 50, question: str = "", keys: DataFrame | None = None) -> DataFrame:
     """(artifact_id, hop, path): seeds (hop 0), what they reach, each hop's best ``cap``, until ``top_k`` are seen, and the alias closure; a report of ``top_k``.
 
     The closure adds the artifacts under an alias of the question (hop 0) and those under an alias in the text of one that
     was found (one hop more). Alias hits come first, then others, both as they were found: seeds by ``place`` if they have
-    one, a hop by score, the closure by what led there, each then by id. Paths are whole, from the seed on.
+    one, a hop by score, the closure by what led there, each then by id. Paths are whole, from the seed on. ``keys`` are the
+    ``alias_keys`` of the artifacts, if they are there already.
     """
     place = F.col("place") if "place" in seeds.columns else F.lit(0)
     seen = materialize(seeds.select("artifact_id", F.lit(0).alias("hop"), F.array("artifact_id").alias("path"), F.lit(0).alias("step"), place.cast("double").alias("key")))
@@ -137,7 +140,7 @@ def retrieve(seeds: DataFrame, artifacts: DataFrame, entities: DataFrame, hops:
             break
         n += found
         seen = seen.unionByName(frontier)
-    keys = alias_keys(artifacts)
+    keys = materialize(alias_keys(artifacts)) if keys is None else keys
     named = asked_words(artifacts.sparkSession, question)[1]
     asked = keys.where(F.col("alias").isin(*named)).select("artifact_id").distinct()
     asked = materialize(asked.select("artifact_id", F.lit(0).alias("hop"), F.array("artifact_id").alias("path"), F.lit(hops + 1).alias("step"), F.lit(0.0).alias("key")))

@@ -18,7 +18,7 @@ from tidewrack.functions.keys import norm_key
 from tidewrack.operators import checks, conflicts, evidence, folds, graph, provider, retrieval, store
 from tidewrack.operators.ranking import rank_within
 from tidewrack.session import materialize
-from tidewrack.sources.mail import mail_records
+from tidewrack.sources.mail import leaf_parts, mail_records
 from tidewrack.sources.tables import table
 from tidewrack.streaming import incremental
 
@@ -191,29 +191,41 @@ def _seeds(spark: SparkSession, d: str, parts: DataFrame, source: str | None = N
     return x.select("artifact_id")
 
 
-def _found(parts: DataFrame, table: DataFrame) -> Callable[[str | None], tuple[DataFrame, DataFrame, DataFrame]]:
-    """(seeds, artifacts, links) of the question over all artifacts, or over those of one source only; ranks are always those among all."""
+def _found(parts: DataFrame, table: DataFrame) -> Callable[[str | None], tuple[DataFrame, DataFrame, DataFrame, DataFrame]]:
+    """(seeds, artifacts, links, alias keys) of the question over all artifacts, or over those of one source only; ranks are always those among all."""
     links = materialize(graph.artifact_entities(parts, table))
     ranked = retrieval.bm25(parts, "artifact_id", "text", QUESTION).withColumn("score", F.round("score", 6))
-    keys = graph.alias_keys(parts)
+    keys = materialize(graph.alias_keys(parts))
 
-    def of(source: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def of(source: str | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
         here = parts.where(F.col("source") == source) if source else parts
-        known = links.join(here.select("artifact_id"), "artifact_id", "left_semi") if source else links
-        return graph.seeds(QUESTION, ranked, here, known, table, keys), here, known
+        own = lambda x: x.join(here.select("artifact_id"), "artifact_id", "left_semi") if source else x
+        return graph.seeds(QUESTION, ranked, here, own(links), table, keys), here, own(links), own(keys)
 
     return of
 
 
 def retrieval_hops(spark: SparkSession, d: str) -> DataFrame:
-    of = _found(materialize(artifacts(spark, d)), graph.alias_table(entities(spark, d)))
-    return graph.retrieve(*of(None), question=QUESTION).select("artifact_id", "hop", F.size("path").alias("path_length"))
+    seeds, parts, links, keys = _found(materialize(artifacts(spark, d)), graph.alias_table(entities(spark, d)))(None)
+    return graph.retrieve(seeds, parts, links, question=QUESTION, keys=keys).select("artifact_id", "hop", F.size("path").alias("path_length"))
 
 
 def source_retrieval(spark: SparkSession, d: str) -> DataFrame:
     of = _found(materialize(artifacts(spark, d)), graph.alias_table(entities(spark, d)))
-    parts = [graph.retrieve(*of(s), question=QUESTION).select("artifact_id", "hop", F.size("path").alias("path_length"), F.lit(s).alias("only")) for s in ("email", "ticket")]
-    return parts[0].unionByName(parts[1])
+
+    def only(source: str) -> DataFrame:
+        seeds, parts, links, keys = of(source)
+        return graph.retrieve(seeds, parts, links, question=QUESTION, keys=keys).select("artifact_id", "hop", F.size("path").alias("path_length"), F.lit(source).alias("only"))
+
+    return only("email").unionByName(only("ticket"))
+
+
+def retrieval_seeds(spark: SparkSession, d: str) -> DataFrame:
+    return _found(materialize(artifacts(spark, d)), graph.alias_table(entities(spark, d)))(None)[0]
+
+
+def entity_links(spark: SparkSession, d: str) -> DataFrame:
+    return graph.artifact_entities(artifacts(spark, d), graph.alias_table(entities(spark, d))).groupBy("entity").agg(F.count("*").alias("n"))
 
 
 def source_ablation(spark: SparkSession, d: str) -> DataFrame:
@@ -270,6 +282,12 @@ def html_bodies(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "gmail_raw", "id", "snippet").select("id", X.html_text(sample).alias("text")).distinct()
 
 
+def html_parts(spark: SparkSession, d: str) -> DataFrame:
+    g = table(spark, d, "gmail_raw", "id", "payload")
+    parts = g.select("id", F.explode(leaf_parts(F.col("payload"), g.schema["payload"].dataType)).alias("p")).where("p.mime = 'text/html' AND p.data <> ''")
+    return parts.select("id", X.html_text(X.base64url_text(F.col("p.data"))).alias("text")).distinct()
+
+
 def artifact_validation(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "email").unionByName(table(spark, d, "ticket")).select(checks.artifact_reason().alias("reason"))
     return x.groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
@@ -402,8 +420,8 @@ def question_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_new_messages(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "messages").schema
-    stream = incremental.table_stream(spark, f"{d}/messages.parquet", schema).select("id", "source", F.col("ingested_at").cast("timestamp").alias("at"))
-    return incremental.run_once(stream.dropDuplicates(["id"]).select("id"))
+    stream = incremental.table_stream(spark, f"{d}/messages.parquet", schema).select("id", F.col("ingested_at").cast("timestamp").alias("at"))
+    return incremental.run_once(incremental.deduplicated(stream, "id", "at", "30 days").select("id"))
 
 
 def stream_topic_fold(spark: SparkSession, d: str) -> DataFrame:
@@ -418,8 +436,8 @@ QUERIES = {
     for f in (
         topic_state, ranked_blocked_topics, briefing_top12, briefing_tail, topic_status_counts, store_stats, topic_history_last6, merged_items, deduped_items,
         message_ids, new_messages, evidence_verified, topics_without_evidence, evidence_top6, evidence_union, topic_keys, doc_stats, doc_freq, bm25_topk, keyword_search,
-        cosine_topk, context_union, stale_embeddings, alias_keys, alias_matches, retrieval_hops, source_ablation, source_retrieval, thread_neighbours, time_neighbours,
-        conflicting_claims, owner_referral, recall_at_k, fabricated_citations, mail_bodies, html_bodies, artifact_validation, json_props, chunks, all_chunks, last_turns, request_rate,
+        cosine_topk, context_union, stale_embeddings, alias_keys, alias_matches, retrieval_hops, source_ablation, source_retrieval, retrieval_seeds, entity_links, thread_neighbours, time_neighbours,
+        conflicting_claims, owner_referral, recall_at_k, fabricated_citations, mail_bodies, html_bodies, html_parts, artifact_validation, json_props, chunks, all_chunks, last_turns, request_rate,
         item_sentences, conflict_sentences, prompt_blocks, topic_lookup, container_winner, question_overlap,
         dangling_parents, unknown_senders, fact_partition, silence_pairs, channel_outsiders, answer_terms, ingest_stats, working_days, provider_items, hashed_vectors,
         stream_new_messages, stream_topic_fold,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidewrack.functions.text import STOP_WORDS
-from tidewrack.plans.reference import CUT, TERMS
+from tidewrack.plans.reference import CUT, QUESTION, TERMS
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 
@@ -88,6 +88,31 @@ _SCORE = " + ".join(f"CASE WHEN contains(lower(text), '{t}') THEN 1 ELSE 0 END"
 _COSINE = "round(list_dot_product(q.v, r.v) / (greatest(sqrt(list_dot_product(q.v, q.v)), 1e-9) * greatest(sqrt(list_dot_product(r.v, r.v)), 1e-9)), 6)"
 _VECTORS = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL)"
 
+_ENTITIES = f"""
+    terms AS (
+        SELECT upper({_key('employee_id')}) AS entity, unnest(list_concat(list_concat(coalesce(aliases, []), [name]), [email, slack_handle])) AS term FROM employees WHERE employee_id IS NOT NULL
+        UNION ALL SELECT upper({_key('entity_id')}), name FROM externals WHERE entity_id IS NOT NULL),
+    known AS (SELECT entity, unnest({_tokens('term')}) AS token FROM terms UNION SELECT entity, lower(entity) FROM terms),
+    mined AS (SELECT artifact_id, unnest({_aliases('text')}) AS token FROM artifacts),
+    runs AS (SELECT artifact_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+(?:[''-]+[\\p{{L}}\\p{{N}}\\p{{M}}_]+)*'))) AS run FROM artifacts),
+    words AS (SELECT artifact_id, regexp_extract_all(run, '[''-]*[\\p{{L}}\\p{{N}}\\p{{M}}_]+') AS w FROM runs),
+    said AS (
+        SELECT artifact_id, unnest(flatten(list_transform(range(1, len(w) + 1), lambda i: list_transform(range(i, len(w) + 1), lambda j: ltrim(array_to_string(w[i:j], ''), '''-'))))) AS token FROM words
+        UNION SELECT * FROM mined UNION SELECT artifact_id, unnest({_tokens('container_id')}) FROM artifacts UNION SELECT artifact_id, coalesce(container_id, '') FROM artifacts),
+    links AS (
+        SELECT artifact_id, upper(trim(entity)) AS entity FROM said JOIN known USING (token) UNION SELECT artifact_id, upper(trim(token)) FROM mined WHERE token NOT IN (SELECT token FROM known WHERE token IS NOT NULL)
+        UNION SELECT artifact_id, sender_id FROM artifacts WHERE sender_id IS NOT NULL UNION SELECT artifact_id, r FROM (SELECT artifact_id, unnest(recipients) AS r FROM artifacts) WHERE r IS NOT NULL)
+"""
+_PARTS = """
+    one AS (SELECT id, payload.mimeType AS mime, payload.body.data AS data, 0 AS i, 0 AS j, snippet, internalDate, payload FROM gmail_raw),
+    two AS (SELECT id, unnest(payload.parts) AS p, generate_subscripts(payload.parts, 1) AS i, payload FROM gmail_raw),
+    three AS (SELECT id, unnest(p.parts) AS p, i, generate_subscripts(p.parts, 1) AS j, payload FROM two),
+    parts AS (
+        SELECT id, payload, mime, data, i, j FROM one UNION ALL SELECT id, payload, p.mimeType, p.body.data, i, 0 FROM two UNION ALL SELECT id, payload, p.mimeType, p.body.data, i, j FROM three),
+    decoded AS (SELECT *, decode(from_base64(rpad(translate(data, '-_', '+/'), CAST(ceil(len(data) / 4.0) * 4 AS INTEGER), '='))) AS text FROM parts WHERE coalesce(data, '') <> '')
+"""
+_DETAGGED = "regexp_replace(replace(replace(replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '&mdash;', '—'), '&nbsp;', ' '), '&amp;', '&'), '[ \\t]+', ' ', 'g')"
+
 ORACLE = {
     "topic_state": f"WITH {_READINGS}, {_state()} SELECT * FROM state",
     "ranked_blocked_topics": f"WITH {_READINGS}, {_state()} SELECT topic, {_URGENCY} AS urgency, last_seen, mentions FROM state WHERE status = 'blocked' ORDER BY 2 DESC, 3 DESC, 4 DESC, 1 LIMIT 12",
@@ -186,6 +211,19 @@ ORACLE = {
     "html_bodies": """
         SELECT DISTINCT id, regexp_replace(replace(replace(replace(regexp_replace('<p>' || snippet || '</p> &amp;' || chr(9) || '<b>x</b>&nbsp;&mdash;', '<[^>]+>', ' ', 'g'), '&mdash;', '—'), '&nbsp;', ' '), '&amp;', '&'), '[ \\t]+', ' ', 'g') AS text FROM gmail_raw
     """,
+    "html_parts": f"WITH {_PARTS} SELECT DISTINCT id, {_DETAGGED} AS text FROM decoded WHERE mime = 'text/html'",
+    "entity_links": f"WITH {_ARTIFACTS}, {_ENTITIES} SELECT entity, count(*) AS n FROM links GROUP BY 1",
+    "retrieval_seeds": f"""
+        WITH {_ARTIFACTS}, {_ENTITIES}, {_bm25('artifacts', 'artifact_id')}, q AS (SELECT unnest(list_concat({_tokens(f"'{QUESTION}'")}, {_aliases(f"'{QUESTION}'")})) AS token),
+        hits AS (
+            SELECT DISTINCT artifact_id FROM links WHERE entity IN (SELECT upper(trim(entity)) FROM known JOIN q USING (token))
+            UNION SELECT artifact_id FROM artifacts WHERE list_has_any(list_concat(list_concat({_aliases('text')}, list_concat({_aliases('container_id')}, {_aliases('parent_id')})), list_concat({_tokens('container_id')}, {_tokens('parent_id')})), {_aliases(f"'{QUESTION}'")})),
+        turns AS (
+            SELECT id AS artifact_id, 0 AS list, row_number() OVER (ORDER BY score DESC, id) AS turn FROM (SELECT * FROM ranked ORDER BY score DESC, id LIMIT 60)
+            UNION ALL SELECT artifact_id, 1, row_number() OVER (ORDER BY artifact_id) FROM (SELECT * FROM hits ORDER BY artifact_id LIMIT 40)),
+        firsts AS (SELECT artifact_id, min(turn * 2 + list) AS spot FROM turns GROUP BY 1)
+        SELECT artifact_id, CAST(row_number() OVER (ORDER BY spot, artifact_id) AS INTEGER) AS place FROM firsts ORDER BY spot, artifact_id LIMIT 40
+    """,
     "artifact_validation": """
         SELECT CASE WHEN trim(coalesce(artifact_id, '')) = '' THEN 'artifact_id' WHEN trim(coalesce(source, '')) = '' THEN 'source' WHEN trim(coalesce(container_id, '')) = '' THEN 'container_id' WHEN trim(coalesce(sender_id, '')) = '' THEN 'sender_id'
                     WHEN ts IS NULL THEN 'ts' WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'text' ELSE 'ok' END AS reason, count(*) AS n FROM (SELECT * FROM email UNION ALL BY NAME SELECT * FROM ticket) GROUP BY 1

@@ -30,21 +30,41 @@ def get_spark(app: str = "tidewrack", master: str | None = None, shuffle_partiti
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset, which only a local session may."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured is None and sc.getCheckpointDir() is None and not sc.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return configured or sc.getCheckpointDir()
 
 
+def _new_table(spark: SparkSession) -> str:
+    path, sc = f"{shared_dir(spark).rstrip('/')}/tidewrack-{uuid.uuid4().hex}", spark.sparkContext
+    if not hasattr(sc, "_tidewrack_tables"):
+        sc._tidewrack_tables = []
+    sc._tidewrack_tables.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that this session's queries wrote in the shared folder, when their results were read; gives their number."""
+    sc = spark.sparkContext
+    gone, sc._tidewrack_tables = getattr(sc, "_tidewrack_tables", []), []
+    for path in gone:
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    return len(gone)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives the loss of executors.
 
     Columnar and compressed, so smaller than an RDD checkpoint, and its size is known to later joins.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tidewrack-{uuid.uuid4().hex}"
+    path = _new_table(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -53,7 +73,7 @@ def materialize_all(parts: Iterable[DataFrame]) -> DataFrame:
     """Write frames of one schema (at least one) as one table, one after the other, and read it back; a later frame is made when the earlier ones are written."""
     path = ""
     for df in parts:
-        path = path or f"{shared_dir(df.sparkSession).rstrip('/')}/tidewrack-{uuid.uuid4().hex}"
+        path = path or _new_table(df.sparkSession)
         df.write.mode("append").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
