@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidewrack.plans.knowledge import FIRST_BATCH, FORBIDDEN
-from tidewrack.plans.problems import LINES_SQL
+from tidewrack.plans.problems import LINES_SQL, ORACLE as PROBLEMS, instants_sql
 from tidewrack.plans.reference import QUESTION
 from tidewrack.plans.reference_sql import _ARTIFACTS, _EVIDENCE, _READINGS, _SURE, _URGENCY, _aliases, _key, _squeezed, _state, _tokens
 
@@ -28,6 +28,9 @@ def _content(c: str) -> str:
 _LINE = "CASE WHEN blocker IS NOT NULL THEN ' — ' || blocker ELSE '' END || CASE WHEN owner IS NOT NULL THEN ' (' || owner || ')' ELSE ' (no owner named)' END || CASE WHEN confidence = 'low' THEN ' _[low confidence, needs confirmation]_' ELSE '' END"
 _HEAD = "CASE status WHEN 'blocked' THEN 'Blocked' WHEN 'at_risk' THEN 'At risk' WHEN 'unclear' THEN 'Unclear' ELSE 'On track' END"
 
+# the fields of an object come out by name
+_BY_NAME = """CASE WHEN c.type = 'OBJECT' THEN '{' || array_to_string(list_transform(list_sort(json_keys(c.value::JSON)), lambda k: to_json(k) || ':' || CAST(json_extract(c.value::JSON, '$."' || k || '"') AS VARCHAR)), ',') || '}' ELSE coalesce(c.value, 'null') END"""
+
 ORACLE = {
     "stored_topics": f"WITH {_READINGS}, {_state()} SELECT * FROM state",
     "store_batches": f"""
@@ -135,4 +138,44 @@ ORACLE = {
         WITH {_ARTIFACTS}, {_EVIDENCE}
         SELECT CASE WHEN {_key('e.artifact_id')} IS NULL THEN 'names nobody' WHEN a.artifact_id IS NULL THEN 'cites unknown ids' ELSE 'sound' END AS verdict, count(*) AS n FROM evidence e LEFT JOIN artifacts a ON a.artifact_id = {_key('e.artifact_id')} GROUP BY 1
     """,
+    "mail_bodies": rf"""
+        WITH n AS MATERIALIZED (SELECT *, row_number() OVER () AS rn FROM gmail_raw),
+        flat AS (
+            SELECT rn, payload.mimeType AS mime, payload.body.data AS data, 0 AS i, 0 AS j FROM n
+            UNION ALL SELECT rn, p.mimeType, p.body.data, i, 0 FROM (SELECT rn, unnest(payload.parts) AS p, generate_subscripts(payload.parts, 1) AS i FROM n)
+            UNION ALL SELECT rn, q.mimeType, q.body.data, i, j FROM (SELECT rn, i, unnest(p.parts) AS q, generate_subscripts(p.parts, 1) AS j FROM (SELECT rn, unnest(payload.parts) AS p, generate_subscripts(payload.parts, 1) AS i FROM n))),
+        texts AS (SELECT rn, mime, i, j, decode(from_base64(rpad(translate(data, '-_', '+/'), CAST(ceil(len(data) / 4.0) * 4 AS INTEGER), '='))) AS text FROM flat WHERE coalesce(data, '') <> '' AND mime IN ('text/plain', 'text/html')),
+        bodies AS (
+            SELECT rn, coalesce(arg_min(text, i * 1000 + j) FILTER (mime = 'text/plain'),
+                regexp_replace(replace(replace(replace(regexp_replace(arg_min(text, i * 1000 + j) FILTER (mime = 'text/html'), '<[^>]+>', ' ', 'g'), '&mdash;', '—'), '&nbsp;', ' '), '&amp;', '&'), '[ \t]+', ' ', 'g')) AS body FROM texts GROUP BY 1),
+        cut AS (SELECT rn, regexp_split_to_array(regexp_replace(body, '\r\n?', chr(10), 'g'), '(?m)^[ \t]*On .{{0,120}}?\bwrote:[ \t]*$|^[ \t]*-{{2,}}[ \t]*Original Message[ \t]*-{{2,}}[ \t]*$')[1] AS body FROM bodies),
+        own AS (SELECT rn, array_to_string(list_filter(string_split(body, chr(10)), lambda x: NOT starts_with(ltrim(x), '>')), chr(10)) AS body FROM cut),
+        signed AS (SELECT rn, trim(regexp_split_to_array(body, '(?m)^--[ \t]*$')[1], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) AS body FROM own),
+        heads AS (
+            SELECT rn, id, trim(snippet) AS snippet, list_filter(payload.headers, lambda h: lower(trim(h.name)) = 'from')[1].value AS sender, trim(coalesce(list_filter(payload.headers, lambda h: lower(trim(h.name)) = 'subject')[1].value, '')) AS subject FROM n),
+        a AS ({instants_sql("SELECT rn AS src, id AS rec_id, trim(internalDate) AS s, NULL AS z, NULL AS o FROM n")}),
+        b AS ({instants_sql("SELECT rn AS src, id AS rec_id, trim(list_filter(payload.headers, lambda h: lower(trim(h.name)) = 'date')[1].value) AS s, NULL AS z, NULL AS o FROM n")}),
+        x AS (SELECT h.*, coalesce(nullif(s.body, ''), nullif(h.snippet, '')) AS body, coalesce(a.epoch_ms, b.epoch_ms) AS epoch_ms FROM heads h LEFT JOIN signed s USING (rn) LEFT JOIN a ON a.src = h.rn LEFT JOIN b ON b.src = h.rn)
+        SELECT DISTINCT id, coalesce(nullif(regexp_extract(sender, '<([^>]+)>', 1), ''), nullif(trim(sender), ''), 'unknown') AS sender, epoch_ms, CASE WHEN subject <> '' THEN 'Subject: ' || subject || chr(10) || chr(10) ELSE '' END || body AS text FROM x WHERE body IS NOT NULL
+    """,
+    "p2_unified": f"""
+        WITH RECURSIVE place AS (SELECT file_name, stream, file_no AS no FROM export_files WHERE feed = 'slack_01_clean'),
+        ends AS (SELECT stream, field, no, max(new_field) FILTER (change = 'renamed') AS name FROM ({PROBLEMS["p2_found"]}) JOIN place USING (file_name) WHERE change IN ('renamed', 'removed') GROUP BY 1, 2, 3),
+        hop AS (SELECT e.stream, e.field, e.no, e.name, n.no AS next_no, n.name AS next_name FROM (SELECT * FROM ends WHERE name IS NOT NULL) e ASOF LEFT JOIN ends n ON n.stream = e.stream AND n.field = e.name AND e.no < n.no),
+        walk AS (
+            SELECT stream, field, no, name, next_no, next_name FROM hop
+            UNION SELECT w.stream, w.field, w.no, h.name, h.next_no, h.next_name FROM walk w JOIN hop h ON h.stream = w.stream AND h.field = w.name AND h.no = w.next_no WHERE w.next_name IS NOT NULL),
+        last AS (SELECT stream, field, no, name FROM walk WHERE next_name IS NULL),
+        lines AS MATERIALIZED (SELECT *, row_number() OVER () AS rn FROM slack_01_clean),
+        cells AS (
+            SELECT rn, file_name, 'meta.' || e.key AS field, e.type AS type, CAST(e.value AS VARCHAR) AS value FROM (SELECT rn, file_name, try_cast(meta AS JSON) AS j FROM lines) t, json_each(CASE WHEN json_type(j) = 'OBJECT' THEN j ELSE JSON '{{}}' END) e
+            UNION ALL SELECT rn, file_name, 'raw.' || e.key, e.type, CAST(e.value AS VARCHAR) FROM (SELECT rn, file_name, try_cast(raw AS JSON) AS j FROM lines) t, json_each(CASE WHEN json_type(j) = 'OBJECT' THEN j ELSE JSON '{{}}' END) e),
+        borne AS (SELECT DISTINCT file_name, field, stream, no FROM cells JOIN place USING (file_name) WHERE type <> 'NULL'),
+        renamed AS (SELECT b.file_name, b.field, l.name FROM (SELECT b.*, e.no AS end_no FROM borne b ASOF JOIN ends e ON e.stream = b.stream AND e.field = b.field AND b.no < e.no) b JOIN last l ON l.stream = b.stream AND l.field = b.field AND l.no = b.end_no),
+        named AS (
+            SELECT c.rn, coalesce(r.name, c.field) AS name, {_BY_NAME} AS value FROM cells c LEFT JOIN renamed r ON r.file_name = c.file_name AND r.field = c.field
+            QUALIFY row_number() OVER (PARTITION BY c.rn, coalesce(r.name, c.field) ORDER BY coalesce(r.name, c.field) <> c.field, c.field) = 1),
+        joined AS (SELECT rn, '{{' || string_agg(to_json(name) || ':' || to_json(value), ',' ORDER BY name) || '}}' AS fields FROM named GROUP BY 1)
+        SELECT file_name, line_no, artifact_id, coalesce(fields, '{{}}') AS fields FROM lines LEFT JOIN joined USING (rn)
+    """,
 }

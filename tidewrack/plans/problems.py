@@ -111,7 +111,7 @@ def _json_value(depth: int) -> str:
 
 
 _STRICT = rf"[ \t\n\r]*{_json_value(3)}[ \t\n\r]*"
-_FIELDS = " UNION ALL ".join(
+FIELDS_SQL = " UNION ALL ".join(
     f"SELECT file_name, {_KEY.format('artifact_id')} AS a, '{c}.' || e.key AS field, CASE e.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS type, CAST(e.value AS VARCHAR) AS value "
     f"FROM (SELECT file_name, artifact_id, try_cast({c} AS JSON) AS j FROM slack_01_clean) t, json_each(CASE WHEN json_type(j) = 'OBJECT' THEN j ELSE JSON '{{}}' END) e WHERE e.type <> 'NULL'"
     for c in ("meta", "raw")
@@ -122,7 +122,7 @@ _FORMATS = ", ".join(f"'{f}'" for f in ("%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S"
 _OFFSETS = "MAP {'Z': 0, 'UTC': 0, 'GMT': 0, 'EST': -300, 'EDT': -240, 'CST': -360, 'CDT': -300, 'MST': -420, 'MDT': -360, 'PST': -480, 'PDT': -420}"
 
 
-def _instants(rows: str) -> str:
+def instants_sql(rows: str) -> str:
     """epoch_ms of (src, rec_id, s, z, o) where s denotes an instant."""
     return rf"""
         SELECT src, rec_id, CASE
@@ -160,13 +160,13 @@ LINES_SQL = rf"""
 
 ORACLE = {
     "p1_found": f"""
-        WITH a AS ({_instants("SELECT 'messages' AS src, id AS rec_id, trim(timestamp) AS s, zone AS z, date_order AS o FROM messages LEFT JOIN (SELECT * FROM export_files WHERE feed = 'messages') USING (file_name) UNION ALL SELECT 'slack_01_clean', file_name || ':' || line_no, trim(ts), zone, date_order FROM slack_01_clean LEFT JOIN (SELECT * FROM export_files WHERE feed = 'slack_01_clean') USING (file_name)")}),
-        g AS ({_instants("SELECT row_number() OVER () AS src, id AS rec_id, trim(internalDate) AS s, NULL AS z, NULL AS o FROM gmail_raw")}),
-        h AS ({_instants("SELECT row_number() OVER () AS src, id AS rec_id, trim(list_filter(payload.headers, lambda h: lower(h.name) = 'date')[1].value) AS s, NULL AS z, NULL AS o FROM gmail_raw")})
+        WITH a AS ({instants_sql("SELECT 'messages' AS src, id AS rec_id, trim(timestamp) AS s, zone AS z, date_order AS o FROM messages LEFT JOIN (SELECT * FROM export_files WHERE feed = 'messages') USING (file_name) UNION ALL SELECT 'slack_01_clean', file_name || ':' || line_no, trim(ts), zone, date_order FROM slack_01_clean LEFT JOIN (SELECT * FROM export_files WHERE feed = 'slack_01_clean') USING (file_name)")}),
+        g AS ({instants_sql("SELECT row_number() OVER () AS src, id AS rec_id, trim(internalDate) AS s, NULL AS z, NULL AS o FROM gmail_raw")}),
+        h AS ({instants_sql("SELECT row_number() OVER () AS src, id AS rec_id, trim(list_filter(payload.headers, lambda h: lower(h.name) = 'date')[1].value) AS s, NULL AS z, NULL AS o FROM gmail_raw")})
         SELECT DISTINCT * FROM (SELECT * FROM a UNION ALL SELECT 'gmail_raw', rec_id, coalesce(g.epoch_ms, h.epoch_ms) FROM g JOIN h USING (src, rec_id)) WHERE epoch_ms IS NOT NULL
     """,
     "p2_found": f"""
-        WITH f AS (SELECT DISTINCT file_name, a, field, type, value FROM ({_FIELDS})),
+        WITH f AS (SELECT DISTINCT file_name, a, field, type, value FROM ({FIELDS_SQL})),
         pairs AS (SELECT file_name, lag(file_name) OVER (PARTITION BY stream ORDER BY file_no, file_name) AS prev FROM export_files WHERE feed = 'slack_01_clean' QUALIFY prev IS NOT NULL),
         types AS (SELECT file_name, field, list_sort(list(DISTINCT type)) AS types FROM f GROUP BY 1, 2),
         pair AS (
