@@ -1,6 +1,8 @@
 """The kept topic store, ordered joins, folds and counts by ranges, streams that go on, and reports."""
 
+import base64
 import datetime as dt
+import json
 import random
 
 import pytest
@@ -9,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewrack.functions import render
-from tidewrack.operators import asof, checks, conflicts, evidence, folds, graph
+from tidewrack.operators import answers, asof, checks, conflicts, evidence, folds, graph, provider
 from tidewrack.operators.topic_store import TopicStore
+from tidewrack.sources import corpus
 from tidewrack.streaming import incremental
 
 READING = "topic string, status string, confidence string, owner string, blocker string, seen_at timestamp_ntz, seq bigint, source string, state_rank bigint"
@@ -132,3 +135,37 @@ def test_phrases_and_corpus_checks(spark):
     assert rows(checks.disjoint_steps(parts)) == [("c", 3, 2)]
     assert rows(checks.phrase_counts(parts.select("text"), ("DOWN", "never"))) == [("DOWN", 2), ("never", 0)]
     assert rows(checks.digests(parts, "container_id", ["text"])) == rows(checks.digests(parts.repartition(3), "container_id", ["text"]))
+
+
+def test_refusals_and_batches(spark):
+    kind = lambda *a: (r.kind, r.wait) if (r := provider.refusal_of(*a)) else None
+    assert kind(429, "Please retry in 12.5s.") == ("rate", 12.5) and kind(429, "daily limit reached") == ("quota", 0.0) and kind(503, "try again in 2 minutes") == ("server", 120.0) and kind(400, "bad") is None
+    df = spark.createDataFrame([(i, None if i % 7 == 0 else f"t{i}") for i in range(200)], "i int, t string").coalesce(1)
+    got = dict(rows(df.select("i", provider.embedded_in_batches(F.col("t"), lambda ts: [[float(len(ts) <= 64), float(t[1:])] for t in ts]).alias("v"))))
+    assert all(v == (None if i % 7 == 0 else [1.0, float(i)]) for i, v in got.items()) and len(got) == 200
+
+
+def test_owners_synthesis_and_answers(spark, tmp_path):
+    world = spark.createDataFrame([("employees", "EMP_1", "Ann", "EMP_9"), ("services", "svc-a", "pay engine", "EMP_1"), ("clients", "CUST_1", "pay corp", "EMP_2"), ("external", "CUST_1", "x", None)], "kind string, entity string, name string, owner string")
+    owners = answers.world_owners(world)
+    assert answers.referral(owners, "who owns the pay engine or pay corp?") == ("EMP_1", "Ann") and answers.referral(owners, "is Ann in?") == ("EMP_1", "Ann") and answers.referral(owners, "nothing") is None
+    state = spark.createDataFrame([(f"t{i:02d}", "blocked" if i else "unclear", "high", None, None) for i in range(14)], "topic string, status string, confidence string, owner string, blocker string")
+    assert answers.synthesized(state, lambda top: f"{len(top)} topics").startswith("12 topics\n\n_Plus 2 more") and answers.synthesized(state, lambda top: 1 / 0).startswith("*Briefing*\n\n*Blocked*") and "Nothing was reported" in answers.synthesized(state.limit(0))
+    answers.write_answer(spark, answers.Answer("q", "so it is"), str(tmp_path / "answer"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "answer")).collect()] == ["so it is"]
+
+
+def test_mail_dumps_and_two_files(spark, tmp_path):
+    body = base64.urlsafe_b64encode(b"<b>Hi</b> all").decode().rstrip("=")
+    mail = {"id": "m1", "internalDate": "1757271314000", "payload": {"mimeType": "multipart/mixed", "headers": [{"name": "FROM", "value": "Ann <ann@x.test>"}], "parts": [{"mimeType": "multipart/alternative", "parts": [{"mimeType": "text/html", "body": {"data": body}}]}]}}
+    (tmp_path / "mail.json").write_text(json.dumps({"messages": [mail, {"id": "no payload"}]}))
+    (tmp_path / "chat.json").write_text(json.dumps([{"source": "slack", "user": "bo", "text": "yo", "ts": "1"}, {"source": "email", "text": "no"}]))
+    got = rows(corpus.two_files(spark, str(tmp_path / "chat.json"), str(tmp_path / "mail.json")), "source", "sender", "timestamp", "text")
+    assert got == [("email", "ann@x.test", "2025-09-07T18:55:14Z", "Hi all"), ("slack", "bo", "1", "yo")]
+    (tmp_path / "s" / "history").mkdir(parents=True)
+    (tmp_path / "s" / "users").mkdir()
+    (tmp_path / "s" / "history" / "a.json").write_text('{"user": "U1", "ts": "1", "text": " hey "}\n{"user": "U1", "text": "joined", "subtype": "join"}\n')
+    (tmp_path / "s" / "users" / "a.json").write_text('{"user": "U1", "name": "Bo"}\n')
+    assert rows(corpus.ingest(spark, "slack", str(tmp_path / "s")), "sender", "text") == [("Bo", "hey")]
+    key = spark.createDataFrame([("Q_1", "who?")], "question_id string, question string")
+    assert corpus.asked_in(key, " q_1 ").count() == 1 and corpus.asked_in(key, "q").count() == 0

@@ -23,7 +23,7 @@ def test_spark_agrees_with_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(QUERIES.keys() - SQL.keys()))
 def test_queries_without_sql_run(spark, name):
-    assert QUERIES[name](spark, oracle.DATA).count() >= 0
+    assert QUERIES[name](spark, oracle.DATA).count() > 0
 
 
 def test_entry_point(spark):

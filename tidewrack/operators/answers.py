@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewrack.functions import render
 from tidewrack.functions.text import citations, tokens
 from tidewrack.operators.folds import ANSWER_STATUS_RANK, CONFIDENCE_RANK, rank_of
+from tidewrack.operators.store import briefing, briefing_tail
 
 #: Longest question, most excerpts that a provider sees, most items that an answer names.
 LONGEST_QUESTION, EXCERPTS, NAMED = 500, 24, 12
@@ -42,6 +43,34 @@ def relevant_items(items: DataFrame, question: str) -> DataFrame:
     return items.where(F.col("confidence").isin("high", "medium")).where(F.exists(terms, lambda t: F.contains(hay, t)))
 
 
+# What kind of entity is asked first for an owner.
+KIND_WEIGHT = {"services": 4, "projects": 3, "clients": 2, "employees": 1}
+
+
+def world_owners(world: DataFrame) -> DataFrame:
+    """entity, name, owner, owner_name, weight of a world's entities (kind, entity, name, owner): who is responsible, employees for themselves."""
+    people = world.where("kind = 'employees'").select(F.col("entity").alias("owner"), F.col("name").alias("owner_name"))
+    weight = F.coalesce(*[F.when(F.col("kind") == k, w) for k, w in KIND_WEIGHT.items()])
+    x = world.where(weight.isNotNull()).select("entity", "name", F.when(F.col("kind") == "employees", F.col("entity")).otherwise(F.col("owner")).alias("owner"), weight.alias("weight"))
+    return x.join(people, "owner", "left").select("entity", "name", "owner", "owner_name", "weight")
+
+
+def synthesized(state: DataFrame, provider: Callable[[list[dict]], str] | None = None, n: int = 12, title: str = "*Briefing*") -> str:
+    """A briefing of topics: the provider's text on the n that are shown, or the deterministic one without a provider or where it fails; then a line on the rest."""
+    shown = briefing(state, n)
+    top, rest = shown.collect(), briefing_tail(state, shown).collect()
+    try:
+        text = provider([r.asDict() for r in top]) if provider and top else ""
+    except Exception:  # noqa: BLE001
+        text = ""
+    return text.strip() + render.tail_line({r["status"]: r["n"] for r in rest}) if text and text.strip() else render.briefing(top, rest, title)
+
+
+def write_answer(spark: SparkSession, answer: Answer, path: str) -> None:
+    """An answer as one text file in the folder ``path``."""
+    spark.createDataFrame([(answer.text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def referral(owners: DataFrame, question: str) -> tuple[str, str] | None:
     """(entity, name) of the owner of the entity that shares most words with the question (entity, name, owner, owner_name, weight)."""
     asked = tokens(F.lit(question))

@@ -98,6 +98,42 @@ class Unavailable(Exception):
         self.kind, self.wait = kind, wait
 
 
+# Words of a refusal for a used-up quota, and how it names the seconds to wait.
+_QUOTA = re.compile(r"quota|per day|daily limit|billing", re.IGNORECASE)
+_WAIT = re.compile(r"(?:retry|again|wait)\D{0,20}?(\d+(?:\.\d+)?)\s*(ms|s|sec|seconds?|m|min|minutes?)?\b", re.IGNORECASE)
+
+
+def wait_of(text: str) -> float:
+    """The seconds after which a refusal asks to be tried again; 0 where it doesn't say."""
+    m = _WAIT.search(text or "")
+    if not m:
+        return 0.0
+    unit = (m[2] or "s").lower()
+    return float(m[1]) * (0.001 if unit == "ms" else 60.0 if unit.startswith("m") else 1.0)
+
+
+def refusal_of(status: int, text: str = "") -> Unavailable | None:
+    """What an HTTP status and its text mean: a rate limit, a used-up quota, a server's fault; None: an error of the request itself."""
+    if status in (429, 403) and _QUOTA.search(text):
+        return Unavailable("quota")
+    if status == 429:
+        return Unavailable("rate", wait_of(text))
+    return Unavailable("server", wait_of(text)) if status >= 500 else None
+
+
+def embedded_in_batches(text: Column, provider: Callable[[list[str]], list[list[float]]], size: int = 64) -> Column:
+    """The vector (array<float>) of each text from a provider that takes ``size`` texts at a call; null texts have none and are not sent."""
+
+    @F.pandas_udf("array<float>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            known = texts.dropna()
+            vectors = [v for i in range(0, len(known), size) for v in provider(known.iloc[i : i + size].tolist())]
+            yield pd.Series(dict(zip(known.index, vectors, strict=True)), dtype=object).reindex(texts.index).where(lambda v: v.notna(), None)
+
+    return embed(text)
+
+
 def chained(providers: list[Callable[[object], object]], tries: int = 3, pause: Callable[[float], None] = time.sleep) -> Callable[[object], object]:
     """The first provider that answers: waits and tries again on rate limits and server faults, goes on at once on a used-up quota."""
 

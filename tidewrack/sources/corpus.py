@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tidewrack.functions.keys import blank, trimmed
 from tidewrack.functions.text import first_present
 from tidewrack.operators.timestamps import epoch_ms
+from tidewrack.sources.connectors import channel_messages
+from tidewrack.sources.mail import mail_records
 
 # Names under which fixtures bear a field, and the known sources.
 SENDER_NAMES = ("sender", "from", "user", "username", "user_name", "author", "real_name")
@@ -131,7 +133,28 @@ def read_world(spark: SparkSession, path: str) -> DataFrame:
     return out.where("entity IS NOT NULL")
 
 
-READERS: dict[str, Callable[..., DataFrame]] = {"corpus": lambda spark, path: load_corpus(spark, path)[0], "fixtures": read_messages}
+def asked_in(key: DataFrame, question_id: str) -> DataFrame:
+    """The question of an answer key with this id, in any case; no row if there is none."""
+    return key.where(F.lower("question_id") == question_id.strip().lower())
+
+
+def read_mail(spark: SparkSession, path: str) -> DataFrame:
+    """source, sender, timestamp (ISO, UTC), text of a dump of a mail API: a JSON list, or an object with ``messages``; records without payload are dropped."""
+    part = "mimeType:string,body:struct<data:string>"
+    payload = f"struct<{part},headers:array<struct<name:string,value:string>>,parts:array<struct<{part},parts:array<struct<{part},parts:array<struct<{part}>>>>>>>"
+    x = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    x = x.select(F.explode(F.coalesce(F.try_variant_get("v", "$.messages", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"))).alias("v"))
+    x = x.select(*[_field(n).alias(n) for n in ("id", "snippet", "internalDate")], F.from_json(F.to_json(F.try_variant_get("v", "$.payload", "variant")), payload).alias("payload")).where("payload IS NOT NULL")
+    iso = F.date_format(F.timestamp_millis("epoch_ms"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return mail_records(x).select("source", "sender", F.coalesce(iso, F.lit("")).alias("timestamp"), "text")
+
+
+def two_files(spark: SparkSession, chat_path: str, mail_path: str) -> DataFrame:
+    """The messages of a fixture that are of chat, and those of a mail dump."""
+    return read_messages(spark, chat_path).where("source = 'slack'").unionByName(read_mail(spark, mail_path))
+
+
+READERS: dict[str, Callable[..., DataFrame]] = {"corpus": lambda spark, path: load_corpus(spark, path)[0], "fixtures": read_messages, "gmail": read_mail, "slack": lambda spark, path: channel_messages(spark.read.json(f"{path}/history", "user string, ts string, text string, subtype string"), spark.read.json(f"{path}/users", "user string, name string"))}
 
 
 def ingest(spark: SparkSession, source: str, path: str) -> DataFrame:
