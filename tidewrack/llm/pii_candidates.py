@@ -49,12 +49,13 @@ _POSSESSIVE = ("'s", "’s", "'S")
 _PAIR = re.compile(rf"({_W})(,? )(?:({_LETTER})\. )?((?:(?:van|von|de|der|den|di|da|del|la|le) ){{0,2}}{_W})\Z", _I)
 
 # Words for documents and accounts of persons, for things that bear numbers, and words beside names, in four languages.
-PERSON_WORD = re.compile(
-    r"\b(?:passport|licen[cs]e|identity|ssn|id|citizen|visa|tax|taxpayer|insurance|security|iban|account|card|paid|payroll|issued|holder|resident|"
-    r"\w*ausweis\w*|reisepass\w*|führerschein\w*|steuer\w*|sozialvers\w*|\w*konto\w*|pasaporte|dni|nie|nif|carné|seguridad|cuenta|tarjeta|passeport|permis|carte|sécurité|compte|titulaire|inhaber)\b", _I)
-THING_WORD = re.compile(
-    r"\b(?:asset|part|build|sku|serial|model|device|order|ticket|invoice|version|release|firmware|host|node|commit|hash|checksum|sample|test|dummy|batch|article|item|room|shelf|stock|"
-    r"warehouse|parcel|tracking|window|ratio|amount|job|run|log|teil|artikel|bestellung|gerät|pieza|pedido|lote|pièce|commande|colis)\b", _I)
+PERSON_WORD = frozenset(
+    "passport licence license identity ssn id citizen visa tax taxpayer insurance security iban account card paid payroll issued holder resident pasaporte dni nie nif carné seguridad cuenta tarjeta passeport permis carte sécurité compte titulaire inhaber".split()
+)
+PERSON_STEM = ("ausweis", "reisepass", "führerschein", "steuer", "sozialvers", "konto")
+THING_WORD = frozenset(
+    "asset part build sku serial model device order ticket invoice version release firmware host node commit hash checksum sample test dummy batch article item room shelf stock warehouse parcel tracking window ratio amount job run log teil artikel bestellung gerät pieza pedido lote pièce commande colis".split()
+)
 BEFORE_NAME = frozenset(
     "attn attention ask asked by from to for cc with and is thanks thank dear hi contact holder reach name called mr mrs ms dr prof herr frau nach von an sr sra señor señora de para mme m monsieur madame à par regards sincerely colleague manager owner".split()
 )
@@ -146,7 +147,7 @@ def _mails(text: str) -> list[Candidate]:
     if "@" in text:
         out = [Candidate(m.start(), m.end(), "email", ("mail:plain",)) for m in _MAIL.finditer(text)]
     low = text.lower()
-    if "at" in low and ("dot" in low or any(x in low for x in ("[at", "(at", "{at", "<at", "[ at", "( at")) or _AT_HOST.search(low)) or " @" in text or "@ " in text:
+    if "at" in low and ("dot" in low or any(x in low for x in ("[at", "(at", "{at", "<at", "[ at", "( at")) or " at " in low and _AT_HOST.search(low)) or " @" in text or "@ " in text:
         at, plain = 0, [*out]
         while m := _HIDDEN.search(text, at):
             at = m.end(1)  # what follows the sign may itself be the name of an address
@@ -159,6 +160,13 @@ def _mails(text: str) -> list[Candidate]:
     return out
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _cue(word: str) -> str:
+    """What a word in lower case says of a number beside it."""
+    return "person" if word in PERSON_WORD or any(s in word for s in PERSON_STEM) else "thing" if word in THING_WORD else ""
+
+
+_RUN = re.compile(r"\w+")
 _CLAUSE = re.compile(r"[.!?]\s|\n")
 _ENOUGH_DIGITS = re.compile(r"(?:\d\W{0,3}){6}|\d{4}-[A-Za-z]{2}-\d{3}")  # every number's shape has one of these
 
@@ -170,7 +178,11 @@ def _numbers(text: str) -> list[Candidate]:
 
     def context(s: int, e: int, prefix: str) -> tuple[str, ...]:
         left, right = _CLAUSE.split(text[max(0, s - 30) : s])[-1], _CLAUSE.split(text[e : e + 30], maxsplit=1)[0]
-        return tuple(prefix + n for n, hit in (("person-before", PERSON_WORD.search(left)), ("thing-before", THING_WORD.search(left)), ("person-after", PERSON_WORD.search(right)), ("thing-after", THING_WORD.search(right))) if hit)
+        out = []
+        for side, where in ((left, "before"), (right, "after")):
+            cues = {c for w in _RUN.findall(side.lower()) if (c := _cue(w))}
+            out += [f"{prefix}{c}-{where}" for c in ("person", "thing") if c in cues]
+        return tuple(out)
 
     for m in _IBAN.finditer(text):
         n, ok = iban_end(m[0])
@@ -202,7 +214,12 @@ def _addresses(text: str) -> list[Candidate]:
     plain = text.islower() or text.isupper()
     low = text.lower()
     for name, hint, p in _STREETS:
-        for m in p.finditer(text) if any(h in low for h in hint) else ():
+        for h in hint:
+            if h in low:
+                break
+        else:
+            continue
+        for m in p.finditer(text):
             words = m[1].split()
             cased = plain or all(w[0].isupper() for w in words if w.lower() not in ("de", "la", "du", "des", "del", "of", "the"))
             stop = any(w.lower() in ("the", "a", "of", "on", "in", "at", "for", "and", "days", "points", "open", "checks", "from", "to", "with", "is") for w in words)
