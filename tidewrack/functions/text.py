@@ -6,11 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that are no tokens; what is a token and an alias; words that topic keys leave out.
-STOP_WORDS = tuple(
-    "a about again all an and any are as at be been being but by can could did do does for from had has have he here how i if in is it "
-    "just me my no not now of on or our out re s she so some still t that the them then there these they this those to up us was we "
-    "were what when which who why will with would you".split()
-)
+STOP_WORDS = (
+    "a", "about", "again", "all", "an", "and", "any", "are", "as", "at", "be", "been", "being", "but", "by", "can", "could", "did", "do", "does",
+    "for", "from", "had", "has", "have", "he", "here", "how", "i", "if", "in", "is", "it", "just", "me", "my", "no", "not", "now", "of", "on", "or",
+    "our", "out", "re", "s", "she", "so", "some", "still", "t", "that", "the", "them", "then", "there", "these", "they", "this", "those", "to", "up",
+    "us", "was", "we", "were", "what", "when", "which", "who", "why", "will", "with", "would", "you",
+)
 TOKEN = r"\b[a-z0-9][a-z0-9'-]*\b"
 ALIAS = r"[A-Za-z]{2,4}-\d+|PR\s*#?\d+|\b[a-z]{1,4}\d+\b|\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 MERGE_KEY_WORDS = ("the", "a", "an", "project", "team")
